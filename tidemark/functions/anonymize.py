@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions import lexicon as lex
-from tidemark.functions.regex import any_of, let, literal, replace_all
+from tidemark.functions.regex import any_of, cut_at, let, literal, replace_all
 
 SPANS = "array<struct<start:int,end:int>>"
 _WORD = r"[\w\x{00C0}-\x{1EF9}]*"
@@ -46,16 +46,16 @@ def honorific_spans(text: Column) -> Column:
 
 def _honorific_spans(text: Column) -> Column:
     title = rf"(?:{any_of(lex.HONORIFICS)})\b"
-    cut = rf"(?iU)(?s){title}|(?:(?!{title}).)+"
-    pieces = F.regexp_extract_all(text, F.lit(cut), F.lit(0))
+    sizes = F.transform(cut_at(text, "(?iU)", title), lambda p, i: F.struct(
+        F.length(p).alias("n"), (i % 2 == 1).alias("hit")))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
 
     def step(acc: Column, piece: Column) -> Column:
-        at = acc["at"] + F.length(piece)
-        ends = F.when(piece.rlike(rf"(?iU)^{title}$"), F.array_append(acc["ends"], at)).otherwise(acc["ends"])
+        at = acc["at"] + piece["n"]
+        ends = F.when(piece["hit"], F.array_append(acc["ends"], at)).otherwise(acc["ends"])
         return F.struct(at.alias("at"), ends.alias("ends"))
 
-    ends = F.aggregate(pieces, begin, step, lambda acc: acc["ends"])
+    ends = F.aggregate(sizes, begin, step, lambda acc: acc["ends"])
 
     def span(end: Column) -> Column:
         def name_in(after: Column) -> Column:
@@ -67,9 +67,7 @@ def _honorific_spans(text: Column) -> Column:
         rest = F.substring(text, end + 1, F.length(text))
         return let(F.regexp_replace(rest, F.lit(r"(?U)^\s+"), F.lit("")), name_in)
 
-    found = F.filter(F.transform(ends, span), lambda s: s["end"] > s["start"])
-    none = F.array().cast(SPANS)
-    return F.when(text.rlike(f"(?iU){title}"), found).otherwise(none)
+    return F.filter(F.transform(ends, span), lambda s: s["end"] > s["start"])
 
 
 def token_honorific_phrases(tokens: Column) -> Column:

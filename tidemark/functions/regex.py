@@ -21,8 +21,11 @@ def literal(text: str) -> str:
 
 
 def any_of(words) -> str:
-    """Alternation of literal words, the longest first."""
-    return "|".join(literal(w) for w in sorted(words, key=len, reverse=True))
+    """Alternation of literal words, the longest first; single characters as a class."""
+    longest = sorted(set(words), key=lambda w: (-len(w), w))
+    choices = [literal(w) for w in longest if len(w) > 1]
+    singles = "".join(f"\\x{{{ord(w):X}}}" for w in longest if len(w) == 1)
+    return "|".join(choices + ([f"[{singles}]"] if singles else []))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -37,22 +40,20 @@ def replace_all(text: Column, steps) -> Column:
     return text
 
 
-def replace_with(text: Column, flags: str, pattern: str, replace: Callable[[Column], Column]) -> Column:
-    """Replace each match of ``pattern`` by a column computed from the match.
+MARK = "\ufdd0"  # a code point that is never a character
+
 
-    The text is cut into matches and the gaps between them, the matches are
-    mapped, and the pieces are joined again; rows without a match skip the work.
-    ``pattern`` must not hold capturing groups.
-    """
-    whole = f"{flags}(?s)(?:{pattern})|(?:(?!{pattern}).)+"
-    exact = f"{flags}^(?:{pattern})$"
+def cut_at(text: Column, flags: str, pattern: str) -> Column:
+    """The text in pieces: odd positions (from zero) are the matches of ``pattern``."""
+    plain = F.translate(text, MARK, "\ufffd")
+    return F.split(F.regexp_replace(plain, F.lit(f"{flags}(?:{pattern})"), F.lit(f"{MARK}$0{MARK}")), MARK)
 
-    def cut(text: Column) -> Column:
-        pieces = F.regexp_extract_all(text, F.lit(whole), F.lit(0))
-        mapped = F.transform(pieces, lambda p: F.when(p.rlike(exact), replace(p)).otherwise(p))
-        return F.when(text.rlike(f"{flags}{pattern}"), F.array_join(mapped, "")).otherwise(text)
 
-    return let(text, cut)
+def replace_with(text: Column, flags: str, pattern: str, replace: Callable[[Column], Column]) -> Column:
+    """Replace each match of ``pattern`` by a column computed from the match."""
+    pieces = cut_at(text, flags, pattern)
+    return F.array_join(F.transform(
+        pieces, lambda p, i: F.when(i % 2 == 1, replace(p)).otherwise(p)), "")
 
 
 def literal_map(table: Mapping[str, str]) -> Column:

@@ -28,10 +28,11 @@ def dictionary_entries(lines: DataFrame, line: str = "line", order: str = "line_
     tabbed = F.col("_l").contains("\t")
     side = lambda i: F.when(tabbed, F.regexp_extract("_l", "(?s)^([^\t]*)\t(.*)$", i)).otherwise(
         F.regexp_extract("_l", r"(?sU)^(\S+)\s+(.+)$", i))
-    clean = lambda c: strip_space(F.lower(normalize_unicode(c)))
-    pairs = kept.select(order, clean(side(1)).alias("source"), clean(side(2)).alias("target"))
-    return (pairs.filter((F.col("source") != "") & (F.col("target") != ""))
-            .groupBy("source").agg(F.max_by("target", order).alias("target")))
+    clean = lambda c: strip_space(F.lower(normalize_unicode(F.col(c))))
+    sides = kept.select(order, strip_space(side(1)).alias("_a"), strip_space(side(2)).alias("_b"))
+    pairs = sides.filter((F.col("_a") != "") & (F.col("_b") != "")).select(
+        order, clean("_a").alias("source"), clean("_b").alias("target"))
+    return pairs.groupBy("source").agg(F.max_by("target", order).alias("target"))
 
 
 def load_dictionary(spark: SparkSession, path: str) -> dict[str, str]:
