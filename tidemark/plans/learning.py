@@ -1 +1,163 @@
-"""Placeholder."""
+"""Queries for tokens, vectors and classifiers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.functions import text as tx
+from tidemark.functions import vectors as vec
+from tidemark.operators import evaluation as ev
+from tidemark.operators import models as md
+from tidemark.operators import splits as sp
+from tidemark.functions.lexicon import LABEL_NAMES_VI
+from tidemark.plans.base import query
+from tidemark.plans.text import squash_sql
+from tidemark.session import scratch_path
+
+
+@query("m1_words", f"""
+SELECT doc_id, array_to_string(string_split({squash_sql('text')}, ' '), '|') AS tokens, CAST(len(string_split({squash_sql('text')}, ' ')) AS INT) AS n FROM {{social}}""")
+def _(t):
+    out = t.social.select("doc_id", tx.words(F.col("text")).alias("w"))
+    return out.select("doc_id", F.array_join("w", "|").alias("tokens"), F.size("w").alias("n"))
+
+
+@query("m1_words_and_marks", f"""
+SELECT doc_id, array_to_string(regexp_extract_all(lower({squash_sql('text')}), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]'), '|') AS tokens FROM {{social}}""")
+def _(t):
+    return t.social.select("doc_id", F.array_join(tx.words_and_marks(F.col("text")), "|").alias("tokens"))
+
+
+@query("m3_segmented_text", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a_b' ELSE upper(source) END AS text FROM documents")
+def _(t):
+    stored = F.expr("CASE doc_id % 3 WHEN 0 THEN 'a_b' WHEN 1 THEN '  ' END")
+    return t.documents.select("doc_id", tx.segmented(stored, F.col("source"), F.upper).alias("text"))
+
+
+@query("l14_argmax", """
+SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS best, round(list_max(embedding)::DOUBLE, 6) AS top FROM embeddings""")
+def _(t):
+    e = F.col("embedding")
+    return t.embeddings.select("vec_id", vec.argmax(e).alias("best"), F.round(F.array_max(e).cast("double"), 6).alias("top"))
+
+
+@query("l15_softmax", """
+WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE)) AS e FROM embeddings)
+SELECT vec_id, array_to_string(list_transform(e, lambda x: CAST(CAST(round(x / list_sum(e) * 1e6) AS BIGINT) AS VARCHAR)), ',') AS p FROM s""")
+def _(t):
+    p = vec.softmax(F.col("embedding"))
+    return t.embeddings.select("vec_id", F.array_join(F.transform(p, lambda x: F.round(x * 1e6).cast("bigint")), ",").alias("p"))
+
+
+@query("l16_prediction_columns", """
+WITH s AS (SELECT vec_id, list_transform(embedding[1:3], lambda x: exp(x::DOUBLE)) AS e FROM embeddings),
+p AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM s)
+SELECT vec_id, CAST(list_position(p, list_max(p)) - 1 AS INT) AS pred_label_id,
+CASE list_position(p, list_max(p)) WHEN 1 THEN 'tieu_cuc' WHEN 2 THEN 'trung_lap' ELSE 'tich_cuc' END AS pred_label_name,
+round(p[1], 6) AS prob_tieu_cuc, round(p[2], 6) AS prob_trung_lap, round(p[3], 6) AS prob_tich_cuc FROM p""")
+def _(t):
+    probs = t.embeddings.select("vec_id", vec.softmax(F.slice("embedding", 1, 3)).alias("p"))
+    out = ev.prediction_columns(probs, "p", LABEL_NAMES_VI)
+    return out.drop("p").withColumns({f"prob_{n}": F.round(f"prob_{n}", 6) for n in LABEL_NAMES_VI.values()})
+
+
+@query("m4_unit_length", """
+WITH n AS (SELECT vec_id, embedding AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) AS n FROM embeddings)
+SELECT vec_id, array_to_string(list_transform(e, lambda x: CAST(CAST(round(x::DOUBLE / n * 1e6) AS BIGINT) AS VARCHAR)), ',') AS v FROM n""")
+def _(t):
+    v = vec.unit_length(F.col("embedding"))
+    return t.embeddings.select("vec_id", F.array_join(F.transform(v, lambda x: F.round(x * 1e6).cast("bigint")), ",").alias("v"))
+
+
+@query("m4_masked_mean", """
+SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CAST(CAST(round(x::DOUBLE * CASE WHEN label % 2 = 0 THEN 1.5 ELSE 1 END * 1e6) AS BIGINT) AS VARCHAR)), ',') AS v FROM embeddings""")
+def _(t):
+    e = F.col("embedding").cast("array<double>")
+    tokens = F.array(e, F.transform(e, lambda x: x * 2), F.transform(e, lambda x: x * 9))
+    mask = F.array(F.lit(1), F.when(F.col("label") % 2 == 0, 1).otherwise(0), F.lit(0))
+    v = vec.masked_mean(tokens, mask)
+    return t.embeddings.select("vec_id", F.array_join(F.transform(v, lambda x: F.round(x * 1e6).cast("bigint")), ",").alias("v"))
+
+
+@query("m5_feature_dropout", """
+SELECT vec_id, array_to_string(list_transform(range(0, len(embedding)), lambda i: CASE WHEN
+ CAST(concat('0x', substr(md5(concat('42:', vec_id, ':', i)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE >= 0.3
+ THEN CAST(CAST(round(embedding[i + 1]::DOUBLE / (1.0 - 0.3)::DOUBLE * 1e6) AS BIGINT) AS VARCHAR) ELSE '0' END), ',') AS v FROM embeddings""")
+def _(t):
+    v = vec.feature_dropout(F.col("embedding"), F.col("vec_id"), 0.3, 42)
+    return t.embeddings.select("vec_id", F.array_join(F.transform(v, lambda x: F.round(x * 1e6).cast("bigint")), ",").alias("v"))
+
+
+def _vectors(t):
+    """Embeddings with a three-class label and a split."""
+    data = t.embeddings.select("vec_id", "embedding", (F.col("label") % 3).cast("int").alias("label_id"))
+    return sp.stratified_split(data, "vec_id", "label")
+
+
+def _scored(t, model):
+    data = _vectors(t).filter("split <> 'train'")
+    scored = md.predict(model, data, LABEL_NAMES_VI, vector="embedding")
+    return md.evaluate(scored, "label_id", ["split"])
+
+
+@query("m6_linear_classifier")
+def _(t):
+    return _scored(t, md.fit_linear(_vectors(t).filter("split = 'train'"), "embedding", "label_id", max_iter=30))
+
+
+@query("m7_network_classifier")
+def _(t):
+    width = 64
+    model = md.fit_network(_vectors(t).filter("split = 'train'"), "embedding", "label_id", width, hidden=256, max_iter=15)
+    return _scored(t, model)
+
+
+@query("m8_text_classifier")
+def _(t):
+    texts = t.documents.select("doc_id", "text", F.expr("CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 2 END").alias("label_id"))
+    split = sp.stratified_split(texts, "doc_id", "label")
+    model = md.fit_text(split.filter("split = 'train'"), "text", "label_id", max_vocab=5000, max_iter=10)
+    scored = md.predict(model, split.filter("split = 'test'"), LABEL_NAMES_VI, text="text")
+    return md.evaluate(scored, "label_id")
+
+
+@query("m9_test_predictions")
+def _(t):
+    data = _vectors(t)
+    model = md.fit_linear(data.filter("split = 'train'"), "embedding", "label_id", max_iter=10)
+    scored = md.predict(model, data.filter("split = 'test'"), LABEL_NAMES_VI, vector="embedding")
+    return scored.select("vec_id", F.col("label_id").alias("true_label_id"), "pred_label_id", "pred_label_name",
+                         *[f"prob_{n}" for n in LABEL_NAMES_VI.values()])
+
+
+@query("m9_prefixed_metrics", """
+SELECT round(avg((true_id = pred_id)::INT), 9) AS val_accuracy FROM {predictions}""")
+def _(t):
+    out = ev.metrics(ev.confusion_matrix(t.predictions, "true_id", "pred_id"))
+    return ev.prefixed(out, "val").select(F.round("val_accuracy", 9).alias("val_accuracy"))
+
+
+@query("m10_saved_model_scoring")
+def _(t):
+    from pyspark.ml import PipelineModel
+
+    path = scratch_path(t.spark, "model")
+    model = md.fit_linear(_vectors(t).filter("split = 'train'"), "embedding", "label_id", max_iter=10)
+    PipelineModel([model]).write().overwrite().save(path)
+    return md.load_and_score(path, t.embeddings, LABEL_NAMES_VI, vector="embedding").drop("embedding", "probabilities")
+
+
+@query("m10_foreign_model_scoring", """
+SELECT vec_id, CASE WHEN embedding[1] >= embedding[2] AND embedding[1] >= embedding[3] THEN 0
+                    WHEN embedding[2] >= embedding[3] THEN 1 ELSE 2 END AS pred_label_id FROM embeddings""")
+def _(t):
+    def make_predict():
+        import numpy as np
+
+        def run(batch: np.ndarray) -> np.ndarray:
+            raised = np.exp(batch[:, :3])
+            return raised / raised.sum(axis=1, keepdims=True)
+
+        return run
+
+    return md.score_foreign(t.embeddings, "embedding", make_predict, 64, 3).select("vec_id", "pred_label_id")

@@ -31,13 +31,23 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str | Struc
 
 
 def file_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """``path, encoding`` per file: UTF-8 if its bytes are valid, else the first
-    single-byte encoding that can map them. Files are checked where they are read."""
-    files = spark.read.format("binaryFile").load(path)
-    text = F.col("content").cast("string")
-    gaps = F.hex("content").rlike("^(..)*?(D2|81|8A|8D|8E|8F|90|9A|9D|9E)")
-    other = F.when(gaps, ENCODINGS[1]).otherwise(ENCODINGS[0])
-    return files.select("path", F.when(F.is_valid_utf8(text), "UTF-8").otherwise(other).alias("encoding"))
+    """``path, encoding`` per file: UTF-8 if all its lines are valid, else
+    windows-1258, else (bytes that has no character for) ISO-8859-1.
+
+    Lines are checked where they are read and combined per file.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    unmapped = F.hex(F.col("value").cast("binary")).rlike("^(..)*?(8A|8D|8E|8F|90|9A|9D|9E)")
+    found = lines.groupBy("path").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(unmapped).alias("unmapped"))
+    other = F.when(F.col("unmapped"), ENCODINGS[1]).otherwise(ENCODINGS[0])
+    return found.select("path", F.when(F.col("utf8"), "UTF-8").otherwise(other).alias("encoding"))
+
+
+def _vietnamese_bytes() -> tuple[str, str]:
+    """Latin-1 characters and what the same bytes mean in windows-1258."""
+    pairs = [(chr(b), bytes([b]).decode("cp1258", "replace")) for b in range(0x80, 0x100)]
+    return tuple("".join(side) for side in zip(*[p for p in pairs if p[0] != p[1]]))
 
 
 def read_csv_any_encoding(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
@@ -45,7 +55,14 @@ def read_csv_any_encoding(spark: SparkSession, path: str, schema: str | StructTy
     groups: dict[str, list[str]] = {}
     for row in file_encodings(spark, path).collect():
         groups.setdefault(row["encoding"], []).append(row["path"])
-    parts = [read_csv(spark, files, schema, encoding) for encoding, files in sorted(groups.items())]
+    parts = []
+    for encoding, files in sorted(groups.items()):
+        rows = read_csv(spark, files, schema, "UTF-8" if encoding == "UTF-8" else ENCODINGS[1])
+        if encoding == ENCODINGS[0]:
+            latin, meant = _vietnamese_bytes()
+            texts = [f.name for f in rows.schema if f.dataType.simpleString() == "string"]
+            rows = rows.withColumns({c: F.translate(c, latin, meant) for c in texts})
+        parts.append(rows)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -54,17 +71,20 @@ def read_csv_any_encoding(spark: SparkSession, path: str, schema: str | StructTy
 
 def read_label_folder(spark: SparkSession, path: str, first: str = "3.5 Flash", second: str = "3.1 Pro",
                       marker: str = "_v2") -> DataFrame:
-    """Label files whose name tells the model: ``marker`` in the stem is the second.
+    """Label files whose name, or folder below ``path``, tells the model: ``marker`` is the second.
 
     Both models' rows are merged on id, one column per model.
     """
-    rows = read_csv(spark, path, "id string, content_anonymized string, label string").select(
+    reader = spark.read.schema("id string, content_anonymized string, label string").options(
+        header=True, multiLine=True, escape='"', recursiveFileLookup=True)
+    below = F.substring_index("_metadata.file_path", "/" + path.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
+    rows = reader.csv(path).select(
         F.col("id").cast("bigint").alias("id"), "content_anonymized", "label",
-        F.lower(F.element_at(F.split("_metadata.file_name", "/"), -1)).contains(marker).alias("_second"))
+        F.lower(below).contains(marker).alias("_second"))
     side = lambda wanted: F.max(F.when(F.col("_second") == wanted, F.col("label")))
+    text = F.coalesce(F.max(F.when(~F.col("_second"), F.col("content_anonymized"))), F.max("content_anonymized"))
     return rows.groupBy("id").agg(
-        F.coalesce(F.max(F.when(~F.col("_second"), F.col("content_anonymized"))), F.max("content_anonymized")).alias("content_anonymized"),
-        side(False).alias(first), side(True).alias(second))
+        text.alias("content_anonymized"), side(False).alias(first), side(True).alias(second))
 
 
 def union_label_tables(tables: Sequence[DataFrame], names: Sequence[str], target: str) -> DataFrame:

@@ -30,7 +30,7 @@ def label_chunks(df: DataFrame, key: str = "id", text: str = "content_anonymized
 def write_label_chunks(df: DataFrame, path: str, **options) -> None:
     """One folder per numbered chunk."""
     parts = label_chunks(df, **options)
-    parts.repartition("part").write.mode("overwrite").option("header", True).partitionBy("part").csv(path)
+    parts.repartition("part").write.mode("overwrite").options(header=True, quote='"', escape='"').partitionBy("part").csv(path)
 
 
 def write_json_report(report: DataFrame, path: str) -> None:
