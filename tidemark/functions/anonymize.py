@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions import lexicon as lex
-from tidemark.functions.regex import any_of, cut_at, let, literal, replace_all
+from tidemark.functions.regex import any_caseless, any_of, cut_at, let, literal, replace_all
 
 SPANS = "array<struct<start:int,end:int>>"
 _WORD = r"[\w\x{00C0}-\x{1EF9}]*"
@@ -45,8 +45,8 @@ def honorific_spans(text: Column) -> Column:
 
 
 def _honorific_spans(text: Column) -> Column:
-    title = rf"(?:{any_of(lex.HONORIFICS)})\b"
-    sizes = F.transform(cut_at(text, "(?iU)", title), lambda p, i: F.struct(
+    title = any_caseless(lex.HONORIFICS) + r"\b"
+    sizes = F.transform(cut_at(text, "(?U)", title), lambda p, i: F.struct(
         F.length(p).alias("n"), (i % 2 == 1).alias("hit")))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
 

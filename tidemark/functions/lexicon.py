@@ -78,6 +78,11 @@ UI_PATTERNS = [
     ("phone_number", r"0[3|5|7|8|9][0-9]{8}"),
     ("phone_number", r"\+84[0-9]{9}"),
 ]
+# A word that every interface pattern needs, to pass over texts without any.
+UI_WORDS = [
+    "Reply", "Trả lời", "tuần", "tháng", "ngày", "giờ", "phút", "giây", "Xem thêm", "See more", "Ẩn bớt",
+    "Phù hợp nhất", "DNTU", "Bình luận dưới tên", "Chia sẻ", "·", "lượt thích", "bình luận", "Chỉnh sửa",
+]
 UI_KINDS = ["ui_text", "timestamp", "reaction_count", "page_name"]
 
 # --- fixed values: validity thresholds and reasons --------------------------

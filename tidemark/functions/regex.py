@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -56,6 +57,63 @@ def replace_with(text: Column, flags: str, pattern: str, replace: Callable[[Colu
         pieces, lambda p, i: F.when(i % 2 == 1, replace(p)).otherwise(p)), "")
 
 
+def first_letters(words) -> str:
+    """Look-ahead for the first character of any of the words.
+
+    Put before a look-behind or a long alternation, it settles most positions
+    with one class test; many characters are tested as one range.
+    """
+    firsts = sorted({w[0] for w in words if w})
+    if len(firsts) > 30:
+        return f"(?=[\\x{{{ord(firsts[0]):X}}}-\\x{{{ord(firsts[-1]):X}}}])"
+    return "(?=[" + "".join(f"\\x{{{ord(c):X}}}" for c in firsts) + "])"
+
+
+@lru_cache(maxsize=None)
+def _cases(char: str) -> str:
+    same = {c for c in map(chr, range(0x3000)) if c.lower() == char.lower() or c.upper() == char.upper()}
+    return "".join(sorted(same | {char}))
+
+
+def caseless(word: str) -> str:
+    """A word in any case, as character classes; Java tests these much faster than ``(?i)``."""
+    return "".join("[" + "".join(f"\\x{{{ord(c):X}}}" for c in _cases(char)) + "]" for char in word)
+
+
+def any_caseless(words, left: str = "") -> str:
+    """Alternation of words in any case, the longest first, with a quick test of
+    the first letter before the condition ``left``."""
+    longest = sorted(set(words), key=lambda w: (-len(w), w))
+    firsts = first_letters({c for w in longest for c in _cases(w[0])})
+    return f"{firsts}{left}(?:{'|'.join(caseless(w) for w in longest)})"
+
+
+def whole_word(word: str) -> str:
+    """A word in any case with no word character on either side.
+
+    The word comes first and the look-behind after it, which Java tests much
+    faster than a look-behind at every position.
+    """
+    return rf"(?sU){caseless(word)}(?<!\w.{{{len(word)}}})(?!\w)"
+
+
+def holds_any(text: Column, words) -> Column:
+    """Whether the text holds one of the words in any case (a cheap pre-check)."""
+
+    def found(folded: Column) -> Column:
+        hit = F.lit(False)
+        for word in words:
+            hit = hit | folded.contains(word.upper().lower())
+        return hit
+
+    return let(F.lower(F.upper(text)), found)
+
+
+def only_if(text: Column, check: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """``change`` where ``check`` holds; other texts pass through untouched."""
+    return let(text, lambda t: F.when(check(t), change(t)).otherwise(t))
+
+
 def literal_map(table: Mapping[str, str]) -> Column:
     """A constant map column."""
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
@@ -67,5 +125,31 @@ def replace_words(text: Column, table: Mapping[str, str], flags: str = "(?U)",
     if not table:
         return text
     lookup = literal_map(table)
-    pattern = f"{left}(?:{any_of(table)}){right}"
+    pattern = f"{first_letters(table)}{left}(?:{any_of(table)}){right}"
     return replace_with(text, flags, pattern, lambda p: F.coalesce(F.try_element_at(lookup, p), p))
+
+
+def independent_runs(pairs) -> list[dict[str, str]]:
+    """Cut an ordered replacement list into runs that one pass each can apply.
+
+    Inside a run no result holds a key and every key is one word, so the order
+    of its entries does not matter; a key of several words is a run of its own.
+    """
+    runs: list[dict[str, str]] = []
+    for key, value in pairs:
+        last = runs[-1] if runs else None
+        made = {w for v in (last or {}).values() for w in v.split()}
+        open_run = (last is not None and " " not in key and not any(" " in k for k in last)
+                    and key not in last and key not in made and not set(value.split()) & (set(last) | {key}))
+        if open_run:
+            last[key] = value
+        else:
+            runs.append({key: value})
+    return runs
+
+
+def replace_words_any_case(text: Column, table: Mapping[str, str]) -> Column:
+    """One pass over whole words in any case; keys are lower-case."""
+    pattern = any_caseless(table, r"(?<!\w)") + r"(?!\w)"
+    lookup = literal_map(table)
+    return replace_with(text, "(?U)", pattern, lambda p: F.coalesce(F.try_element_at(lookup, F.lower(p)), p))

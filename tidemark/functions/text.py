@@ -8,9 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions import lexicon as lex
-from tidemark.functions.regex import any_of, let, literal, replace_all, replace_words
+from tidemark.functions.regex import (
+    any_caseless, holds_any, independent_runs, literal, only_if, replace_all, replace_words,
+    replace_words_any_case, whole_word)
 
 SPACE = r"(?U)[\s\x1c-\x1f]+"
+SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def squash(text: Column) -> Column:
@@ -20,7 +23,7 @@ def squash(text: Column) -> Column:
 
 def strip_space(text: Column) -> Column:
     """Trim every kind of whitespace from both ends."""
-    return F.regexp_replace(text, F.lit(r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"), F.lit(""))
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:
@@ -39,11 +42,13 @@ def _patterns(kinds) -> list[str]:
 
 def drop_interface_text(text: Column) -> Column:
     """Blank out buttons, relative times, reaction counts and page names."""
-    return replace_all(text, [(f"(?iU){p}", " ") for p in _patterns(lex.UI_KINDS)])
+    steps = [(f"(?iU){p}", " ") for p in _patterns(lex.UI_KINDS)]
+    return only_if(text, lambda t: holds_any(t, lex.UI_WORDS), lambda t: replace_all(t, steps))
 
 
 def drop_urls(text: Column) -> Column:
-    return replace_all(text, [(f"(?iU){p}", " ") for p in _patterns(["url"])])
+    steps = [(f"(?iU){p}", " ") for p in _patterns(["url"])]
+    return only_if(text, lambda t: holds_any(t, ["://", "www."]), lambda t: replace_all(t, steps))
 
 
 def drop_phone_numbers(text: Column) -> Column:
@@ -52,8 +57,8 @@ def drop_phone_numbers(text: Column) -> Column:
 
 def drop_hashtags(text: Column) -> Column:
     """Blank out post codes first, then every other hashtag."""
-    coded = replace_all(text, [(f"(?iU){p}", " ") for p in _patterns(["hashtag_confession"])])
-    return F.regexp_replace(coded, F.lit(r"(?U)#\w+"), F.lit(" "))
+    steps = [(f"(?iU){p}", " ") for p in _patterns(["hashtag_confession"])] + [(r"(?U)#\w+", " ")]
+    return only_if(text, lambda t: t.contains("#"), lambda t: replace_all(t, steps))
 
 
 def mask_surname_led_names(text: Column) -> Column:
@@ -61,7 +66,9 @@ def mask_surname_led_names(text: Column) -> Column:
     word = f"[{lex.NAME_START_VI}][a-z{lex.VI_LOWER}]+"
     named = rf"(?U)\b(?:{'|'.join(lex.CLEANING_SURNAMES)})\s+{word}(?:\s+{word})*"
     tag = literal(lex.NAME_TAG_VI)
-    return replace_all(text, [(named, lex.NAME_TAG_VI), (rf"(?U)(?:{tag}\s*){{2,}}", lex.NAME_TAG_VI + " ")])
+    steps = [(named, lex.NAME_TAG_VI), (rf"(?U)(?:{tag}\s*){{2,}}", lex.NAME_TAG_VI + " ")]
+    words = [*lex.CLEANING_SURNAMES, lex.NAME_TAG_VI]
+    return only_if(text, lambda t: holds_any(t, words), lambda t: replace_all(t, steps))
 
 
 def _table(block: str) -> dict[str, str]:
@@ -76,20 +83,33 @@ def emoji_to_words(text: Column) -> Column:
 
 def shorten_lengthened(text: Column) -> Column:
     """Runs of three or more letters keep two; repeated marks and laughter shrink."""
-    return replace_all(text, [
-        (rf"([a-z{lex.VI_LOWER}])\1{{2,}}", "$1$1"),
-        (rf"([{lex.REPEATABLE_UPPER}])\1{{2,}}", "$1$1"),
+    runs = [
+        (rf"(\S)\1{{2,}}(?<=[a-z{lex.VI_LOWER}])", "$1$1"),
+        (rf"(\S)\1{{2,}}(?<=[{lex.REPEATABLE_UPPER}])", "$1$1"),
         (r"([!?.])\1{2,}", "$1"),
-        *[(f"({syllable}){{3,}}", syllable * 2) for syllable in ("ha", "he", "hi", "hu")],
-    ])
+    ]
+    laughter = [(f"({syllable}){{3,}}", syllable * 2) for syllable in ("ha", "he", "hi", "hu")]
+    shorter = only_if(text, lambda t: t.rlike(r"(\S)\1\1"), lambda t: replace_all(t, runs))
+    return only_if(shorter, lambda t: t.rlike("h([aeiu])h\\1h\\1"), lambda t: replace_all(t, laughter))
 
 
 def expand_safe_abbreviations(text: Column, table=None) -> Column:
     """Whole-word, case-insensitive expansion, entry after entry."""
     pairs = lex.SAFE_ABBREVIATIONS if table is None else list(table)
-    any_key = rf"(?iU)(?<!\w)(?:{any_of({k for k, _ in pairs})})(?!\w)"
-    steps = [(rf"(?iU)(?<!\w){literal(k)}(?!\w)", v) for k, v in pairs]
-    return let(text, lambda t: F.when(t.rlike(any_key), replace_all(t, steps)).otherwise(t))
+    keys = {k for k, _ in pairs}
+    any_key = rf"(?U){any_caseless(keys, r'(?<!\w)')}(?!\w)"
+
+    def expand(t: Column) -> Column:
+        for run in independent_runs(pairs):
+            key = next(iter(run))
+            if len(run) > 1:
+                t = replace_words_any_case(t, run)
+            else:
+                one = [(whole_word(key), run[key])]
+                t = only_if(t, lambda c, k=key: holds_any(c, [k]), lambda c, o=one: replace_all(c, o))
+        return t
+
+    return only_if(text, lambda t: t.rlike(any_key), expand)
 
 
 def clean_post(text: Column) -> Column:
