@@ -122,7 +122,9 @@ def vocabulary(df: DataFrame, text: str, order: str, max_size: int = 30000, min_
     ``max_size``, are numbered.
     """
     seen = df.select(F.col(order).alias("_row"), F.posexplode(tokens(F.col(text))).alias("_pos", "token"))
-    counts = seen.groupBy("token").agg(F.count("*").alias("freq"), F.min(F.struct("_row", "_pos")).alias("first"))
+    # one decimal for row and position keeps the aggregate hash-based (a struct would sort all tokens)
+    place = F.col("_row").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("_pos")
+    counts = seen.groupBy("token").agg(F.count("*").alias("freq"), F.min(place).alias("first"))
     kept = (counts.filter((F.col("freq") >= min_count) & ~F.col("token").isin(lex.PAD, lex.UNK))
             .orderBy(F.col("freq").desc(), "first").limit(max(0, max_size - 2)))
     rank = F.row_number().over(Window.orderBy(F.col("freq").desc(), "first"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.labels import label_name_vi, strict_code
 from tidemark.functions.text import squash
 from tidemark.operators.ranking import digest, digest_bucket
+from tidemark.session import written
 
 STRATEGIES = {
     "label": ["label_id"],
@@ -27,8 +28,8 @@ BROADCAST_STRATA = 50_000
 
 def prepare(df: DataFrame, text: str, label: str) -> DataFrame:
     """Clean text, drop empty texts and null labels, add ``label_id`` and ``label_name``."""
-    clean = df.withColumn(text, squash(F.col(text))).filter((F.length(text) > 0) & F.col(label).isNotNull())
-    coded = clean.withColumn("label_id", strict_code(F.col(label)))
+    filled = df.filter(F.col(text).rlike(r"(?U)[^\s\x1c-\x1f]") & F.col(label).isNotNull())
+    coded = filled.withColumn(text, squash(F.col(text))).withColumn("label_id", strict_code(F.col(label)))
     return coded.withColumn("label_name", label_name_vi(F.col("label_id")))
 
 
@@ -51,28 +52,32 @@ def strategy_columns(df: DataFrame, strategy: str) -> list[str]:
     return wanted if all(c in df.columns for c in wanted) else ["label_id"]
 
 
-def usable_strata(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], int]:
+def usable_strata(df: DataFrame, columns: Sequence[str], keep: float) -> tuple[list[str], int, bool]:
     """The columns if every stratum has two rows, else the label alone, else an error.
 
-    Also gives the number of strata. One aggregate, two numbers to the driver.
+    Also gives the number of strata and whether every stratum still has two rows
+    after the share ``keep`` is taken out. One aggregate, three numbers to the driver.
     """
     for names in dict.fromkeys([tuple(columns), ("label_id",)]):
         counts = df.groupBy(stratum(names).alias("s")).count()
-        low, strata = counts.agg(F.min("count"), F.count("*")).first()
+        rest = F.col("count") - F.floor(F.col("count") * keep + 0.5 + 1e-9)
+        low, strata, left = counts.agg(F.min("count"), F.count("*"), F.min(rest)).first()
         if low is not None and low >= 2:
-            return list(names), strata
+            return list(names), strata, left >= 2
     raise ValueError("Cannot stratify: at least one label has fewer than 2 rows.")
 
 
 def cut(df: DataFrame, columns: Sequence[str], key: str, fractions: Sequence[float], names: Sequence[str],
-        seed: int = 42, into: str = "split", strata: int | None = None) -> DataFrame:
+        seed: int = 42, into: str = "split", strata: int | None = None, narrow: DataFrame | None = None) -> DataFrame:
     """Name each row by the piece of its stratum it falls into.
 
     ``fractions`` are the cumulative cut points, one fewer than ``names``.
+    ``narrow`` holds only the key and the stratum columns of the same rows.
     """
-    keyed = df.withColumns({"_s": stratum(columns), "_at": F.struct(
-        digest(F.col(key), seed).alias("d"), F.col(key).alias("k"))})
-    place = keyed.select("_s", "_at", digest_bucket(F.col("_at.d")).alias("_b"))
+    at = F.struct(digest(F.col(key), seed).alias("d"), F.col(key).alias("k"))
+    keyed = df.withColumns({"_s": stratum(columns), "_at": at})
+    place = (df if narrow is None else narrow).select(stratum(columns).alias("_s"), at.alias("_at")).withColumn(
+        "_b", digest_bucket(F.col("_at.d")))
     counts = place.groupBy("_s", "_b").agg(F.count("*").alias("_n"))
     by = Window.partitionBy("_s")
     placed = counts.withColumns({
@@ -105,12 +110,12 @@ def stratified_split(df: DataFrame, key: str, strategy: str = "label_data_type",
     """
     if val <= 0 or test <= 0 or val + test >= 1:
         raise ValueError("val and test must be > 0 and sum to < 1")
-    columns, strata = usable_strata(df, strategy_columns(df, strategy))
-    rest = F.col("count") - F.floor(F.col("count") * (1 - val - test) + 0.5 + 1e-9)
-    smallest = df.groupBy(stratum(columns).alias("s")).count().agg(F.min(rest)).first()[0]
-    if smallest >= 2 or columns == ["label_id"]:
-        return cut(df, columns, key, [1 - val - test, 1 - test], ["train", "val", "test"], seed, strata=strata)
-    first = cut(df, columns, key, [1 - val - test], ["train", "rest"], seed, strata=strata)
+    wanted = strategy_columns(df, strategy)
+    narrow = written(df.select(key, *dict.fromkeys(wanted + ["label_id"])), "strata")
+    columns, strata, roomy = usable_strata(narrow, wanted, 1 - val - test)
+    if roomy or columns == ["label_id"]:
+        return cut(df, columns, key, [1 - val - test, 1 - test], ["train", "val", "test"], seed, strata=strata, narrow=narrow)
+    first = cut(df, columns, key, [1 - val - test], ["train", "rest"], seed, strata=strata, narrow=narrow)
     second = cut(first.filter("split = 'rest'").drop("split"), ["label_id"], key, [val / (val + test)],
                  ["val", "test"], seed, strata=3)
     return first.filter("split = 'train'").unionByName(second)

@@ -312,10 +312,10 @@ def emoticons_sql(c):
 
 def angles_sql(c):
     tag = "[a-z]+(?:_[a-z]+)*"
-    kept = rx(c, rf"<\s*({tag})\s*>", r"{\1}")
+    kept = rx(c, rf"<\s*({tag})\s*>", "\ue100\\1\ue101")
     for _ in range(4):
-        kept = rx(kept, r"<\s*([^<>]*?)\s*>", r" \1 ")
-    return rx(kept, rf"\{{({tag})\}}", r"<\1>")
+        kept = rx(kept, "<\\s*([^<>\ue100\ue101]*?)\\s*>", r" \1 ")
+    return rx(kept, f"\ue100({tag})\ue101", r"<\1>")
 
 
 def post_ids_sql(c):
@@ -349,9 +349,9 @@ def punctuation_sql(c):
 
 
 def symbols_sql(c):
-    """Letters, digits and spaces stay; so do tags, with their underscores."""
-    pieces = f"regexp_extract_all({c}, '<[^<>]*>|[^<]+|<')"
-    return (f"array_to_string(list_transform({pieces}, lambda x: CASE WHEN regexp_full_match(x, '<[^<>]*>') THEN "
+    """Letters, digits and spaces stay; underscores only after an open bracket."""
+    pieces = f"regexp_extract_all({c}, '<[^<>]*|[^<]+')"
+    return (f"array_to_string(list_transform({pieces}, lambda x: CASE WHEN starts_with(x, '<') THEN "
             f"{rx('x', '[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}' + chr(92) + 's<>_]')} ELSE "
             f"{rx('x', '[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}' + chr(92) + 's<>]')} END), '')")
 
@@ -433,6 +433,14 @@ def _(t):
     return made.select("event_id", nz.numbers_to_words(F.col("text")).alias("words"))
 
 
+@query("n16_preprocess_without_digits", steps([
+    lambda c: f"lower(nfc_normalize(translate({c}, '0123456789', '')))", lambda c: rx(c, lex.BARE_URL, flags="gi"),
+    lambda c: f"translate({c}, '<>', '  ')", emoji_tags_sql, emoticons_sql, angles_sql, post_ids_sql, tags_sql,
+    lambda c: runs_sql(c, r"\p{L}", 1), short_sql, lambda c: symbols_sql(punctuation_sql(c)), squash_sql]))
+def _(t):
+    return t.social.select("doc_id", nz.preprocess(F.translate("text", "0123456789", ""), SHORT, BANNED).alias("text"))
+
+
 @query("n16_preprocess")
 def _(t):
     return t.social.select("doc_id", nz.preprocess(F.col("text"), SHORT, BANNED).alias("content_preprocessed"))

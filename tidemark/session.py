@@ -40,6 +40,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def written(df, name: str):
+    """The frame as a table written once under the shared folder.
+
+    It cuts the lineage and survives the loss of executors; use it for narrow
+    frames that several jobs read.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written intermediate table."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
