@@ -137,9 +137,10 @@ def encode(df: DataFrame, key: str, text: str, vocab: DataFrame, max_length: int
     The vocabulary has at most its own size cap of rows, so it is broadcast; the
     ids of one text, at most ``max_length``, are gathered again.
     """
-    heads = df.select(key, F.posexplode(F.slice(tokens(F.col(text)), 1, max_length)).alias("_pos", "token"))
-    coded = heads.join(F.broadcast(vocab.select("token", "id")), "token", "left").select(
-        key, F.struct("_pos", F.coalesce("id", F.lit(1)).alias("id")).alias("_e"))
+    heads = df.select(key, F.posexplode(F.slice(tokens(F.col(text)), 1, max_length)).alias("_pos", "_token"))
+    known = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id"))
+    coded = heads.join(F.broadcast(known), "_token", "left").select(
+        key, F.struct("_pos", F.coalesce("_id", F.lit(1)).alias("id")).alias("_e"))
     grouped = coded.groupBy(key).agg(F.sort_array(F.collect_list("_e")).alias("_e"))
     ids = F.transform("_e", lambda e: e["id"])
     pad = F.array_repeat(F.lit(0), F.lit(max_length) - F.size("_e"))
