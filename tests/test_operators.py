@@ -26,6 +26,18 @@ def test_numbering_with_a_hot_key_and_small_buckets(spark):
     assert [r["row_no"] for r in sorted(rk.numbered(rows, "id", bits=4).collect())] == list(range(1, 5001))
 
 
+def test_running_values_over_sparse_orders(spark, monkeypatch):
+    monkeypatch.setattr(rk, "TOP_BITS", 3)
+    rows = spark.range(400).select((F.col("id") * F.col("id") * 977).alias("at"), (F.col("id") % 3).alias("k"), (F.col("id") % 11).alias("v"))
+    got = rk.prefix_scan(rows, ["k"], ["at"], F.shiftright("at", 8), {"total": F.col("v")}, {"top": F.col("v")}).collect()
+    assert len(got) == 400
+    state: dict = {}
+    for r in sorted(got, key=lambda r: r["at"]):
+        total, top = state.get(r["k"], (0, 0))
+        state[r["k"]] = (total + r["v"], max(top, r["v"]))
+        assert (r["total"], r["top"]) == state[r["k"]]
+
+
 def test_hot_key_is_split_before_the_window(spark):
     plan = rk.numbered(spark.range(10).withColumn("k", F.lit(1)), "id", ["k"])._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_group" in plan and "SinglePartition" not in plan

@@ -2,8 +2,9 @@
 
 A window over a hot key (or over no key at all) would send its whole group to
 one task. ``prefix_scan`` cuts each group into ordered buckets, scans inside the
-buckets in parallel, and adds the totals of the earlier buckets, which are one
-small row per bucket.
+buckets in parallel, and adds the totals of the earlier buckets. Those totals are
+one small row per bucket and are scanned the same way, so sparse orders with
+very many buckets are safe too.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_BITS = 18
+BUCKET_BITS = 20
+TOP_BITS = 22
 
 
 def integer_bucket(order: Column, bits: int = BUCKET_BITS) -> Column:
@@ -37,32 +39,42 @@ def pack(names: Sequence[str], *more: Column) -> Column:
 
 
 def prefix_scan(df: DataFrame, by: Sequence[str], order: Sequence[str], bucket: Column,
-                sums: Mapping[str, Column] | None = None,
-                maxima: Mapping[str, Column] | None = None) -> DataFrame:
+                sums: Mapping[str, Column] | None = None, maxima: Mapping[str, Column] | None = None,
+                exclusive: bool = False, nested: bool = True) -> DataFrame:
     """Running sums and maxima within ``by`` in the given order.
 
-    ``bucket`` must not decrease along the order. One shuffle of the rows, by
-    group and bucket; the totals are joined on the same keys.
+    ``bucket`` is an integer that does not decrease along the order; with
+    ``exclusive`` a row's own value is left out. One shuffle of the rows, by group
+    and bucket; the totals are joined on the same keys.
+
+    With 64-bit orders a bucket holds at most ``2**BUCKET_BITS`` rows, a bucket of
+    totals ``2**TOP_BITS``, and so does the last scan over those.
     """
     sums, maxima = dict(sums or {}), dict(maxima or {})
-    keyed = df.withColumn("_group", pack(by, bucket.alias("_bucket")))
-    running = Window.partitionBy("_group").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    group, place = ("_group", "_place") if nested else ("_group2", "_place2")
+    keyed = df.withColumn(group, pack(by, bucket.alias(place)))
+    running = Window.partitionBy(group).orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, -1 if exclusive else 0)
     local = keyed.select(
         "*", *[F.sum(c).over(running).alias(n) for n, c in sums.items()],
         *[F.max(c).over(running).alias(n) for n, c in maxima.items()])
-    totals = keyed.groupBy("_group").agg(
+    totals = keyed.groupBy(group).agg(
         *[F.sum(c).alias("_t_" + n) for n, c in sums.items()],
         *[F.max(c).alias("_t_" + n) for n, c in maxima.items()])
-    earlier = (Window.partitionBy(*[F.col(f"_group.{b}") for b in by]).orderBy("_group._bucket")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(
-        F.col("_group").alias("_of"),
-        *[F.sum("_t_" + n).over(earlier).alias("_o_" + n) for n in sums],
-        *[F.max("_t_" + n).over(earlier).alias("_o_" + n) for n in maxima])
-    joined = local.join(offsets, F.col("_group") == F.col("_of"), "left")
+    flat = totals.select(F.col(group).alias(group + "_of"), F.col(f"{group}.{place}").alias(place),
+                         *[F.col(f"{group}.{b}").alias(b) for b in by], *["_t_" + n for n in [*sums, *maxima]])
+    before = {"_o_" + n: F.col("_t_" + n) for n in sums}, {"_o_" + n: F.col("_t_" + n) for n in maxima}
+    if nested:
+        offsets = prefix_scan(flat, by, [place], F.shiftright(place, TOP_BITS), *before, exclusive=True, nested=False)
+    else:
+        earlier = Window.partitionBy(*by).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = flat.select(group + "_of", *[F.sum(c).over(earlier).alias(n) for n, c in before[0].items()],
+                              *[F.max(c).over(earlier).alias(n) for n, c in before[1].items()])
+    offsets = offsets.select(group + "_of", *["_o_" + n for n in [*sums, *maxima]])
+    joined = local.join(offsets, F.col(group) == F.col(group + "_of"), "left")
+    total = lambda n: F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col("_o_" + n), F.lit(0))
     return joined.select(
-        *df.columns,
-        *[(F.col(n) + F.coalesce(F.col("_o_" + n), F.lit(0))).alias(n) for n in sums],
+        *df.columns, *[total(n).alias(n) for n in sums],
         *[F.greatest(F.col(n), F.col("_o_" + n)).alias(n) for n in maxima])
 
 

@@ -97,9 +97,19 @@ class Changes:
     ledger: DataFrame
 
 
+def matching(stored: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The stored keys that the input asks for, each once.
+
+    The store is first reduced to the input's keys: a small input is broadcast
+    and the stored keys are only scanned, not shuffled.
+    """
+    return stored.select(*keys).join(incoming.select(*keys).distinct(), list(keys), "left_semi").distinct()
+
+
 def fresh_batches(batches: DataFrame, ledger: DataFrame) -> DataFrame:
     """Batches that were not processed before, each id once."""
-    return batches.join(ledger.select("batch_id").distinct(), "batch_id", "left_anti").dropDuplicates(["batch_id"])
+    known = matching(ledger, batches, ["batch_id"])
+    return batches.join(known, "batch_id", "left_anti").dropDuplicates(["batch_id"])
 
 
 def repeated_results(batches: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -162,7 +172,7 @@ def batch_changes(batches: DataFrame, ledger: DataFrame, post_keys: DataFrame, c
     place = F.struct("batch_id", "pos")
     versions = usable.groupBy("content_hash").agg(
         F.min(place).alias("_first"), F.max_by(F.struct(*[c for c in POST_COLUMNS if c != "content_hash"]), place).alias("_last"))
-    stored = post_keys.select("content_hash").distinct().withColumn("_stored", F.lit(True))
+    stored = matching(post_keys, usable, ["content_hash"]).withColumn("_stored", F.lit(True))
     judged = versions.join(stored, "content_hash", "left").withColumn("_is_new", F.col("_stored").isNull())
     current = judged.select("content_hash", *[F.col(f"_last.{c}").alias(c) for c in POST_COLUMNS if c != "content_hash"],
                             F.when(F.col("_is_new"), "inserted").otherwise("updated").alias("action"))
@@ -181,7 +191,7 @@ def batch_changes(batches: DataFrame, ledger: DataFrame, post_keys: DataFrame, c
 
     notes = comments_of(posts)
     keys = ["post_hash", "content_hash"]
-    known = comment_keys.select(*keys).distinct()
+    known = matching(comment_keys, notes, keys)
     added = first_per_key(notes.join(known, keys, "left_anti"), F.struct(*keys), ["batch_id", "pos", "cpos"]).select(*COMMENT_COLUMNS)
 
     sources = last_per_key(fresh.select("batch_id", "source.*"), ["url"], ["batch_id"]).drop("batch_id")

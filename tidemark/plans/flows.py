@@ -105,7 +105,7 @@ def _(t):
     return wr.report_rows(t.news, datetime(2024, 1, 5), datetime(2024, 1, 12))
 
 
-@query("snk4_report_ledger", "SELECT 7 AS report_id, 'completed' AS status, count(*) AS rows FROM {news} WHERE deleted_at IS NULL")
+@query("snk4_report_ledger", "SELECT CAST(7 AS BIGINT) AS report_id, 'completed' AS status, count(*) AS rows FROM {news} WHERE deleted_at IS NULL")
 def _(t):
     folder = scratch_path(t.spark, "reports")
     ledger = wr.write_report(t.news, folder, 7)
@@ -219,14 +219,14 @@ def _(t):
 @query("agg22_batch_counters", "WITH " + FRESH + """,
 a AS (SELECT batch_id, count(*) AS total_received, count(*) FILTER (blank) AS skipped FROM d WHERE right(batch_id, 1) <> '5' GROUP BY ALL),
 i AS (SELECT batch_id, count(*) AS inserted FROM f WHERE place = 1 AND h NOT IN (SELECT h FROM old) GROUP BY ALL)
-SELECT batch_id, total_received, coalesce(inserted, 0) AS inserted, total_received - skipped - coalesce(inserted, 0) AS updated, skipped, 0 AS failed, 'success' AS status
+SELECT batch_id, total_received, coalesce(inserted, 0) AS inserted, total_received - skipped - coalesce(inserted, 0) AS updated, skipped, CAST(0 AS BIGINT) AS failed, 'success' AS status
 FROM a LEFT JOIN i USING (batch_id)""")
 def _(t):
     return _changes(t).ledger
 
 
 @query("ups4_repeated_batches", "WITH " + FEED + """
-SELECT batch_id, count(*) AS total_received, 0 AS inserted, 0 AS updated, count(*) AS skipped, 0 AS failed, 'repeated' AS status
+SELECT batch_id, count(*) AS total_received, CAST(0 AS BIGINT) AS inserted, CAST(0 AS BIGINT) AS updated, count(*) AS skipped, CAST(0 AS BIGINT) AS failed, 'repeated' AS status
 FROM d WHERE right(batch_id, 1) = '5' GROUP BY ALL""")
 def _(t):
     return up.repeated_results(batches(t), _state(t)[0])

@@ -480,7 +480,7 @@ def _(t):
     return dic.rule_rows(t.customer.select(line.alias("line")))
 
 
-@query("src11_line_list", "SELECT doc_id AS line_no, source AS line FROM documents WHERE doc_id % 3 = 0")
+@query("src11_line_list", "SELECT CAST(doc_id AS INT) AS line_no, source AS line FROM documents WHERE doc_id % 3 = 0")
 def _(t):
     line = F.expr("CASE doc_id % 3 WHEN 0 THEN concat('  ', source, ' ') WHEN 1 THEN concat('# ', source) ELSE '   ' END")
     return dic.kept_lines(t.documents.select(line.alias("line"), F.col("doc_id").alias("line_no")), "none")

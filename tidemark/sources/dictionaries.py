@@ -82,7 +82,6 @@ def kept_lines(lines: DataFrame, default: str, line: str = "line", order: str =
     text = strip_space(F.col(line))
     kept = lines.select(F.col(order).alias("line_no"), text.alias("line")).filter(
         (F.col("line") != "") & ~F.col("line").startswith("#"))
-    fallback = lines.sparkSession.createDataFrame([(-1, default)], "line_no int, line string")
-    both = kept.select(F.col("line_no").cast("int").alias("line_no"), "line").unionByName(fallback)
-    some = both.agg(F.max("line_no").alias("_last"))
-    return both.join(F.broadcast(some), (F.col("line_no") >= 0) | (F.col("_last") < 0)).drop("_last")
+    if kept.isEmpty():
+        return lines.sparkSession.createDataFrame([(-1, default)], "line_no int, line string")
+    return kept.select(F.col("line_no").cast("int").alias("line_no"), "line")

@@ -17,13 +17,16 @@ RAW_COMMENTS = "id long, post_id long, content string, source string, collected_
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str | StructType | None = None,
-             encoding: str = "UTF-8") -> DataFrame:
+             encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
     """CSV with a header, quoted multi-line values and doubled quotes.
 
+    Multi-line files are read whole, one task per file; where no value holds a
+    line break, ``multi_line=False`` lets Spark split big files.
+
     Without a schema every column is read as text, from the header only; no
     pass over the data is spent on guessing types.
     """
-    reader = spark.read.options(header=True, multiLine=True, quote='"', escape='"', encoding=encoding,
+    reader = spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"', encoding=encoding,
                                 ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     if schema is not None:
         reader = reader.schema(schema)
