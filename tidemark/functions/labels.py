@@ -109,25 +109,20 @@ def normalize_scores(scores: Column, chosen: Column) -> Column:
     is positive the chosen label gets one.
     """
 
-    def score_of(name: str) -> Column:
-        mine = F.filter(scores, lambda s: raw_label(F.coalesce(s["label"], F.lit(""))) == name)
-        return F.coalesce(F.try_element_at(mine, F.lit(-1))["score"], F.lit(0.0))
-
-    raw = [score_of(name) for name in lex.RAW_LABELS]
-    empty = raw[0] <= 0
-    for r in raw[1:]:
-        empty = empty & (r <= 0)
-    made = [
-        F.struct(
-            F.lit(i).alias("rank"),
-            F.lit(name).alias("label"),
-            F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(empty & (chosen == name), 1.0).otherwise(r))).alias("score"),
-        )
-        for i, (name, r) in enumerate(zip(lex.RAW_LABELS, raw))
-    ]
-    keyed = F.transform(F.array(*made), lambda s: F.struct(
-        (-s["score"]).alias("k"), s["rank"].alias("rank"), s["label"].alias("label"), s["score"].alias("score")))
-    return F.transform(F.array_sort(keyed), lambda s: F.struct(s["label"].alias("label"), s["score"].alias("score")))
+    named = F.transform(scores, lambda s: F.struct(
+        raw_label(F.coalesce(s["label"], F.lit(""))).alias("label"), s["score"].alias("score")))
+    last = lambda all_scores, name: F.coalesce(
+        F.try_element_at(F.filter(all_scores, lambda s: s["label"] == name), F.lit(-1))["score"], F.lit(0.0))
+
+    def ranked(raw: Column) -> Column:
+        empty = F.array_max(raw) <= 0
+        made = [F.struct(
+            (-F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(empty & (chosen == name), 1.0).otherwise(raw[i])))).alias("down"),
+            F.lit(i).alias("rank"), F.lit(name).alias("label")) for i, name in enumerate(lex.RAW_LABELS)]
+        return F.transform(F.array_sort(F.array(*made)), lambda s: F.struct(
+            s["label"].alias("label"), (-s["down"] + 0.0).alias("score")))
+
+    return let(let(named, lambda all_scores: F.array(*[last(all_scores, n) for n in lex.RAW_LABELS])), ranked)
 
 
 def prediction(answer: Column) -> Column:

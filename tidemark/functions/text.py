@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import lexicon as lex
 from tidemark.functions.regex import (
-    any_caseless, holds_any, independent_runs, literal, only_if, replace_all, replace_words,
+    any_caseless, holds_any, independent_runs, let, literal, only_if, replace_all, replace_words,
     replace_words_any_case, whole_word)
 
 SPACE = r"(?U)[\s\x1c-\x1f]+"
@@ -124,25 +124,25 @@ def clean_post(text: Column) -> Column:
 def validity(text: Column, min_length: int = lex.MIN_LENGTH,
              max_special: float = lex.MAX_SPECIAL_RATIO) -> Column:
     """``struct(is_valid, reason)``; the first rule that fails gives the reason."""
-    n = F.length(text)
-    special = n - F.length(F.regexp_replace(
-        text, F.lit(rf"(?U)[^a-z{lex.VI_LOWER}A-Z{lex.VI_UPPER}0-9\s]"), F.lit("")))
-    untagged = F.length(strip_space(F.regexp_replace(text, F.lit(literal(lex.NAME_TAG_VI)), F.lit(""))))
-
-    def said(template: str) -> Column:
-        out = F.lit(template)
-        out = F.replace(out, F.lit("{n}"), n.cast("string"))
-        return F.replace(out, F.lit("{k}"), special.cast("string"))
-
-    reason = (
-        F.when(n < min_length, said(lex.REASON_SHORT))
-        .when((n > 0) & (special / n > max_special), said(lex.REASON_SPECIAL))
-        .when(untagged < min_length, F.lit(lex.REASON_ONLY_TAG))
-        .when(text.rlike(r"(?U)^[\d\s\.,]+$"), F.lit(lex.REASON_DIGITS))
-        .when(text.rlike(r"(?U)^[\s\W]+$"), F.lit(lex.REASON_PUNCT))
-        .otherwise(F.lit(lex.REASON_OK))
-    )
-    return F.struct((reason == lex.REASON_OK).alias("is_valid"), reason.alias("reason"))
+    # plain letters go first with a quick class, so the long one sees little text
+    rest = F.regexp_replace(text, F.lit(r"(?U)[a-zA-Z0-9\s\x1c-\x1f]+"), F.lit(""))
+    special = F.length(F.regexp_replace(rest, F.lit(f"[{lex.VI_LOWER}{lex.VI_UPPER}]+"), F.lit("")))
+    untagged = F.length(strip_space(F.replace(text, F.lit(lex.NAME_TAG_VI), F.lit(""))))
+    facts = F.struct(text.alias("t"), F.length(text).alias("n"), special.alias("k"), untagged.alias("u"))
+
+    def said(template: str, f: Column) -> Column:
+        out = F.replace(F.lit(template), F.lit("{n}"), f["n"].cast("string"))
+        return F.replace(out, F.lit("{k}"), f["k"].cast("string"))
+
+    def reason(f: Column) -> Column:
+        return (F.when(f["n"] < min_length, said(lex.REASON_SHORT, f))
+                .when((f["n"] > 0) & (f["k"] / f["n"] > max_special), said(lex.REASON_SPECIAL, f))
+                .when(f["u"] < min_length, F.lit(lex.REASON_ONLY_TAG))
+                .when(f["t"].rlike(r"(?U)^[\d\s\.,]+$"), F.lit(lex.REASON_DIGITS))
+                .when(f["t"].rlike(r"(?U)^[\s\W]+$"), F.lit(lex.REASON_PUNCT))
+                .otherwise(F.lit(lex.REASON_OK)))
+
+    return let(let(facts, reason), lambda r: F.struct((r == lex.REASON_OK).alias("is_valid"), r.alias("reason")))
 
 
 def content_lines(text: Column) -> Column:

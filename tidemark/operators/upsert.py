@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -106,10 +106,14 @@ def matching(stored: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> Dat
     return stored.select(*keys).join(incoming.select(*keys).distinct(), list(keys), "left_semi").distinct()
 
 
-def fresh_batches(batches: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Batches that were not processed before, each id once."""
+def fresh_batches(batches: DataFrame, ledger: DataFrame, unique: bool = False) -> DataFrame:
+    """Batches that were not processed before, each id once.
+
+    ``unique`` says that no id comes twice, which saves moving the payloads.
+    """
     known = matching(ledger, batches, ["batch_id"])
-    return batches.join(known, "batch_id", "left_anti").dropDuplicates(["batch_id"])
+    fresh = batches.join(known, "batch_id", "left_anti")
+    return fresh if unique else fresh.dropDuplicates(["batch_id"])
 
 
 def repeated_results(batches: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -159,15 +163,17 @@ POST_COLUMNS = ["content_hash", "source_url", "external_id", "url", "content", "
 COMMENT_COLUMNS = ["post_hash", "content_hash", "content", "normalized_content", "collected_at"]
 
 
-def batch_changes(batches: DataFrame, ledger: DataFrame, post_keys: DataFrame, comment_keys: DataFrame) -> Changes:
+def batch_changes(batches: DataFrame, ledger: DataFrame, post_keys: DataFrame, comment_keys: DataFrame,
+                  unique: bool = False, stage: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> Changes:
     """Classify a set of batches against the stored keys.
 
     Posts: a key that is stored, or came earlier in the set, is an update; the
     last version wins. Comments: stored or earlier keys are dropped. Blank posts
-    are skipped. Batches already in the ledger change nothing.
+    are skipped. Batches already in the ledger change nothing. ``stage`` may write
+    the flat posts once, since several results are derived from them.
     """
-    fresh = fresh_batches(batches, ledger)
-    posts = posts_of(fresh)
+    fresh = fresh_batches(batches, ledger, unique)
+    posts = stage(posts_of(fresh), "posts")
     usable = posts.filter(~F.col("is_blank_post"))
     place = F.struct("batch_id", "pos")
     versions = usable.groupBy("content_hash").agg(

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from tidemark.operators.ranking import duplicate_streaks
 from tidemark.operators.triage import triage
 from tidemark.operators.upsert import BATCH_SCHEMA, batch_changes
-from tidemark.session import scratch_path
+from tidemark.session import written
 from tidemark.streaming.store import ChangeStore
 
 
@@ -24,22 +24,19 @@ def read_batch_stream(spark: SparkSession, path: str, files_per_trigger: int = 1
 def apply_batches(store: ChangeStore, batches: DataFrame, epoch: int, label: bool = True) -> None:
     """Write what one micro-batch changes; the same epoch again gives the same tables.
 
-    The input is written once under the shared folder, since several tables are
-    derived from it.
+    The flat posts are written once under the shared folder, since several tables
+    are derived from them.
     """
-    spark = store.spark
-    staged = scratch_path(spark, f"ingest-{epoch}")
-    batches.write.mode("overwrite").parquet(staged)
-    kept = spark.read.schema(batches.schema).parquet(staged)
+    ids = batches.groupBy("batch_id").count().agg(F.max("count")).first()[0]
     changes = batch_changes(
-        kept, store.changes("ledger", epoch), store.changes("posts", epoch).select("content_hash"),
-        store.changes("comments", epoch).select("post_hash", "content_hash"))
+        batches, store.changes("ledger", epoch), store.changes("posts", epoch).select("content_hash"),
+        store.changes("comments", epoch).select("post_hash", "content_hash"), unique=ids in (None, 1), stage=written)
     store.append("sources", changes.sources, epoch)
     store.append("posts", changes.posts, epoch)
     store.append("comments", changes.comments, epoch)
     if label:
-        written = store.changes("posts").filter(F.col("epoch") == epoch)
-        store.append("analyses", triage(written.select("content_hash", "content")), epoch)
+        new_posts = store.changes("posts").filter(F.col("epoch") == epoch)
+        store.append("analyses", triage(new_posts.select("content_hash", "content")), epoch)
     store.append("ledger", changes.ledger, epoch)
 
 
