@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,11 @@ def parse_timestamp(text: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(head, F.lit(f)) for f in forms]).cast("timestamp_ntz")
 
 
+def naive_time(value: datetime) -> Column:
+    """A literal without time zone, whatever the zones of session and process."""
+    return F.lit(str(value)).cast("timestamp_ntz")
+
+
 def content_hash(*parts: Column) -> Column:
     """sha256 over the parts joined by a bar; a null part counts as empty."""
     texts = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]

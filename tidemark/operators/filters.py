@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.parse import naive_time
 from tidemark.functions.text import clean_post, hashtags, is_blank, is_post_code, validity
 
 IMPORTANT = ["high", "critical"]
@@ -40,9 +41,9 @@ def select_news(df: DataFrame, search: str | None = None, source_id: int | None
         conditions.append(text_search(search, columns))
     created = F.col("created_at")
     if date_from:
-        conditions.append(created >= F.lit(date_from).cast("timestamp_ntz"))
+        conditions.append(created >= naive_time(date_from))
     if date_to:
-        conditions.append(created <= F.lit(date_to).cast("timestamp_ntz"))
+        conditions.append(created <= naive_time(date_to))
     out = live(df)
     for condition in conditions:
         out = out.filter(condition)

@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import written
+
 BUCKET_BITS = 20
 TOP_BITS = 22
 
@@ -111,10 +113,11 @@ def duplicate_streaks(df: DataFrame, by: Sequence[str], order: str, is_known: Co
     reaches ``threshold`` are cut. A new row resets the run.
 
     ``carried`` continues an earlier input: ``by``, ``streak`` and ``stopped``,
-    one row per group.
+    one row per group. The numbered rows and the runs are written once each, since
+    later steps read them several times; pass only the columns that are needed.
     """
     flagged = df.withColumns({"_new": F.when(is_known, 0).otherwise(1), "_key": pack(by)})
-    counted = numbered(flagged, order, ["_key"], "_n")
+    counted = written(numbered(flagged, order, ["_key"], "_n"), "streak-rows")
     runs = prefix_scan(counted, ["_key"], [order], integer_bucket(F.col(order)),
                        maxima={"_last_new": F.when(F.col("_new") == 1, F.col("_n")).otherwise(0)})
     streak = F.col("_n") - F.col("_last_new")
@@ -122,7 +125,7 @@ def duplicate_streaks(df: DataFrame, by: Sequence[str], order: str, is_known: Co
         before = carried.select(pack(by).alias("_key"), F.col("streak").alias("_carry"), "stopped")
         runs = runs.join(before, "_key", "left").filter(~F.coalesce("stopped", F.lit(False)))
         streak = streak + F.when(F.col("_last_new") == 0, F.coalesce("_carry", F.lit(0))).otherwise(0)
-    runs = runs.withColumn("streak", streak)
+    runs = written(runs.withColumn("streak", streak).select(*df.columns, "_key", "_n", "streak"), "streak-runs")
     stops = runs.filter(F.col("streak") == threshold).groupBy("_key").agg(F.min("_n").alias("_stop"))
     kept = runs.join(stops, "_key", "left").filter(F.col("_stop").isNull() | (F.col("_n") <= F.col("_stop")))
     return kept.select(*df.columns, "streak")

@@ -16,7 +16,7 @@ from tidemark.operators import upsert as up
 from tidemark.plans.base import Tables, query
 from tidemark.plans.labels import RULES
 from tidemark.plans.relational import SPLIT_SQL, SQUASH, STREAK_SQL, _labelled
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, written
 from tidemark.sources import tables as src
 from tidemark.sources import writers as wr
 from tidemark.streaming import ingest as st
@@ -200,7 +200,7 @@ def _state(t):
 
 
 def _changes(t):
-    return up.batch_changes(batches(t), *_state(t))
+    return up.batch_changes(batches(t), *_state(t), stage=written)
 
 
 FRESH = FEED + """,

@@ -18,7 +18,7 @@ from tidemark.operators import splits as sp
 from tidemark.operators import upsert as up
 from tidemark.operators import votes as vt
 from tidemark.functions import lexicon as lex
-from tidemark.functions.parse import text_key
+from tidemark.functions.parse import naive_time, text_key
 from tidemark.functions.text import is_blank
 from tidemark.plans.base import query
 
@@ -890,5 +890,5 @@ CASE WHEN source_id = 7 AND deleted_at IS NULL THEN TIMESTAMP '2024-02-01 00:00:
 def _(t):
     out = up.set_status(t.news, [1, 2, 3, 50], "archived")
     out = up.update_fields(out, F.col("topic") == "error", importance_level="high")
-    out = up.soft_delete(out, F.col("source_id") == 7, F.lit(datetime(2024, 2, 1)).cast("timestamp_ntz"))
+    out = up.soft_delete(out, F.col("source_id") == 7, naive_time(datetime(2024, 2, 1)))
     return out.select("id", "status", "importance_level", "deleted_at")

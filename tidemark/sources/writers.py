@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import lexicon as lex
-from tidemark.functions.parse import comment_hash, content_hash, parse_digits, parse_timestamp
+from tidemark.functions.parse import comment_hash, content_hash, naive_time, parse_digits, parse_timestamp
 from tidemark.functions.text import squash
 from tidemark.operators.filters import live
 from tidemark.operators.joins import children_of
@@ -42,9 +42,9 @@ def report_rows(news: DataFrame, date_from: datetime | None = None, date_to: dat
     """Live items of the period, newest first, under the report's headings."""
     rows = live(news)
     if date_from:
-        rows = rows.filter(F.col("created_at") >= F.lit(date_from).cast("timestamp_ntz"))
+        rows = rows.filter(F.col("created_at") >= naive_time(date_from))
     if date_to:
-        rows = rows.filter(F.col("created_at") <= F.lit(date_to).cast("timestamp_ntz"))
+        rows = rows.filter(F.col("created_at") <= naive_time(date_to))
     ordered = rows.orderBy(F.col("created_at").desc(), F.col("id").desc())
     return ordered.select(*[F.col(c).alias(h) for c, h in lex.REPORT_COLUMNS.items()])
 
