@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.labels import class_code
 from tidemark.functions.parse import clean_id, text_key
 from tidemark.functions.text import is_blank
-from tidemark.operators.ranking import numbered, occurrence, pack
+from tidemark.operators.ranking import numbered, occurrence
 
 KEY_NAMES = ("id", "comment_id", "post_id")
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tidemark.functions import lexicon as lex
 from tidemark.functions.labels import clean_label
 from tidemark.functions.regex import let
-from tidemark.functions.text import is_blank
 
 
 def majority(labels: Sequence[Column]) -> Column:

@@ -7,10 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import lexicon as lex
-from tidemark.functions.text import squash
 from tidemark.operators import filters as flt
-from tidemark.operators import joins as jn
 from tidemark.operators import splits as sp
 from tidemark.operators import upsert as up
 from tidemark.plans.base import Tables, query

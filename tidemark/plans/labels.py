@@ -9,7 +9,6 @@ from tidemark.functions import lexicon as lex
 from tidemark.functions.parse import clean_id
 from tidemark.operators import labeling as lab
 from tidemark.operators import triage as tri
-from tidemark.operators import votes as vt
 from tidemark.plans.base import query
 from tidemark.plans.relational import VOTES
 
