@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate
+from tidemark.llm import decontaminate, sharding, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -57,3 +57,20 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("long").alias("n_items"),
         F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
         decontaminate.is_contaminated(F.col("found")).alias("contaminated"))
+
+
+@query("op8_sharding")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 40 shards by key."""
+    rows = sharding.assign(table(spark, folder, "documents"), "doc_id", "text", 40)
+    return rows.withColumn("law", F.lit("key"))
+
+
+URL_RULES = [urls.Rule("allow", "com", "/"), urls.Rule("block", "example.com", "/en/"), urls.Rule("allow", "www.example.com", "/en/"),
+             urls.Rule("block", "net", "/es/"), urls.Rule("block", "net", "/fr/")]
+
+
+@query("op10_url_filter")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's url by rules and templates."""
+    return urls.filter_urls(table(spark, folder, "pages"), "page_id", "url", URL_RULES)
