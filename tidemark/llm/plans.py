@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, sharding, urls
+from tidemark.llm import decontaminate, sharding, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -74,3 +74,24 @@ URL_RULES = [urls.Rule("allow", "com", "/"), urls.Rule("block", "example.com", "
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Every page's url by rules and templates."""
     return urls.filter_urls(table(spark, folder, "pages"), "page_id", "url", URL_RULES)
+
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_SHA1_32 = " || ".join(
+    f"substr('{_BASE32}', ((CAST(concat('0x', substr(h, {10 * g + 1}, 10)) AS BIGINT) >> {35 - 5 * i}) & 31)::INT + 1, 1)"
+    for g in range(4) for i in range(8))
+
+
+@query("op4_warc", f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages WHERE page_id IS NOT NULL),
+    d AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS h,
+                 max(page_id) OVER (PARTITION BY body) AS keeper FROM p)
+    SELECT page_id, payload_bytes, {_SHA1_32} AS payload_digest,
+           CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN keeper <> page_id THEN keeper END AS refers_to FROM d""")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to bundles and read back."""
+    path = warc.archive_folder(spark)
+    index = warc.write_bundles(warc.plan_records(table(spark, folder, "pages"), "page_id", "url", "html"), path)
+    return warc.read_bundles(index, path, payload=False).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
