@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, sharding, urls, warc
+from tidemark.llm import decontaminate, packing, sharding, tokens, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -95,3 +95,22 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     index = warc.write_bundles(warc.plan_records(table(spark, folder, "pages"), "page_id", "url", "html"), path)
     return warc.read_bundles(index, path, payload=False).select(
         F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op2_token_counts")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document."""
+    rows = tokens.count_tokens(table(spark, folder, "documents"), "doc_id", "text", tokenizer_file())
+    return rows.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+@query("op3_packing")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens."""
+    return packing.pack(table(spark, folder, "documents"), "doc_id", "text", tokenizer_file())
