@@ -1,7 +1,7 @@
 """Packing of token sequences by Karmarkar-Karp multiway differencing.
 
 A document's tokens (with a closing id) are cut into full windows, which stand
-alone, and a rest, cut into near-equal pieces of at most ``piece`` tokens. The
+alone, and a rest, which is halved down to pieces of ``least`` tokens. The
 pieces are dealt by hash into batches of about ``windows`` windows. A batch is
 partitioned into k near-equal windows by multiway differencing: partial
 partitions wait in a heap by the difference of their largest and smallest sum;
@@ -29,17 +29,21 @@ _PIECES = pa.struct([("tokens", pa.int64()), ("pieces", pa.list_(pa.struct(
     [("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64())])))])
 
 
-def cuts(tokens: int, capacity: int, piece: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of a document of ``tokens`` tokens."""
-    full = tokens // capacity * capacity
-    found = [(s, capacity) for s in range(0, full, capacity)]
-    rest = tokens - full
-    parts = -(-rest // piece)
-    edge = [full + rest * i // parts for i in range(parts + 1)] if parts else []
-    return found + [(a, b - a) for a, b in zip(edge, edge[1:])]
+def cuts(tokens: int, capacity: int, least: int) -> list[tuple[int, int]]:
+    """(start, length) of a document's pieces: full windows, then halves of what is left, down to ``least`` tokens.
+
+    Unlike sizes let the differences cancel.
+    """
+    found, at = [], 0
+    while at < tokens:
+        rest = tokens - at
+        size = capacity if rest >= capacity else rest if rest <= least else (rest + 1) // 2
+        found.append((at, size))
+        at += size
+    return found
 
 
-def cut_pieces(text: Column, path: str, end_id: int, capacity: int, piece: int) -> Column:
+def cut_pieces(text: Column, path: str, end_id: int, capacity: int, least: int) -> Column:
     """Token count and pieces of each text, with the crc32 of each piece's ids; the closing id is counted."""
     closing = np.array([end_id], "<u4").tobytes()
 
@@ -50,7 +54,7 @@ def cut_pieces(text: Column, path: str, end_id: int, capacity: int, piece: int)
             ids += closing
             n = len(ids) // 4
             rows.append({"tokens": n, "pieces": [{"start": s, "length": k, "crc": zlib.crc32(ids[4 * s:4 * (s + k)])}
-                                                 for s, k in cuts(n, capacity, piece)]})
+                                                 for s, k in cuts(n, capacity, least)]})
         return pa.array(rows, _PIECES)
 
     return run(text)
@@ -60,32 +64,34 @@ def differencing(lengths: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Window of each item and the windows' sums, by multiway differencing into ``k`` windows.
 
     A partial partition is a vector of k sums in falling order; merging two adds
-    one's to the other's in reverse. Ties go by the order of making.
+    one's to the other's in reverse. Ties go by the order of making. Which item
+    lies where is read back from the merges at the end.
     """
-    members: list[list] = []
+    n = len(lengths)
     heap = []
-    for i, n in enumerate(lengths):
+    for i, size in enumerate(lengths.tolist()):
         sums = np.zeros(k, np.int64)
-        sums[0] = n
-        members.append([[i], *([] for _ in range(k - 1))])
-        heapq.heappush(heap, (-int(n), i, sums))
+        sums[0] = size
+        heap.append((-size, i, sums))
+    heapq.heapify(heap)
+    merges = []
     while len(heap) > 1:
         _, a, left = heapq.heappop(heap)
         _, b, right = heapq.heappop(heap)
         sums = left + right[::-1]
-        joined = [x + y if x and y else x or y for x, y in zip(members[a], members[b][::-1])]
         order = np.argsort(-sums, kind="stable")
-        members[a] = members[b] = None
-        members.append([joined[i] for i in order])
         sums = sums[order]
-        heapq.heappush(heap, (-int(sums[0] - sums[-1]), len(members) - 1, sums))
-    window = np.zeros(len(lengths), np.int64)
-    if not heap:
-        return window, np.zeros(k, np.int64)
-    _, last, sums = heap[0]
-    for w, items in enumerate(members[last]):
-        window[items] = w
-    return window, sums
+        heapq.heappush(heap, (int(sums[-1] - sums[0]), n + len(merges), sums))
+        merges.append((a, b, order))
+    # place[x][p]: the window of the p-th sum of partial partition x.
+    place = {n + len(merges) - 1: np.arange(k)} if merges else {0: np.arange(k)}
+    for made in range(len(merges) - 1, -1, -1):
+        a, b, order = merges[made]
+        joined = np.empty(k, np.int64)
+        joined[order] = place.pop(n + made)
+        place[a], place[b] = joined, joined[::-1]
+    window = np.array([place[i][0] for i in range(n)], np.int64)
+    return window, np.bincount(window, lengths, k).astype(np.int64)
 
 
 def pack_batch(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -98,8 +104,8 @@ def pack_batch(lengths: np.ndarray, capacity: int) -> np.ndarray:
         k += 1
 
 
-def pack(docs: DataFrame, key: str, text: str, path: str, capacity: int = 2048, end_id: int = 1, piece: int = 256,
-         windows: int = 256) -> DataFrame:
+def pack(docs: DataFrame, key: str, text: str, path: str, capacity: int = 2048, end_id: int = 1, least: int = 16,
+         windows: int = 128) -> DataFrame:
     """One row a piece: key, ``start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     Null and empty texts hold the closing id alone. Rows are packed one by one,
@@ -107,7 +113,7 @@ def pack(docs: DataFrame, key: str, text: str, path: str, capacity: int = 2048,
     not gapless. A batch holds ``windows`` windows in the mean.
     """
     kind = docs.schema[key].dataType
-    rows = docs.select(F.col(key).cast("string").alias("key"), cut_pieces(F.col(text).cast("string"), path, end_id, capacity, piece).alias("d"))
+    rows = docs.select(F.col(key).cast("string").alias("key"), cut_pieces(F.col(text).cast("string"), path, end_id, capacity, least).alias("d"))
     rows = rows.select("key", F.col("d.tokens").alias("doc_tokens"), F.explode("d.pieces").alias("p"))
     pieces = written(rows.select("key", "doc_tokens", "p.*"), "pack-pieces")
     whole = pieces.filter(F.col("length") == capacity)
