@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, packing, sharding, tokens, urls, warc
+from tidemark.llm import decontaminate, packing, quality, sharding, tokens, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -114,3 +114,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of 2048 tokens."""
     return packing.pack(table(spark, folder, "documents"), "doc_id", "text", tokenizer_file())
+
+
+@query("op5_quality")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Word statistics and perplexity bands of every document."""
+    docs = table(spark, folder, "documents")
+    found = quality.quality(F.col("text"), F.col("lang"), quality.fit(docs))
+    return docs.select("doc_id", found.alias("found")).select("doc_id", "found.*")
