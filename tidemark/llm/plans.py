@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, packing, quality, sharding, tokens, urls, warc
+from tidemark.llm import decontaminate, packing, quality, sharding, tokens, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -122,3 +122,20 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = quality.quality(F.col("text"), F.col("lang"), quality.fit(docs))
     return docs.select("doc_id", found.alias("found")).select("doc_id", "found.*")
+
+
+def toxicity_model(spark: SparkSession, folder: str, docs: DataFrame) -> toxicity.Model:
+    """Learned from the labelled documents whose id has another crc32 remainder than 2."""
+    usable = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
+    return toxicity.fit(docs, table(spark, folder, "labels"), "doc_id", "text", "toxic", usable)
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, folder, "documents")
+    model = toxicity_model(spark, folder, docs)
+    rows = docs.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"),
+                       toxicity.features(F.col("text"), model).alias("found"))
+    rows = rows.select("doc_id", "held_out", toxicity.score(F.col("found"), model).alias("score"), "found.*")
+    return rows.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
