@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, packing, quality, sharding, tokens, toxicity, urls, warc
+from tidemark.llm import decontaminate, ngramjoin, packing, quality, sharding, tokens, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -139,3 +139,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
                        toxicity.features(F.col("text"), model).alias("found"))
     rows = rows.select("doc_id", "held_out", toxicity.score(F.col("found"), model).alias("score"), "found.*")
     return rows.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query("op1_ngram_join")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents that share most of their 4-word shingles."""
+    return ngramjoin.components(table(spark, folder, "documents"), "doc_id", "text", 4, 85, 100).drop("node")
