@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +29,9 @@ from pyspark.sql import functions as F
 
 from tidemark.session import written
 
-CACHE_PARTS = 400_000  # parts that a worker keeps
+CACHE_PARTS = 700_000  # parts that a worker keeps
 _SPLITS = {"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}  # patterns none of whose matches holds white space
+_MARK = re.compile(rb"(?<=[a-z0-9])([.,])")
 _loaded: dict[str, Encoder] = {}
 
 
@@ -44,6 +47,8 @@ def part_safe(description: dict) -> bool:
     first = (pre.get("pretokenizers") or [{}])[0]
     if not (first.get("type") == "Split" and first["pattern"].get("Regex") in _SPLITS and first["behavior"] == "Removed" and first["invert"]):
         return False
+    if not any(x["type"] == "Lowercase" for x in steps):
+        return False
     if any(p["type"] != "ByteLevel" or p["add_prefix_space"] for p in pre["pretokenizers"][1:]):
         return False
     return all(not (a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"]) and not set(a["content"]) & set(" \t\n\r\x0b\x0c")
@@ -60,24 +65,56 @@ class Encoder:
             self.parts = part_safe(json.load(f))
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        if self.parts:
+            # Letters that neither normaliser nor splitter changes, in the form the model reads.
+            letters = [chr(c) for c in (*range(97, 123), *range(0xE0, 0xF7), *range(0xF8, 0x100))]
+            self.letters = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
+            self.plain = re.compile(f"[{''.join(letters)}]+").fullmatch
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _learn(self, parts: list[bytes]) -> None:
+        """Encode new parts: single words by the model itself, others joined by line ends (a token belongs to the part where it starts)."""
+        model, mixed = self.tokenizer.model, []
+        for p in parts:
+            t = p.decode("utf-8")
+            if self.plain(t):
+                self.known[p] = array("I", [x.id for x in model.tokenize(t.translate(self.letters))]).tobytes()
+            else:
+                mixed.append((p, t))
+        for at in range(0, len(mixed), 2000):
+            some = [p for p, _ in mixed[at:at + 2000]]
+            texts = [t for _, t in mixed[at:at + 2000]]
+            starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+            ids, places = self.offsets("\n".join(texts))
+            cut = np.searchsorted(places, starts).tolist()
+            raw = ids.astype("<u4").tobytes()
+            self.known.update((p, raw[4 * a:4 * b]) for p, a, b in zip(some, cut, cut[1:]))
+
+    def _parts(self, text: str | None) -> list[bytes]:
+        """Parts whose ids, one after the other, are the text's.
+
+        A mark after a letter or digit begins a part of its own, and A-Z can be
+        lower-cased here, as the tokenizer does both (unless an added token could
+        come of it).
+        """
+        raw = (text or "").encode("utf-8")
+        return (raw if b"<|" in raw else _MARK.sub(rb" \1", raw.lower())).split()
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text; a null text is empty."""
         if not self.parts:
             for t in texts:
-                yield self._ids([t or ""])[0]
+                yield self._whole(t or "")
             return
         for at in range(0, len(texts), 256):
-            split = [(t or "").encode("utf-8").split() for t in texts[at:at + 256]]
+            split = [self._parts(t) for t in texts[at:at + 256]]
             new = list(set().union(*split).difference(self.known))
             if len(self.known) + len(new) > CACHE_PARTS:
                 self.known = {}
                 new = list(set().union(*split))
-            self.known.update(zip(new, self._ids([p.decode("utf-8") for p in new])))
+            self._learn(new)
             for parts in split:
                 yield b"".join(map(self.known.__getitem__, parts))
 
@@ -116,8 +153,8 @@ def token_count(text: Column, path: str) -> Column:
 
 
 CHUNK = "struct<n:bigint,head:array<struct<at:bigint,no:bigint,sign:bigint>>,tail:array<struct<at:bigint,no:bigint,sign:bigint>>>"
-_MARK = pa.list_(pa.struct([("at", pa.int64()), ("no", pa.int64()), ("sign", pa.int64())]))
-_CHUNK = pa.struct([("n", pa.int64()), ("head", _MARK), ("tail", _MARK)])
+_PLACES = pa.list_(pa.struct([("at", pa.int64()), ("no", pa.int64()), ("sign", pa.int64())]))
+_CHUNK = pa.struct([("n", pa.int64()), ("head", _PLACES), ("tail", _PLACES)])
 
 
 def boundaries(text: str, ids: np.ndarray, starts: np.ndarray, low: int, high: int) -> list[dict]:
