@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, ngramjoin, packing, quality, sharding, tokens, toxicity, urls, warc
+from tidemark.llm import decontaminate, lm, ngramjoin, packing, quality, sharding, tokens, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -145,3 +145,12 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents that share most of their 4-word shingles."""
     return ngramjoin.components(table(spark, folder, "documents"), "doc_id", "text", 4, 85, 100).drop("node")
+
+
+@query("op6_language_model")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-likelihood of every document; remainder 2 of 7 is held out."""
+    docs = table(spark, folder, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    model, counts = lm.fit(docs, "doc_id", "text", ~F.coalesce(held_out, F.lit(False)))
+    return lm.score(docs, "doc_id", "text", model, counts).withColumn("held_out", held_out)
