@@ -1,15 +1,62 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read by the next.
+
+Quality rules and toxicity drop the documents they reject, the n-gram join
+keeps one document of each near-duplicate group (the one with the smallest id),
+decontamination drops documents whose words are a twentieth or more benchmark
+text, and packing lays what is left into sequences. Each stage learns and
+counts over all that its predecessor kept.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm import decontaminate, ngramjoin, packing, plans, quality, toxicity
+from tidemark.session import scratch_path
 
-def run(spark, sf_dir):
-    """Apply all stages to the documents of a folder."""
-    from tidemark.session import scratch_path
+ORACLE_SQL = None  # perplexity bands and a learned lexicon have no SQL
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and lie inside their language's perplexity band."""
+    return docs.filter(quality.quality(F.col("text"), F.col("lang"), quality.fit(docs))["kept"])
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score below 0.3."""
+    model = plans.toxicity_model(spark, sf_dir, docs)
+    return docs.filter(toxicity.score(toxicity.features(F.col("text"), model), model) < 0.3)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by 5-word shingles at a Jaccard similarity of 0.8 or more.
+
+    Documents without words stay. Rows that share the smallest id of a group,
+    and rows without an id, stay too.
+    """
+    kept = ngramjoin.components(docs, "doc_id", "text", 5, 80, 100)
+    gone = kept.filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")
 
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by benchmark items."""
+    found = decontaminate.contamination(F.col("text"), plans.table(spark, sf_dir, "benchmark"))
+    return docs.filter(~decontaminate.is_contaminated(found))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 2048 tokens."""
+    return packing.pack(docs, "doc_id", "text", plans.tokenizer_file())
+
+
+STAGES = [("quality", quality_stage), ("toxicity", toxicity_stage), ("near_duplicates", near_duplicate_stage),
+          ("decontamination", decontaminate_stage), ("packing", packing_stage)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to the documents of a folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
