@@ -211,7 +211,7 @@ def _score_rows(model: Model, settings: Settings):
             known = np.bincount(w.row[frequent], minlength=w.rows) + end_known
             base = np.bincount(w.row[frequent], np.log10(count[frequent] + 1.0), w.rows) + np.log10(m.end_count + 1.0)
             share = frequent & (kind >= 0)
-            value = np.bincount(w.row[share], np.log10(count[share] + 1.0), w.rows)
+            value = np.zeros(w.rows) + np.bincount(w.row[share], np.log10(count[share] + 1.0), w.rows)
             typed = kind >= 0
             value -= np.bincount(w.row[typed], np.log10(m.type_mass[kind[typed]] + 1.0), w.rows)
             if m.weights is not None:

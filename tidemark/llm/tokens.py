@@ -223,10 +223,10 @@ def count_tokens(docs: DataFrame, key: str, text: str, path: str, huge: int = 1
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     size = F.octet_length("text").cast("long").alias("n_bytes")
     short = rows.filter(F.length("text") <= huge).select(F.col("key"), size, token_count(F.col("text"), path).alias("n_tokens"))
-    # The place of a row in its input; the same whenever the input is read again.
-    long = rows.withColumn("row", F.monotonically_increasing_id()).filter(F.length("text") > huge)
-    names = written(long.select("row", "key", size, F.length("text").alias("chars")), "token-rows")
-    longest = names.agg(F.max("chars")).first()[0]
+    # Huge rows are written once, so that their numbers hold for all that follows.
+    long = written(rows.filter(F.length("text") > huge).withColumn("row", F.monotonically_increasing_id()), "token-rows")
+    names = long.select("row", "key", size)
+    longest = long.agg(F.max(F.length("text"))).first()[0]
     counted, left = [], long.select("row", "text")
     while longest is not None:
         width = max(chunk, 2 * overlap)
