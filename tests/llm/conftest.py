@@ -1,0 +1 @@
+"""Fixtures of the tests above this folder."""
