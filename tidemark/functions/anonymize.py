@@ -31,12 +31,12 @@ def mask_name_at_start(text: Column, mask: str = lex.NAME_TAG) -> Column:
 
 
 def _lower_case_run(after: Column) -> Column:
-    """A surname-led run of two or three words that holds no function word."""
+    """A surname-led run of two or three words that holds no function word, with the marks and digits before it."""
     word = r"[^\W\d_]+"
     stop = any_of(lex.FUNCTION_WORDS)
     follow = rf"\s+(?!(?:{stop})(?![^\W\d_])){word}"
     return F.regexp_extract(
-        after, rf"(?iU)^(?:{any_of(lex.SURNAMES)})(?![^\W\d_])(?:{follow}){{1,2}}", 0)
+        after, rf"(?iU)^[\W\d_]*(?:{any_of(lex.SURNAMES)})(?![^\W\d_])(?:{follow}){{1,2}}", 0)
 
 
 def honorific_spans(text: Column) -> Column:

@@ -32,10 +32,10 @@ def _(t):
     return src.read_csv(t.spark, path, SCHEMA)
 
 
-@query("src2_mixed_encodings", "SELECT doc_id, lang, text FROM documents WHERE lang IN ('de', 'fr', 'en')")
+@query("src2_mixed_encodings", "SELECT doc_id, lang, text FROM documents")
 def _(t):
     path = scratch_path(t.spark, "encodings")
-    rows = t.documents.filter("lang IN ('de', 'fr', 'en')").select("doc_id", "lang", "text")
+    rows = t.documents.select("doc_id", "lang", "text")
     latin, meant = src._vietnamese_bytes()
     bytes_1258 = rows.filter("lang = 'de'").withColumn("text", F.translate("text", meant.replace("\ufffd", ""), "".join(
         a for a, b in zip(latin, meant) if b != "\ufffd")))
@@ -77,11 +77,11 @@ def _(t):
 
 
 @query("snk2_label_chunks", """
-SELECT doc_id AS id, '' AS label, lpad(CAST((row_number() OVER (ORDER BY doc_id) - 1) // 100 + 1 AS VARCHAR), 3, '0') AS part FROM documents""")
+SELECT o_orderkey AS id, '' AS label, printf('%03d', (row_number() OVER (ORDER BY o_orderkey) - 1) // (SELECT greatest(1, count(*) // 1100) FROM orders) + 1) AS part FROM orders""")
 def _(t):
     path = scratch_path(t.spark, "chunks")
-    rows = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content_anonymized"))
-    wr.write_label_chunks(rows, path, size=100)
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("content_anonymized"))
+    wr.write_label_chunks(rows, path, size=max(1, t.orders.count() // 1100))
     back = t.spark.read.schema("id long, content_anonymized string, label string, part string").options(
         header=True, multiLine=True, escape='"').csv(path)
     return back.select("id", F.coalesce("label", F.lit("")).alias("label"), "part")
@@ -128,20 +128,23 @@ def _(t):
 
 BATCH_SQL = """
 WITH top AS (SELECT * FROM {raw_posts} ORDER BY id DESC LIMIT 500),
-n AS (SELECT post_id, comment_id, """ + SQUASH.format(c="content") + """ AS txt, row_number() OVER (PARTITION BY post_id ORDER BY comment_id) AS rn FROM {comments}),
-g AS (SELECT post_id, string_agg(sha256(concat(post_id, '|', txt)), ' ' ORDER BY comment_id) AS notes FROM n WHERE rn <= 1000 GROUP BY post_id)
+many AS (SELECT * EXCLUDE (post_id), CASE WHEN post_id % 3 = 0 THEN post_id ELSE (SELECT max(id) FROM {raw_posts}) END AS post_id FROM {comments}),
+n AS (SELECT post_id, comment_id, """ + SQUASH.format(c="content") + """ AS txt, row_number() OVER (PARTITION BY post_id ORDER BY comment_id) AS rn FROM many),
+g AS (SELECT post_id, (rn - 1) // 100 AS part, string_agg(sha256(concat(post_id, '|', txt)), ' ' ORDER BY comment_id) AS notes FROM n GROUP BY ALL)
 SELECT concat('local-post-', id) AS external_id, coalesce(source, 'https://page') AS url, """ + SQUASH.format(c="content") + """ AS normalized_content,
 CASE id % 4 WHEN 0 THEN TIMESTAMP '2024-05-01 10:00:00' WHEN 1 THEN TIMESTAMP '2024-05-01 11:00:00' WHEN 2 THEN TIMESTAMP '2024-05-02 00:00:00' END AS posted_at,
 CAST(CASE id % 3 WHEN 0 THEN 12 WHEN 1 THEN 37 END AS BIGINT) AS like_count, id % 9 AS comment_count,
-sha256(concat(coalesce(source, 'https://page'), '|', id, '|', """ + SQUASH.format(c="content") + """, '|', posted_at)) AS content_hash, coalesce(notes, '') AS notes
+sha256(concat(coalesce(source, 'https://page'), '|', id, '|', """ + SQUASH.format(c="content") + """, '|', posted_at)) AS content_hash, coalesce(part, 0) AS part, coalesce(notes, '') AS notes
 FROM top LEFT JOIN g ON post_id = id WHERE trim(content) <> ''"""
 
 
 @query("snk6_build_batch", BATCH_SQL)
 def _(t):
-    rows = wr.build_batch(t.raw_posts, t.comments, "https://page", "desktop-1")
-    return rows.filter("part = 0").select(
-        "external_id", "url", "normalized_content", "posted_at", "like_count", "comment_count", "content_hash",
+    newest = t.raw_posts.agg(F.max("id")).first()[0]
+    many = t.comments.withColumn("post_id", F.when(F.col("post_id") % 3 == 0, F.col("post_id")).otherwise(F.lit(newest)))
+    rows = wr.build_batch(t.raw_posts, many, "https://page", "desktop-1", chunk=100)
+    return rows.select(
+        "external_id", "url", "normalized_content", "posted_at", "like_count", "comment_count", "content_hash", "part",
         F.array_join(F.transform("comments", lambda c: c["content_hash"]), " ").alias("notes"))
 
 

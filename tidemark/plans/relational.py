@@ -584,7 +584,7 @@ WITH u AS (SELECT lang AS split, 'words' AS unit, length(t) - length(replace(t,
 SELECT split, unit, count(*) AS count, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS std, min(n) AS min,
 quantile_cont(n, 0.5) AS median, max(n) AS max, round(quantile_cont(n, 0.95), 6) AS p95 FROM u GROUP BY ALL""")
 def _(t):
-    out = agg.length_summary(t.spread(t.documents, "doc_id").withColumnRenamed("lang", "split"), "text")
+    out = agg.length_summary(t.documents.withColumnRenamed("lang", "split"), "text")
     return out.withColumns({c: F.round(c, 6) for c in ("mean", "std", "p95")}).withColumns(
         {c: F.col(c).cast("bigint") for c in ("min", "max")})
 
@@ -606,7 +606,7 @@ voc AS (SELECT token, freq, CAST(row_number() OVER (ORDER BY freq DESC, first) +
 
 @query("agg19_vocabulary", "WITH " + VOCAB_SQL + " SELECT token, id, freq FROM voc")
 def _(t):
-    return agg.vocabulary(t.spread(t.documents, "doc_id"), "text", "doc_id", max_size=500)
+    return agg.vocabulary(t.documents, "text", "doc_id", max_size=500)
 
 
 @query("m2_encode_tokens", "WITH " + VOCAB_SQL + """,
@@ -614,7 +614,7 @@ h AS (SELECT doc_id, pos, coalesce(id, 1) AS id FROM tok LEFT JOIN voc USING (to
 g AS (SELECT doc_id, string_agg(id, ',' ORDER BY pos) AS ids, count(*) AS n FROM h GROUP BY doc_id)
 SELECT doc_id, concat(ids, repeat(',0', 64 - n)) AS ids, CAST(n AS INT) AS length FROM g""")
 def _(t):
-    texts = t.spread(t.documents, "doc_id")
+    texts = t.documents
     vocab = agg.vocabulary(texts, "text", "doc_id", max_size=500)
     out = agg.encode(texts, "doc_id", "text", vocab, 64)
     return out.select("doc_id", F.array_join("ids", ",").alias("ids"), "length")
@@ -758,12 +758,15 @@ def _(t):
     return rk.duplicate_streaks(e, ["src"], "event_id", F.col("known"), 5)
 
 
-@query("srt1_sort_allowed", "SELECT id, row_number() OVER (ORDER BY importance_level DESC NULLS LAST, id) AS place FROM {news} QUALIFY place <= 500")
+@query("srt1_sort_allowed", "SELECT id, row_number() OVER (ORDER BY importance_level DESC NULLS LAST, id) AS place FROM {news}")
 def _(t):
     from pyspark.sql import Window
 
-    top = t.news.orderBy(*rk.sort_keys("-importance_level")).limit(500)
-    return top.select("id", F.row_number().over(Window.orderBy(*rk.sort_keys("-importance_level"))).cast("bigint").alias("place"))
+    # The sorted table's places: those within a level, after all rows of the levels before it.
+    rows = t.news.orderBy(*rk.sort_keys("-importance_level")).select("id", "importance_level", F.coalesce("importance_level", F.lit("")).alias("level"))
+    before = F.sum("n").over(Window.orderBy(rk.sort_keys("-importance_level")[0]).rowsBetween(Window.unboundedPreceding, -1))
+    levels = rows.groupBy("importance_level", "level").agg(F.count("*").alias("n")).select("level", F.coalesce(before, F.lit(0)).alias("before"))
+    return rk.numbered(rows.drop("importance_level"), "id", ["level"]).join(levels, "level").select("id", (F.col("row_no") + F.col("before")).alias("place"))
 
 
 @query("srt2_page", "SELECT id, created_at FROM {news} WHERE deleted_at IS NULL ORDER BY created_at DESC, id LIMIT 20 OFFSET 40")

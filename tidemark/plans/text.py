@@ -242,6 +242,8 @@ HON = "(?i:" + "|".join(sorted(lex.HONORIFICS, key=len, reverse=True)) + ")"
 RUN = rf"[{lex.NAME_UPPER}]{W}*(?:\s+[{lex.NAME_UPPER}]{W}*){{0,3}}"
 FAMILY = "(?i:" + "|".join(lex.SURNAMES) + ")"
 LETTERS = r"\p{L}+"
+OPENED, CLOSED = chr(0xE200), chr(0xE201)
+STOPS = "(?i:" + "|".join(sorted(lex.FUNCTION_WORDS, key=len, reverse=True)) + ")"
 
 
 def mentions_sql(c):
@@ -250,7 +252,11 @@ def mentions_sql(c):
 
 def titled_sql(c):
     named = rx(c, rf"({HON})(\s+){RUN}", r"\1\2[NAME]")
-    return rx(named, rf"({HON})(\s+){FAMILY}(?:\s+{LETTERS}){{1,2}}", r"\1\2[NAME]")
+    # Function words end a name: they are fenced off while names are looked for.
+    for _ in range(2):
+        named = rx(named, rf"(\s)({STOPS})([^\p{{L}}{CLOSED}]|$)", rf"\1{OPENED}\2{CLOSED}\3")
+    masked = rx(named, rf"({HON})(?:(\s+)|(\s*)[^\p{{L}}\s{OPENED}][^\p{{L}}{OPENED}]*){FAMILY}(?:\s+{LETTERS}){{1,2}}", r"\1\2\3[NAME]")
+    return f"translate({masked}, '{OPENED}{CLOSED}', '')"
 
 
 def start_sql(c):
@@ -313,7 +319,7 @@ def emoticons_sql(c):
 def angles_sql(c):
     tag = "[a-z]+(?:_[a-z]+)*"
     kept = rx(c, rf"<\s*({tag})\s*>", "\ue100\\1\ue101")
-    for _ in range(4):
+    for _ in range(8):
         kept = rx(kept, "<\\s*([^<>\ue100\ue101]*?)\\s*>", r" \1 ")
     return rx(kept, f"\ue100({tag})\ue101", r"<\1>")
 
@@ -361,8 +367,8 @@ text_query("n2_strip_accents", nz.strip_accents, plain_sql)
 text_query("n4_drop_bare_urls", nz.drop_bare_urls, lambda c: rx(c, lex.BARE_URL, flags="gi"))
 text_query("n5_emoji_tags", nz.emoji_tags, emoji_tags_sql)
 text_query("n6_emoticon_tags", nz.emoticon_tags, emoticons_sql)
-text_query("n7_unwrap_angles", lambda c: nz.unwrap_angles(nz.emoticon_tags(F.concat(F.lit("<x y> <ab_c> < d_e > <<p q> r>"), c))),
-           lambda c: f"concat('<x y> <ab_c> < d_e > <<p q> r>', {c})", emoticons_sql, angles_sql)
+text_query("n7_unwrap_angles", lambda c: nz.unwrap_angles(nz.emoticon_tags(F.concat(F.lit("<x y> <ab_c> < d_e > <<p q> r> <1 <2 <3 <4 <5 <6 <7 z> y> x> w> v> u> t>"), c))),
+           lambda c: f"concat('<x y> <ab_c> < d_e > <<p q> r> <1 <2 <3 <4 <5 <6 <7 z> y> x> w> v> u> t>', {c})", emoticons_sql, angles_sql)
 text_query("n8_drop_post_ids", nz.drop_post_id_hashtags, post_ids_sql)
 text_query("n9_resolve_hashtags", lambda c: nz.resolve_hashtags(c, BANNED), tags_sql)
 text_query("n10_single_letters", nz.single_letters, lambda c: runs_sql(c, r"\p{L}", 1))
@@ -449,7 +455,7 @@ def _(t):
 @query("n16_empty_results", """
 SELECT count(*) FILTER (NOT regexp_matches(text, '[a-zA-Zà-ỹđ]')) AS empty_rows, count(*) AS rows FROM documents""")
 def _(t):
-    done = t.spread(t.documents, "doc_id").select(nz.preprocess(F.col("text"), SHORT, BANNED).alias("p"))
+    done = t.documents.select(nz.preprocess(F.col("text"), SHORT, BANNED).alias("p"))
     return done.agg(F.count_if(F.col("p") == "").alias("empty_rows"), F.count("*").alias("rows"))
 
 

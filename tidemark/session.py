@@ -30,11 +30,15 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """The folder that every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, a laptop) a local folder is made and recorded in the session.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and
+    all runs in one process (tests, a laptop) a local folder is made and recorded
+    in the session; elsewhere a missing setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master!r})")
         folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -24,7 +24,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 def label_chunks(df: DataFrame, key: str = "id", text: str = "content_anonymized", size: int = 1000) -> DataFrame:
     """Key, text and an empty label with the number of the chunk to label."""
     placed = chunked(df.select(key, text), key, size)
-    return placed.select(key, text, F.lit("").alias("label"), F.lpad(F.col("part").cast("string"), 3, "0").alias("part"))
+    return placed.select(key, text, F.lit("").alias("label"), F.format_string("%03d", "part").alias("part"))
 
 
 def write_label_chunks(df: DataFrame, path: str, **options) -> None:
@@ -35,7 +35,7 @@ def write_label_chunks(df: DataFrame, path: str, **options) -> None:
 
 def write_json_report(report: DataFrame, path: str) -> None:
     """One JSON object per row (reports are small aggregates)."""
-    report.select(F.to_json(F.struct(*report.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    report.select(F.to_json(F.struct(*report.columns)).alias("value")).repartition(1).write.mode("overwrite").text(path)
 
 
 def report_rows(news: DataFrame, date_from: datetime | None = None, date_to: datetime | None = None) -> DataFrame:
@@ -98,10 +98,12 @@ def build_batch(posts: DataFrame, comments: DataFrame, source_url: str, batch_id
 
 
 def write_batches(payload: DataFrame, path: str, source: dict[str, str], rows_per_batch: int = 500) -> None:
-    """JSON lines of nested batches, at most ``rows_per_batch`` posts per line."""
-    keyed = payload.withColumn("_no", F.floor(F.pmod(F.xxhash64("content_hash"), F.lit(1 << 20))))
+    """JSON lines of nested batches, ``rows_per_batch`` rows per line in the mean.
+
+    The parts of a post with very many comments are dealt like other rows.
+    """
     total = max(1, -(-payload.count() // rows_per_batch))
-    spread = keyed.withColumn("_slot", F.pmod(F.col("_no"), F.lit(total)))
+    spread = payload.withColumn("_slot", F.pmod(F.xxhash64("content_hash", "part"), F.lit(total)))
     src = F.struct(*[F.lit(v).alias(k) for k, v in source.items()])
     posts = F.struct(*[c for c in payload.columns if c not in ("batch_id", "part")])
     lines = spread.groupBy("batch_id", "_slot").agg(F.collect_list(posts).alias("posts")).select(
