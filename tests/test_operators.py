@@ -93,8 +93,13 @@ def test_streak_cut(spark):
 
 def test_guards(spark):
     twice = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "id long, v string")
-    with pytest.raises(ValueError, match="duplicate keys"):
-        jn.require_unique(twice, ["id"], "table")
+    for broken in (jn.unique_keys(twice, ["id"], "table"), jn.outer_merge(twice, twice, ["id"]), jn.fill_missing(twice, twice, "id", "v"),
+                   jn.inner_on_shared_key(twice, twice, "v"), up.upsert(twice.filter("id = 2"), twice, ["id"])):
+        with pytest.raises(Exception, match="duplicate keys"):
+            broken.collect()
+    assert jn.unique_keys(twice.filter("v <> 'a'"), ["id"], "table").count() == 2
+    with pytest.raises(ValueError, match="equal lengths"):
+        jn.positional_join(twice, twice.limit(2), "id", "id", strict=True)
     left, right = twice.filter("id = 1").limit(1).select("id"), twice.filter("id = 2").select("id")
     with pytest.raises(ValueError, match="differ"):
         jn.require_matched(jn.outer_merge(left, right, ["id"]))

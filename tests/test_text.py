@@ -149,3 +149,15 @@ def test_strict_label_is_an_error(value):
         value(lb.strict_code, ["maybe"])
     with pytest.raises(ValueError):
         lb.check_foreign_classes({0: "joy"})
+
+
+def test_names_behind_marks_are_masked(value):
+    got = value(lambda c: an.replace_spans(c, an.honorific_spans(c)), [
+        "cô: nguyễn thị liệu", 'cô "nguyễn thị liệu"', "cô nguyễn và bạn", "cô nguyễn thị và bạn", "thầy 12 lê văn an ở"])
+    assert got == ["cô [NAME]", 'cô [NAME]"', "cô nguyễn và bạn", "cô [NAME] và bạn", "thầy [NAME] ở"]
+
+
+def test_angles_unwrap_at_any_depth(value):
+    deep = "<" * 9 + " a b " + ">" * 9
+    got = value(nz.unwrap_angles, [deep, "<ok_tag> < 1 < 2 > >", "<", "a < b"])
+    assert "<" not in got[0] and got[0].split() == ["a", "b"] and got[1].split() == ["<ok_tag>", "1", "2"] and got[2:] == ["<", "a < b"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +23,18 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).count().filter(F.col("count") > 1)
 
 
-def require_unique(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
-    """``df`` itself, or an error that shows the first ten duplicate keys."""
-    first = [row.asDict() for row in duplicate_keys(df, keys).limit(10).collect()]
-    if first:
-        raise ValueError(f"{what} has duplicate keys {list(keys)}; first: {first}")
-    return df
+def unique_keys(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
+    """``df``, whose evaluation fails if a key (null is one too) comes twice.
+
+    No job is run here: the keys alone are counted beside the rows, and the
+    (usually empty) table of repeated ones is joined back.
+    """
+    marks = [f"_twice_{i}" for i in range(len(keys))]
+    twice = duplicate_keys(df, keys).select(*[F.col(f"`{k}`").alias(m) for k, m in zip(keys, marks)], "count")
+    same = reduce(lambda a, b: a & b, [df[f"`{k}`"].eqNullSafe(twice[m]) for k, m in zip(keys, marks)])
+    fault = F.raise_error(F.concat(F.lit(f"{what} has duplicate keys {list(keys)}: "), F.to_json(F.struct(*marks))))
+    checked = df.join(twice.withColumnRenamed("count", "_times"), same, "left")
+    return checked.filter(F.when(F.col("_times").isNotNull(), fault.cast("boolean")).otherwise(F.lit(True))).select(*[df[f"`{c}`"] for c in df.columns])
 
 
 def require_matched(merged: DataFrame, side: str = "side") -> DataFrame:
@@ -42,10 +49,12 @@ def require_matched(merged: DataFrame, side: str = "side") -> DataFrame:
 
 def outer_merge(left: DataFrame, right: DataFrame, on: Sequence[str],
                 suffixes: tuple[str, str] = ("_left", "_right"), side: str = "side") -> DataFrame:
-    """Full outer merge with a side column: ``both``, ``left_only`` or ``right_only``.
+    """One-to-one full outer merge with a side column: ``both``, ``left_only`` or ``right_only``.
 
-    Columns of the same name keep both versions under the suffixes.
+    Columns of the same name keep both versions under the suffixes. A key that
+    comes twice on a side is an error.
     """
+    left, right = unique_keys(left, on, "left table"), unique_keys(right, on, "right table")
     shared = [c for c in left.columns if c in right.columns and c not in on]
     name = lambda c, s: c + s if c in shared else c
     a = left.select(*on, *[F.col(f"`{c}`").alias(name(c, suffixes[0])) for c in left.columns if c not in on],
@@ -101,8 +110,9 @@ def model_side(df: DataFrame, model: str, keys: Sequence[str], metadata: Sequenc
 
 def model_merge(a: DataFrame, b: DataFrame, names: tuple[str, str], data_type: str,
                 metadata: Sequence[str] = ()) -> DataFrame:
-    """Outer merge of two models' outputs with agreement flag and merge status."""
+    """One-to-one outer merge of two models' outputs with agreement flag and merge status."""
     keys = merge_keys(a, b)
+    a, b = (unique_keys(df, keys, name) for df, name in zip((a, b), names))
     meta = [c for c in metadata if c not in keys and (c in a.columns or c in b.columns)]
     sides = [model_side(df, n, keys, meta) for df, n in zip((a, b), names)]
     merged = sides[0].join(sides[1], keys, "full_outer")
@@ -129,9 +139,9 @@ def with_model_status(df: DataFrame, x: str, y: str) -> DataFrame:
 def fill_missing(target: DataFrame, source: DataFrame, key: str, column: str) -> DataFrame:
     """Overwrite blank values of ``column`` from the source row with the same key.
 
-    Adds ``was_filled``; the source's keys must be unique.
+    Adds ``was_filled``; a key that comes twice in the source is an error.
     """
-    values = source.select(F.col(key), F.col(column).alias("_new"))
+    values = unique_keys(source.select(F.col(key), F.col(column).alias("_new")), [key], "source")
     fill = is_blank(F.col(column)) & ~is_blank(F.col("_new"))
     joined = target.join(values, key, "left")
     return joined.select(
@@ -151,11 +161,11 @@ def shared_key(a: DataFrame, b: DataFrame, names: Sequence[str] = KEY_NAMES) ->
 
 
 def inner_on_shared_key(a: DataFrame, b: DataFrame, label: str) -> DataFrame:
-    """Inner join of two label tables on the first shared key: key, label_a, label_b."""
+    """Inner join of two label tables on the first shared key, unique in both: key, label_a, label_b."""
     key = shared_key(a, b)
     if key is None:
         raise ValueError(f"No shared key among {KEY_NAMES}")
-    side = lambda df, n: df.select(F.col(key).alias("key"), F.col(label).alias(n))
+    side = lambda df, n: unique_keys(df.select(F.col(key).alias("key"), F.col(label).alias(n)), ["key"], n)
     return side(a, "label_a").join(side(b, "label_b"), "key")
 
 
@@ -167,8 +177,10 @@ def occurrence_join(left: DataFrame, right: DataFrame, key: str, left_order: str
     return a.join(b, [key, "occurrence"], how)
 
 
-def positional_join(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
-    """Row n of the left meets row n of the right; unequal lengths give null sides."""
+def positional_join(left: DataFrame, right: DataFrame, left_order: str, right_order: str, strict: bool = False) -> DataFrame:
+    """Row n of the left meets row n of the right; unequal lengths give null sides, or with ``strict`` an error."""
+    if strict and (sizes := (left.count(), right.count()))[0] != sizes[1]:
+        raise ValueError(f"Tables without a shared key need equal lengths; got {sizes[0]} and {sizes[1]} rows")
     a = numbered(left, left_order, name="position")
     b = numbered(right, right_order, name="position")
     return a.join(b, "position", "full_outer")

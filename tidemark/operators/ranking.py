@@ -93,8 +93,8 @@ def occurrence(df: DataFrame, key: str, order: str, name: str = "occurrence") ->
 
 
 def duplicate_flag(df: DataFrame, keys: Sequence[str], name: str = "is_duplicate") -> DataFrame:
-    """Whether a row's key occurs more than once."""
-    keyed = df.withColumn("_key", pack(keys))
+    """Whether a row's key occurs more than once; keys travel as 256-bit hashes."""
+    keyed = df.withColumn("_key", F.sha2(F.to_json(F.struct(*[F.col(k) for k in keys])), 256))
     counts = keyed.groupBy("_key").agg((F.count("*") > 1).alias(name))
     return keyed.join(counts, "_key").select(*df.columns, name)
 

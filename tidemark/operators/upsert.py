@@ -5,17 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.parse import comment_hash, post_hash
 from tidemark.functions.text import squash
+from tidemark.operators.joins import unique_keys
 
 
 # --- duplicates ------------------------------------------------------------------
 
 def first_per_key(df: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
-    """The first row of each key; copies are combined before the shuffle."""
+    """The first row of each key; copies are combined before the shuffle.
+
+    Along one column (unique, without nulls) only keys and places are grouped,
+    and the winners' rows are picked by a semi-join. Hash long text keys.
+    """
+    if len(order) == 1:
+        winners = df.groupBy(key.alias("_key")).agg(F.min(order[0]).alias(order[0])).select(order[0])
+        return df.join(winners, order[0], "left_semi")
     rest = [c for c in df.columns if c not in order]
     row = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest])
     return df.groupBy(key.alias("_key")).agg(F.min_by(row, F.struct(*order)).alias("_row")).select(
@@ -31,7 +39,7 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
 
 def first_by_prefix(df: DataFrame, text: str, order: str, width: int = 80) -> DataFrame:
     """Keep the first row among those that share their first ``width`` characters."""
-    return first_per_key(df, F.substring(text, 1, width), [order])
+    return first_per_key(df, F.sha2(F.substring(text, 1, width), 256), [order])
 
 
 def distinct_comments(df: DataFrame, parent: str, text: str, order: str, shortest: int = 2) -> DataFrame:
@@ -50,7 +58,9 @@ def new_comments(incoming: DataFrame, stored: DataFrame, keys: Sequence[str], or
 
 def upsert(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], action: str = "action") -> DataFrame:
     """Table after the upsert: incoming values win, also as nulls; columns the input
-    lacks keep the stored value. ``action`` is ``inserted``, ``updated`` or ``kept``."""
+    lacks keep the stored value. ``action`` is ``inserted``, ``updated`` or ``kept``.
+    A key that comes twice in the input is an error."""
+    incoming = unique_keys(incoming, keys, "input")
     new_columns = [c for c in incoming.columns if c not in keys]
     old = stored.withColumn("_old", F.lit(True))
     new = incoming.select(*keys, *[F.col(c).alias("_n_" + c) for c in new_columns], F.lit(True).alias("_new"))
@@ -106,14 +116,24 @@ def matching(stored: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> Dat
     return stored.select(*keys).join(incoming.select(*keys).distinct(), list(keys), "left_semi").distinct()
 
 
+def with_arrival(batches: DataFrame) -> DataFrame:
+    """The batches with an ``arrival`` to order them by; without one, ids decide."""
+    return batches if "arrival" in batches.columns else batches.withColumn("arrival", F.lit(None).cast("timestamp"))
+
+
 def fresh_batches(batches: DataFrame, ledger: DataFrame, unique: bool = False) -> DataFrame:
-    """Batches that were not processed before, each id once.
+    """Batches that were not processed before, each id once: the first to arrive, then by the digest of its posts.
 
-    ``unique`` says that no id comes twice, which saves moving the payloads.
+    Rows without an id (unreadable input) are left out. ``unique`` says that no
+    id comes twice, which saves moving the payloads.
     """
-    known = matching(ledger, batches, ["batch_id"])
-    fresh = batches.join(known, "batch_id", "left_anti")
-    return fresh if unique else fresh.dropDuplicates(["batch_id"])
+    named = with_arrival(batches).filter(F.col("batch_id").isNotNull())
+    known = matching(ledger, named, ["batch_id"])
+    fresh = named.join(known, "batch_id", "left_anti")
+    if unique:
+        return fresh
+    first = Window.partitionBy("batch_id").orderBy("arrival", F.xxhash64(F.to_json("posts")))
+    return fresh.withColumn("_place", F.row_number().over(first)).filter("_place = 1").drop("_place")
 
 
 def repeated_results(batches: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -125,16 +145,19 @@ def repeated_results(batches: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def posts_of(batches: DataFrame) -> DataFrame:
-    """One row per post with its text key, hash and place; blank posts have none."""
-    flat = batches.select("batch_id", F.col("source.url").alias("source_url"), F.posexplode("posts").alias("pos", "p"))
+    """One row per post with its text key, hash and place; blank posts have none.
+
+    A post without content ``is_failed``; whether it is blank is then null.
+    """
+    flat = with_arrival(batches).select("arrival", "batch_id", F.col("source.url").alias("source_url"), F.posexplode("posts").alias("pos", "p"))
     from tidemark.functions.parse import parse_count
 
     text = squash(F.coalesce(F.nullif(F.col("p.normalized_content"), F.lit("")), F.col("p.content")))
-    named = flat.withColumn("normalized_content", text).withColumn("is_blank_post", squash(F.col("p.content")) == "")
+    named = flat.withColumn("normalized_content", text).withColumn("is_blank_post", F.when(F.col("p.content").isNotNull(), squash(F.col("p.content")) == ""))
     external = F.coalesce(F.nullif(F.col("p.external_id"), F.lit("")), F.col("p.url"))
     made = post_hash(F.col("source_url"), external, F.col("normalized_content"), F.col("p.posted_at"))
     return named.select(
-        "batch_id", "source_url", "pos", "is_blank_post",
+        "arrival", "batch_id", "source_url", "pos", "is_blank_post", F.col("p.content").isNull().alias("is_failed"),
         F.coalesce(F.nullif(F.col("p.content_hash"), F.lit("")), made).alias("content_hash"),
         F.col("p.external_id").alias("external_id"), F.col("p.url").alias("url"), F.col("p.content").alias("content"),
         "normalized_content", F.col("p.posted_at").alias("posted_at"), F.col("p.collected_at").alias("collected_at"),
@@ -146,13 +169,13 @@ def posts_of(batches: DataFrame) -> DataFrame:
 def comments_of(posts: DataFrame) -> DataFrame:
     """One row per comment of the posts, keyed by post and comment hash."""
     flat = posts.filter(~F.col("is_blank_post")).select(
-        "batch_id", "pos", F.col("content_hash").alias("post_hash"), F.col("collected_at").alias("post_collected_at"),
+        "arrival", "batch_id", "pos", F.col("content_hash").alias("post_hash"), F.col("collected_at").alias("post_collected_at"),
         F.posexplode("comments").alias("cpos", "c"))
     text = squash(F.coalesce(F.nullif(F.col("c.normalized_content"), F.lit("")), F.col("c.content")))
     named = flat.withColumn("normalized_content", text).filter(F.col("normalized_content") != "")
     made = comment_hash(F.col("post_hash"), F.col("normalized_content"))
     return named.select(
-        "batch_id", "pos", "cpos", "post_hash",
+        "arrival", "batch_id", "pos", "cpos", "post_hash",
         F.coalesce(F.nullif(F.col("c.content_hash"), F.lit("")), made).alias("content_hash"),
         F.col("c.content").alias("content"), "normalized_content",
         F.coalesce(F.col("c.collected_at"), F.col("post_collected_at")).alias("collected_at"))
@@ -168,14 +191,16 @@ def batch_changes(batches: DataFrame, ledger: DataFrame, post_keys: DataFrame, c
     """Classify a set of batches against the stored keys.
 
     Posts: a key that is stored, or came earlier in the set, is an update; the
-    last version wins. Comments: stored or earlier keys are dropped. Blank posts
-    are skipped. Batches already in the ledger change nothing. ``stage`` may write
-    the flat posts once, since several results are derived from them.
+    last version to arrive wins (ties by batch id). Comments: stored or earlier
+    keys are dropped. Blank posts are skipped; posts without content fail, which
+    the ledger counts and lists. Batches already in the ledger change nothing.
+    ``stage`` may write the flat posts once, since several results are derived
+    from them.
     """
     fresh = fresh_batches(batches, ledger, unique)
     posts = stage(posts_of(fresh), "posts")
     usable = posts.filter(~F.col("is_blank_post"))
-    place = F.struct("batch_id", "pos")
+    place = F.struct("arrival", "batch_id", "pos")
     versions = usable.groupBy("content_hash").agg(
         F.min(place).alias("_first"), F.max_by(F.struct(*[c for c in POST_COLUMNS if c != "content_hash"]), place).alias("_last"))
     stored = matching(post_keys, usable, ["content_hash"]).withColumn("_stored", F.lit(True))
@@ -185,20 +210,23 @@ def batch_changes(batches: DataFrame, ledger: DataFrame, post_keys: DataFrame, c
 
     inserted = judged.filter("_is_new").groupBy(F.col("_first.batch_id").alias("batch_id")).agg(F.count("*").alias("inserted"))
     received = posts.groupBy("batch_id").agg(
-        F.count("*").alias("total_received"), F.count_if("is_blank_post").alias("skipped"))
+        F.count("*").alias("total_received"), F.count_if("is_blank_post").alias("skipped"), F.count_if("is_failed").alias("failed"),
+        F.sort_array(F.collect_list(F.when(F.col("is_failed"), F.struct(
+            "pos", F.format_string("post[%d]: content is missing", F.col("pos") + 1).alias("error")))))["error"].alias("errors"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
     counted = (fresh.select("batch_id").join(received, "batch_id", "left").join(inserted, "batch_id", "left")
                .select("batch_id", zero("total_received").alias("total_received"), zero("inserted").alias("inserted"),
-                       zero("skipped").alias("skipped")))
+                       zero("skipped").alias("skipped"), zero("failed").alias("failed"), "errors"))
     new_ledger = counted.select(
         "batch_id", "total_received", "inserted",
-        (F.col("total_received") - F.col("inserted") - F.col("skipped")).alias("updated"), "skipped",
-        F.lit(0).cast("bigint").alias("failed"), F.lit("success").alias("status"))
+        (F.col("total_received") - F.col("inserted") - F.col("skipped") - F.col("failed")).alias("updated"), "skipped", "failed",
+        F.when(F.col("failed") > 0, "partial_failed").otherwise("success").alias("status"),
+        F.coalesce("errors", F.array().cast("array<string>")).alias("errors"))
 
     notes = comments_of(posts)
     keys = ["post_hash", "content_hash"]
     known = matching(comment_keys, notes, keys)
-    added = first_per_key(notes.join(known, keys, "left_anti"), F.struct(*keys), ["batch_id", "pos", "cpos"]).select(*COMMENT_COLUMNS)
+    added = first_per_key(notes.join(known, keys, "left_anti"), F.struct(*keys), ["arrival", "batch_id", "pos", "cpos"]).select(*COMMENT_COLUMNS)
 
-    sources = last_per_key(fresh.select("batch_id", "source.*"), ["url"], ["batch_id"]).drop("batch_id")
+    sources = last_per_key(fresh.select("arrival", "batch_id", "source.*"), ["url"], ["arrival", "batch_id"]).drop("arrival", "batch_id")
     return Changes(sources, current, added, new_ledger)

@@ -161,13 +161,16 @@ def _(t):
 # --- ingest --------------------------------------------------------------------------
 
 def batches(t: Tables) -> DataFrame:
-    """Every document as a post, a hundred posts per batch, each with two comments."""
+    """Every document as a post, a hundred posts per batch, each with two comments.
+
+    Batches arrive in the opposite order of their ids; some posts have no content.
+    """
     note = lambda text: F.struct(text.alias("content"), F.lit(None).cast("string").alias("normalized_content"),
                                  F.lit(None).cast("timestamp_ntz").alias("collected_at"), F.lit(None).cast("string").alias("content_hash"))
     none = lambda kind: F.lit(None).cast(kind)
     post = F.struct(
         F.col("doc_id").cast("string").alias("external_id"), none("string").alias("url"),
-        F.when(F.col("doc_id") % 37 == 0, F.lit("  \n ")).otherwise(F.col("text")).alias("content"),
+        F.when(F.col("doc_id") % 41 == 5, none("string")).when(F.col("doc_id") % 37 == 0, F.lit("  \n ")).otherwise(F.col("text")).alias("content"),
         none("string").alias("normalized_content"), none("timestamp_ntz").alias("posted_at"), none("timestamp_ntz").alias("collected_at"),
         F.concat(F.col("doc_id") % 7, F.lit("K")).alias("like_count"), none("string").alias("comment_count"),
         F.sha2("text", 256).alias("content_hash"), none("map<string,string>").alias("raw_payload_json"),
@@ -181,17 +184,17 @@ def batches(t: Tables) -> DataFrame:
         F.lit("facebook_page").alias("source_type"), F.lit("facebook").alias("platform"), F.lit(True).alias("is_active"),
         F.lit(None).cast("map<string,string>").alias("metadata_json"))
     return packed.select(
-        F.concat(F.lit("b"), F.lpad(F.col("no").cast("string"), 12, "0")).alias("batch_id"), F.lit(None).cast("string").alias("client_job_id"),
-        source.alias("source"), F.transform("es", lambda e: e["p"]).alias("posts"))
+        F.concat(F.lit("b"), F.lpad((999999999999 - F.col("no")).cast("string"), 12, "0")).alias("batch_id"), F.lit(None).cast("string").alias("client_job_id"),
+        source.alias("source"), F.transform("es", lambda e: e["p"]).alias("posts"), F.timestamp_seconds("no").alias("arrival"))
 
 
 FEED = """
-d AS (SELECT doc_id, doc_id // 100 AS no, concat('b', lpad(CAST(doc_id // 100 AS VARCHAR), 12, '0')) AS batch_id, sha256(text) AS h,
-             doc_id % 37 = 0 OR trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' AS blank, lang, source, text FROM documents)"""
+d AS (SELECT doc_id, doc_id // 100 AS no, concat('b', lpad(CAST(999999999999 - doc_id // 100 AS VARCHAR), 12, '0')) AS batch_id, sha256(text) AS h,
+             doc_id % 41 = 5 AS failed, doc_id % 41 <> 5 AND (doc_id % 37 = 0 OR trim(regexp_replace(text, '\\s+', ' ', 'g')) = '') AS blank, lang, source, text FROM documents)"""
 
 
 def _state(t):
-    known = batches(t).filter(F.substring("batch_id", -1, 1) == "5")
+    known = batches(t).filter(F.substring("batch_id", -1, 1) == "4")
     ledger = known.select("batch_id", F.size("posts").cast("bigint").alias("total_received"))
     stored = t.documents.filter("source = 'src0'").select(F.sha2("text", 256).alias("content_hash"))
     notes = t.documents.filter("source = 'src0'").select(
@@ -204,8 +207,8 @@ def _changes(t):
 
 
 FRESH = FEED + """,
-f AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY batch_id, doc_id) AS place, row_number() OVER (PARTITION BY h ORDER BY batch_id DESC, doc_id DESC) AS back
-      FROM d WHERE NOT blank AND right(batch_id, 1) <> '5'),
+f AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY no, doc_id) AS place, row_number() OVER (PARTITION BY h ORDER BY no DESC, doc_id DESC) AS back
+      FROM d WHERE NOT blank AND NOT failed AND right(batch_id, 1) <> '4'),
 old AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE source = 'src0')"""
 
 
@@ -217,17 +220,19 @@ def _(t):
 
 
 @query("agg22_batch_counters", "WITH " + FRESH + """,
-a AS (SELECT batch_id, count(*) AS total_received, count(*) FILTER (blank) AS skipped FROM d WHERE right(batch_id, 1) <> '5' GROUP BY ALL),
+a AS (SELECT batch_id, count(*) AS total_received, count(*) FILTER (blank) AS skipped, count(*) FILTER (failed) AS failed,
+      coalesce(string_agg(concat('post[', doc_id - no * 100 + 1, ']: content is missing'), ' ' ORDER BY doc_id) FILTER (failed), '') AS errors
+      FROM d WHERE right(batch_id, 1) <> '4' GROUP BY ALL),
 i AS (SELECT batch_id, count(*) AS inserted FROM f WHERE place = 1 AND h NOT IN (SELECT h FROM old) GROUP BY ALL)
-SELECT batch_id, total_received, coalesce(inserted, 0) AS inserted, total_received - skipped - coalesce(inserted, 0) AS updated, skipped, CAST(0 AS BIGINT) AS failed, 'success' AS status
-FROM a LEFT JOIN i USING (batch_id)""")
+SELECT batch_id, total_received, coalesce(inserted, 0) AS inserted, total_received - skipped - failed - coalesce(inserted, 0) AS updated, skipped, failed,
+CASE WHEN failed > 0 THEN 'partial_failed' ELSE 'success' END AS status, errors FROM a LEFT JOIN i USING (batch_id)""")
 def _(t):
-    return _changes(t).ledger
+    return _changes(t).ledger.withColumn("errors", F.array_join("errors", " "))
 
 
 @query("ups4_repeated_batches", "WITH " + FEED + """
 SELECT batch_id, count(*) AS total_received, CAST(0 AS BIGINT) AS inserted, CAST(0 AS BIGINT) AS updated, count(*) AS skipped, CAST(0 AS BIGINT) AS failed, 'repeated' AS status
-FROM d WHERE right(batch_id, 1) = '5' GROUP BY ALL""")
+FROM d WHERE right(batch_id, 1) = '4' GROUP BY ALL""")
 def _(t):
     return up.repeated_results(batches(t), _state(t)[0])
 
@@ -245,13 +250,13 @@ def _(t):
 
 
 @query("ups1_source_upsert", "WITH " + FEED + """
-SELECT concat('https://p/', no % 3) AS url, arg_max(concat('page ', no), batch_id) AS name FROM d WHERE right(batch_id, 1) <> '5' GROUP BY ALL""")
+SELECT concat('https://p/', no % 3) AS url, arg_max(concat('page ', no), no) AS name FROM d WHERE right(batch_id, 1) <> '4' GROUP BY ALL""")
 def _(t):
     return _changes(t).sources.select("url", "name")
 
 
 @query("src7_nested_batches", "WITH " + FEED + """
-SELECT batch_id, doc_id - no * 100 AS pos, CAST(doc_id AS VARCHAR) AS external_id, h AS content_hash, blank AS is_blank_post FROM d""")
+SELECT batch_id, doc_id - no * 100 AS pos, CAST(doc_id AS VARCHAR) AS external_id, h AS content_hash, CASE WHEN NOT failed THEN blank END AS is_blank_post FROM d""")
 def _(t):
     raw = batches(t).select(F.to_json(F.struct("*")).alias("value"))
     posts = up.posts_of(src.parse_batches(raw))
@@ -261,22 +266,23 @@ def _(t):
 # --- streams ---------------------------------------------------------------------------
 
 def _drained_store(t) -> ChangeStore:
-    """Write the batches as JSON, twice, and drain them through the ingest stream."""
+    """Write the batches as JSON, twice, and drain them through the ingest stream in several micro-batches."""
     feed, root = scratch_path(t.spark, "feed"), scratch_path(t.spark, "store")
-    for _ in range(2):
-        batches(t).write.mode("append").json(feed)
+    made = written(batches(t).drop("arrival"), "batches")
+    for part in (made.filter("substring(batch_id, -1, 1) < '5'"), made.filter("substring(batch_id, -1, 1) >= '5'"), made):
+        part.coalesce(1).write.mode("append").json(feed)
     store = ChangeStore(t.spark, root)
-    st.start_ingest(st.read_batch_stream(t.spark, feed, 1000), store, f"{root}/_checkpoint").awaitTermination()
+    st.start_ingest(st.read_batch_stream(t.spark, feed, 1), store, f"{root}/_checkpoint").awaitTermination()
     return store
 
 
-ALL_POSTS = FEED + ", p AS (SELECT h, max(doc_id) AS doc_id FROM d WHERE NOT blank GROUP BY h)"
+ALL_POSTS = FEED + ", p AS (SELECT h, max(doc_id) AS doc_id FROM d WHERE NOT blank AND NOT failed GROUP BY h)"
 
 
 @query("str1_streaming_ingest", "WITH " + ALL_POSTS + """
 SELECT 'posts' AS name, count(*) AS rows FROM p
 UNION ALL SELECT 'sources', count(DISTINCT no % 3) FROM d
-UNION ALL SELECT 'comments', count(*) FROM (SELECT DISTINCT h, unnest([concat('hay ', lang), source]) FROM d WHERE NOT blank)
+UNION ALL SELECT 'comments', count(*) FROM (SELECT DISTINCT h, unnest([concat('hay ', lang), source]) FROM d WHERE NOT blank AND NOT failed)
 UNION ALL SELECT 'ledger', count(DISTINCT batch_id) FROM d""")
 def _(t):
     store = _drained_store(t)

@@ -74,7 +74,7 @@ def require_rules(rules: DataFrame, what: str) -> DataFrame:
 
 def emotion_rules(spark: SparkSession, text: str = lex.EMOTION_RULES) -> DataFrame:
     lines = spark.createDataFrame([(t,) for t in text.strip().splitlines()], "line string")
-    return rule_rows(lines)
+    return require_rules(rule_rows(lines), "the emotion rules")
 
 
 def kept_lines(lines: DataFrame, default: str, line: str = "line", order: str = "line_no") -> DataFrame:

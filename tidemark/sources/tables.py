@@ -76,7 +76,8 @@ def read_label_folder(spark: SparkSession, path: str, first: str = "3.5 Flash",
                       marker: str = "_v2") -> DataFrame:
     """Label files whose name, or folder below ``path``, tells the model: ``marker`` is the second.
 
-    Both models' rows are merged on id, one column per model.
+    Both models' rows are merged on id, one column per model; an id that comes
+    twice for one model is an error.
     """
     reader = spark.read.schema("id string, content_anonymized string, label string").options(
         header=True, multiLine=True, escape='"', recursiveFileLookup=True)
@@ -84,7 +85,11 @@ def read_label_folder(spark: SparkSession, path: str, first: str = "3.5 Flash",
     rows = reader.csv(path).select(
         F.col("id").cast("bigint").alias("id"), "content_anonymized", "label",
         F.lower(below).contains(marker).alias("_second"))
-    side = lambda wanted: F.max(F.when(F.col("_second") == wanted, F.col("label")))
+
+    def side(wanted: bool):
+        fault = F.raise_error(F.concat(F.lit(f"{second if wanted else first} has an id twice: "), F.col("id").cast("string")))
+        return F.when(F.count_if(F.col("_second") == wanted) > 1, fault).otherwise(F.max(F.when(F.col("_second") == wanted, F.col("label"))))
+
     text = F.coalesce(F.max(F.when(~F.col("_second"), F.col("content_anonymized"))), F.max("content_anonymized"))
     return rows.groupBy("id").agg(
         text.alias("content_anonymized"), side(False).alias(first), side(True).alias(second))
@@ -127,5 +132,14 @@ def parse_batches(raw: DataFrame, column: str = "value") -> DataFrame:
     return raw.select(F.from_json(column, BATCH_SCHEMA).alias("b")).select("b.*")
 
 
+#: Batches as read from files: a line that is no JSON is kept as text, without an id.
+FILE_SCHEMA = BATCH_SCHEMA.rstrip() + ",\n_corrupt_record string"
+
+
+def arrived(lines: DataFrame) -> DataFrame:
+    """Batches read from files, ordered by the time when their file was written."""
+    return lines.select("*", F.col("_metadata.file_modification_time").alias("arrival"))
+
+
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(BATCH_SCHEMA).json(path)
+    return arrived(spark.read.schema(FILE_SCHEMA).json(path))

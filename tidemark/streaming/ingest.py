@@ -11,22 +11,29 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tidemark.operators.ranking import duplicate_streaks
 from tidemark.operators.triage import triage
-from tidemark.operators.upsert import BATCH_SCHEMA, batch_changes
+from tidemark.operators.upsert import batch_changes
 from tidemark.session import written
-from tidemark.streaming.store import ChangeStore
+from tidemark.sources.tables import FILE_SCHEMA, arrived
+from tidemark.streaming.store import KEYS, ChangeStore
 
 
 def read_batch_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
     """JSON batches as they arrive in a folder."""
-    return spark.readStream.schema(BATCH_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).json(path)
+    return arrived(spark.readStream.schema(FILE_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).json(path))
 
 
-def apply_batches(store: ChangeStore, batches: DataFrame, epoch: int, label: bool = True) -> None:
+def apply_batches(store: ChangeStore, batches: DataFrame, epoch: int, label: bool = True, compact_every: int = 50) -> None:
     """Write what one micro-batch changes; the same epoch again gives the same tables.
 
     The flat posts are written once under the shared folder, since several tables
-    are derived from them.
+    are derived from them. Input without a batch id goes to ``rejected``. Every
+    ``compact_every`` micro-batches the history before this one is folded.
     """
+    if compact_every and epoch and epoch % compact_every == 0:
+        for table in KEYS:
+            store.compact(table, epoch)
+    raw = F.col("_corrupt_record") if "_corrupt_record" in batches.columns else F.to_json(F.struct("source", "posts"))
+    store.append("rejected", batches.filter("batch_id IS NULL").select(F.coalesce(raw, F.lit("no batch id")).alias("raw")), epoch)
     ids = batches.groupBy("batch_id").count().agg(F.max("count")).first()[0]
     changes = batch_changes(
         batches, store.changes("ledger", epoch), store.changes("posts", epoch).select("content_hash"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 KEYS = {"sources": ["url"], "posts": ["content_hash"], "comments": ["post_hash", "content_hash"],
-        "ledger": ["batch_id"], "analyses": ["content_hash", "provider", "model_name"]}
+        "ledger": ["batch_id"], "rejected": ["raw"], "analyses": ["content_hash", "provider", "model_name"]}
 
 SCHEMAS = {
     "sources": "url string, name string, source_type string, platform string, is_active boolean, "
@@ -23,7 +23,8 @@ SCHEMAS = {
     "comments": "post_hash string, content_hash string, content string, normalized_content string, "
                 "collected_at timestamp_ntz",
     "ledger": "batch_id string, total_received long, inserted long, updated long, skipped long, failed long, "
-              "status string",
+              "status string, errors array<string>",
+    "rejected": "raw string",
     "analyses": "content_hash string, summary string, category string, importance_score double, "
                 "attention_required boolean, suggested_action string, sentiment_label string, sentiment_code int, "
                 "status_label string, provider string, model_name string",
@@ -36,38 +37,63 @@ class ChangeStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _folders(self, path: str) -> list[str]:
+        """Names of the folders below a path whose writing was completed."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(path)
+        files = root.getFileSystem(conf)
+        if not files.exists(root):
+            return []
+        found = [s.getPath() for s in files.listStatus(root)]
+        return [p.getName() for p in found if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+
+    def _base(self, table: str, before: int | None) -> int | None:
+        """The newest complete base that folds only micro-batches before the given one."""
+        bases = [int(n.split("=")[1]) for n in self._folders(f"{self.path}/_base/{table}")]
+        return max((b for b in bases if before is None or b <= before), default=None)
+
     def changes(self, table: str, before: int | None = None) -> DataFrame:
-        """All changes of a table, or those of earlier micro-batches only."""
-        spark = self.spark
+        """All changes of a table, or those of earlier micro-batches only: the base, and the micro-batches it does not hold."""
         schema = StructType.fromDDL(SCHEMAS[table])
-        location = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-        if not location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location):
-            return spark.createDataFrame([], schema).withColumn("epoch", F.lit(0).cast("bigint"))
-        rows = spark.read.schema(schema.add("epoch", "long")).parquet(f"{self.path}/{table}")
-        return rows if before is None else rows.filter(F.col("epoch") < before)
+        base = self._base(table, before)
+        epochs = [int(n.split("=")[1]) for n in self._folders(f"{self.path}/{table}")]
+        wanted = [e for e in epochs if (base is None or e >= base) and (before is None or e < before)]
+        parts = [] if base is None else [self.spark.read.schema(schema).parquet(f"{self.path}/_base/{table}/upto={base}").withColumn(
+            "epoch", F.lit(base - 1).cast("bigint"))]
+        if wanted:
+            rows = self.spark.read.schema(schema.add("epoch", "long")).option("basePath", f"{self.path}/{table}")
+            parts.append(rows.parquet(*[f"{self.path}/{table}/epoch={e}" for e in wanted]))
+        if not parts:
+            return self.spark.createDataFrame([], schema).withColumn("epoch", F.lit(0).cast("bigint"))
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def append(self, table: str, df: DataFrame, epoch: int) -> None:
         columns = StructType.fromDDL(SCHEMAS[table]).names
         df.select(*columns).write.mode("overwrite").parquet(f"{self.path}/{table}/epoch={epoch}")
 
-    def current(self, table: str) -> DataFrame:
+    def current(self, table: str, before: int | None = None) -> DataFrame:
         """Latest version of each key."""
         keys = KEYS[table]
-        rows = self.changes(table)
+        rows = self.changes(table, before)
         rest = [c for c in rows.columns if c not in keys and c != "epoch"]
+        if not rest:
+            return rows.select(*keys).distinct()
         latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_row"))
         return latest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
     def compact(self, table: str, epoch: int) -> None:
-        """Rewrite a table as one version in ``epoch`` and drop the folders before it."""
-        staged = f"{self.path}/_compact/{table}"
-        self.current(table).write.mode("overwrite").parquet(staged)
-        self.append(table, self.spark.read.parquet(staged), epoch)
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-        files = root.getFileSystem(conf)
-        for status in files.listStatus(root):
-            name = status.getPath().getName()
-            if name.startswith("epoch=") and int(name.split("=")[1]) < epoch:
-                files.delete(status.getPath(), True)
+        """Fold what was written before ``epoch`` into one base.
 
+        The base is a folder of its own, which counts once it is complete; the
+        micro-batches it holds are deleted after that. ``epoch`` itself and later
+        ones may still be replayed: they are judged against the base.
+        """
+        base = f"{self.path}/_base/{table}/upto={epoch}"
+        if f"upto={epoch}" not in self._folders(f"{self.path}/_base/{table}"):
+            self.current(table, epoch).write.mode("overwrite").parquet(base)
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path, name in ((f"{self.path}/{table}", "epoch"), (f"{self.path}/_base/{table}", "upto")):
+            for folder in self._folders(path):
+                if int(folder.split("=")[1]) < epoch:
+                    gone = jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
+                    gone.getFileSystem(conf).delete(gone, True)
