@@ -95,7 +95,8 @@ def split_distribution_by(df: DataFrame, extra: str, split: str = "split", label
 def length_summary(df: DataFrame, text: str, split: str = "split") -> DataFrame:
     """Word and character length statistics per split.
 
-    Lengths are counted first, so quantiles run over distinct lengths only.
+    Lengths are counted first, so quantiles and deviations from the mean run
+    over distinct lengths only.
     """
     units = F.explode(F.array(
         F.struct(F.lit("words").alias("unit"), F.size(words(F.col(text))).alias("size")),
@@ -103,11 +104,11 @@ def length_summary(df: DataFrame, text: str, split: str = "split") -> DataFrame:
     sizes = df.select(split, units.alias("u")).groupBy(split, "u.unit", "u.size").agg(F.count("*").alias("n"))
     n, s = F.col("n"), F.col("size")
     total = F.sum(n).cast("double")
-    mean = F.sum(n * s) / total
-    square = F.sum(n * s.cast("double") * s)
-    return sizes.groupBy(split, "unit").agg(
-        F.sum(n).alias("count"), mean.alias("mean"),
-        F.sqrt((square - total * mean * mean) / (total - 1)).alias("std"),
+    means = sizes.groupBy(F.col(split).alias("_split"), F.col("unit").alias("_unit")).agg((F.sum(n * s) / total).alias("mean"))
+    same = F.col(split).eqNullSafe(F.col("_split")) & (F.col("unit") == F.col("_unit"))
+    return sizes.join(means, same).groupBy(split, "unit").agg(
+        F.sum(n).alias("count"), F.first("mean").alias("mean"),
+        F.sqrt(F.sum(n * (s - F.col("mean")) * (s - F.col("mean"))) / (total - 1)).alias("std"),
         F.min(s).alias("min"), F.percentile(s, 0.5, n).alias("median"),
         F.max(s).alias("max"), F.percentile(s, 0.95, n).alias("p95"))
 

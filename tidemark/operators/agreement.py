@@ -30,8 +30,10 @@ def unpivot_labels(df: DataFrame, group: str, models: Sequence[str]) -> DataFram
 
 
 def with_overall(counts: DataFrame, group: str, keys: Sequence[str], count: str) -> DataFrame:
-    """Add each count a second time under the group ``overall``."""
-    both = F.explode(F.array(F.col(group).cast("string"), F.lit(OVERALL)))
+    """Add each count a second time under the group ``overall``, which no group itself may be called."""
+    taken = F.raise_error(F.lit(f"{group} holds the reserved name {OVERALL!r}"))
+    own = F.when(F.col(group).cast("string") == OVERALL, taken).otherwise(F.col(group).cast("string"))
+    both = F.explode(F.array(own, F.lit(OVERALL)))
     return counts.withColumn(group, both).groupBy(group, *keys).agg(F.sum(count).alias(count))
 
 

@@ -201,12 +201,12 @@ def batch_changes(batches: DataFrame, ledger: DataFrame, post_keys: DataFrame, c
     posts = stage(posts_of(fresh), "posts")
     usable = posts.filter(~F.col("is_blank_post"))
     place = F.struct("arrival", "batch_id", "pos")
-    versions = usable.groupBy("content_hash").agg(
-        F.min(place).alias("_first"), F.max_by(F.struct(*[c for c in POST_COLUMNS if c != "content_hash"]), place).alias("_last"))
+    # Keys and places only; the winners' rows are fetched by place.
+    versions = usable.select("content_hash", place.alias("_p")).groupBy("content_hash").agg(F.min("_p").alias("_first"), F.max("_p").alias("_last"))
     stored = matching(post_keys, usable, ["content_hash"]).withColumn("_stored", F.lit(True))
     judged = versions.join(stored, "content_hash", "left").withColumn("_is_new", F.col("_stored").isNull())
-    current = judged.select("content_hash", *[F.col(f"_last.{c}").alias(c) for c in POST_COLUMNS if c != "content_hash"],
-                            F.when(F.col("_is_new"), "inserted").otherwise("updated").alias("action"))
+    winners = judged.select("_last.batch_id", "_last.pos", F.when(F.col("_is_new"), "inserted").otherwise("updated").alias("action"))
+    current = usable.join(winners, ["batch_id", "pos"]).select(*POST_COLUMNS, "action")
 
     inserted = judged.filter("_is_new").groupBy(F.col("_first.batch_id").alias("batch_id")).agg(F.count("*").alias("inserted"))
     received = posts.groupBy("batch_id").agg(
@@ -226,7 +226,10 @@ def batch_changes(batches: DataFrame, ledger: DataFrame, post_keys: DataFrame, c
     notes = comments_of(posts)
     keys = ["post_hash", "content_hash"]
     known = matching(comment_keys, notes, keys)
-    added = first_per_key(notes.join(known, keys, "left_anti"), F.struct(*keys), ["arrival", "batch_id", "pos", "cpos"]).select(*COMMENT_COLUMNS)
+    where = ["batch_id", "pos", "cpos"]
+    first = (notes.join(known, keys, "left_anti").groupBy(*keys).agg(F.min(F.struct("arrival", *where)).alias("_p"))
+             .select(*[F.col(f"_p.{c}").alias(c) for c in where]))
+    added = notes.join(first, where).select(*COMMENT_COLUMNS)
 
     sources = last_per_key(fresh.select("arrival", "batch_id", "source.*"), ["url"], ["arrival", "batch_id"]).drop("arrival", "batch_id")
     return Changes(sources, current, added, new_ledger)

@@ -11,6 +11,7 @@ from tidemark.operators import models as md
 from tidemark.operators import splits as sp
 from tidemark.functions.lexicon import LABEL_NAMES_VI
 from tidemark.plans.base import query
+from tidemark.plans.relational import METRICS, metrics_sql
 from tidemark.plans.text import squash_sql
 from tidemark.session import scratch_path
 
@@ -130,11 +131,11 @@ def _(t):
                          *[f"prob_{n}" for n in LABEL_NAMES_VI.values()])
 
 
-@query("m9_prefixed_metrics", """
-SELECT round(avg((true_id = pred_id)::INT), 9) AS val_accuracy FROM {predictions}""")
+@query("m9_prefixed_metrics", "WITH " + metrics_sql("{predictions}", "true_id", "pred_id").replace(" AS accuracy", " AS val_accuracy")
+       .replace(" AS precision_", " AS val_precision_").replace(" AS recall_", " AS val_recall_").replace(" AS f1_", " AS val_f1_"))
 def _(t):
     out = ev.metrics(ev.confusion_matrix(t.predictions, "true_id", "pred_id"))
-    return ev.prefixed(out, "val").select(F.round("val_accuracy", 9).alias("val_accuracy"))
+    return ev.prefixed(out, "val").select(*[F.round(f"val_{m}", 9).alias(f"val_{m}") for m in METRICS])
 
 
 @query("m10_saved_model_scoring")

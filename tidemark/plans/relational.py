@@ -641,16 +641,33 @@ def _(t):
     return out.withColumns({c: F.round(c, 6) for c in ("train_loss", "val_loss")})
 
 
+METRICS = ["accuracy", *[f"{f}_{kind}" for kind in ("macro", "weighted") for f in ("precision", "recall", "f1")]]
+
+
+def metrics_sql(source, true, guess, by=None):
+    """CTEs and the query of all seven metrics of labels 0 to 2."""
+    key = f"{by}, " if by else ""
+    group = f"GROUP BY {by}" if by else ""
+    macro = ", ".join(f"round(avg({c}), 9) AS {n}_macro" for c, n in (("pr", "precision"), ("rc", "recall"), ("f1", "f1")))
+    weighted = ", ".join(f"round(sum({c} * support) / sum(support), 9) AS {n}_weighted" for c, n in (("pr", "precision"), ("rc", "recall"), ("f1", "f1")))
+    return f"""
+cells AS (SELECT {key}k, count(*) FILTER ({true} = k AND {guess} = k) AS hit, count(*) FILTER ({guess} = k) AS guessed, count(*) FILTER ({true} = k) AS support
+          FROM {source} CROSS JOIN (VALUES (0), (1), (2)) v(k) GROUP BY ALL),
+rates AS (SELECT *, CASE WHEN guessed > 0 THEN hit / guessed ELSE 0 END AS pr, CASE WHEN support > 0 THEN hit / support ELSE 0 END AS rc FROM cells WHERE support + guessed > 0),
+scores AS (SELECT *, CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END AS f1 FROM rates)
+SELECT {key}round(sum(hit) / sum(support), 9) AS accuracy, {macro}, {weighted} FROM scores {group}"""
+
+
 @query("agg21_model_comparison", """
 WITH u AS (SELECT 'a' AS model, n_chars % 3 AS y, (n_chars + (doc_id % 4 = 0)::INT) % 3 AS p FROM documents
-           UNION ALL SELECT 'b', n_chars % 3, (n_chars + (doc_id % 3 = 0)::INT) % 3 FROM documents)
-SELECT model, round(avg((y = p)::INT), 9) AS accuracy FROM u GROUP BY model""")
+           UNION ALL SELECT 'b', n_chars % 3, (n_chars + (doc_id % 3 = 0)::INT) % 3 FROM documents),
+""" + metrics_sql("u", "y", "p", "model"))
 def _(t):
     d = t.documents
     guess = lambda name, k: d.selectExpr(f"'{name}' AS model", "int(n_chars % 3) AS y", f"int((n_chars + int(doc_id % {k} = 0)) % 3) AS p")
     both = guess("a", 4).unionByName(guess("b", 3))
     out = ev.metrics(ev.confusion_matrix(both, "y", "p", ["model"]), ["model"])
-    return r9(out, "accuracy").select("model", "accuracy")
+    return r9(out, *METRICS).select("model", *METRICS)
 
 
 @query("agg28_status_counts", """
