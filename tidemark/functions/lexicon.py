@@ -250,69 +250,29 @@ COUNT_TEXT = r"[\d][\d.,]*\s?[KkMmNnTr]*"
 
 # --- fixed values: emoji names used as tags (others take the Unicode name) -----
 EMOJI_TAGS = """
-😀 grinning_face
 😃 grinning_face_with_big_eyes
 😄 grinning_face_with_smiling_eyes
 😁 beaming_face_with_smiling_eyes
 😆 grinning_squinting_face
 😅 grinning_face_with_sweat
-🤣 rolling_on_the_floor_laughing
-😂 face_with_tears_of_joy
-🙂 slightly_smiling_face
-🙃 upside_down_face
-😉 winking_face
-😊 smiling_face_with_smiling_eyes
-😇 smiling_face_with_halo
 🥰 smiling_face_with_hearts
 😍 smiling_face_with_heart_eyes
 😘 face_blowing_a_kiss
-😗 kissing_face
-😚 kissing_face_with_closed_eyes
 😋 face_savoring_food
 😛 face_with_tongue
 😜 winking_face_with_tongue
 😝 squinting_face_with_tongue
 🤪 zany_face
 🤨 face_with_raised_eyebrow
-🤔 thinking_face
 🤭 face_with_hand_over_mouth
-🤗 hugging_face
 🤩 star_struck
-😎 smiling_face_with_sunglasses
-😏 smirking_face
-😒 unamused_face
-🙄 face_with_rolling_eyes
-😬 grimacing_face
-😑 expressionless_face
-😐 neutral_face
-😶 face_without_mouth
-😌 relieved_face
-😔 pensive_face
-😪 sleepy_face
-😴 sleeping_face
-😷 face_with_medical_mask
-🤒 face_with_thermometer
-🤕 face_with_head_bandage
-🤢 nauseated_face
 🤮 face_vomiting
-🤧 sneezing_face
-🥲 smiling_face_with_tear
-🥹 face_holding_back_tears
 🥺 pleading_face
-😢 crying_face
-😭 loudly_crying_face
 😤 face_with_steam_from_nose
-😠 angry_face
 😡 enraged_face
-😳 flushed_face
-😱 face_screaming_in_fear
-😨 fearful_face
 😰 anxious_face_with_sweat
 😥 sad_but_relieved_face
 😓 downcast_face_with_sweat
-😩 weary_face
-😞 disappointed_face
-🙁 slightly_frowning_face
 ☹ frowning_face
 ☺ smiling_face
 👍 thumbs_up
@@ -320,56 +280,22 @@ EMOJI_TAGS = """
 👌 ok_hand
 👏 clapping_hands
 🙏 folded_hands
-💪 flexed_biceps
 🙌 raising_hands
 🙋 person_raising_hand
 🤦 person_facepalming
 👉 backhand_index_pointing_right
 ☝ index_pointing_up
-✋ raised_hand
-✌ victory_hand
-🫶 heart_hands
 ❤ red_heart
 ♥ heart_suit
-💕 two_hearts
-💖 sparkling_heart
-💗 growing_heart
-💙 blue_heart
-💚 green_heart
-💛 yellow_heart
-💜 purple_heart
-🖤 black_heart
-🤍 white_heart
-🔥 fire
-✨ sparkles
 ⭐ star
-🌟 glowing_star
-🎉 party_popper
 🎁 wrapped_gift
 💯 hundred_points
 ✅ check_mark_button
 ✔ check_mark
-❌ cross_mark
 ⚠ warning
-‼ double_exclamation_mark
-⁉ exclamation_question_mark
-📍 round_pushpin
-📌 pushpin
-📞 telephone_receiver
 ☎ telephone
-⏰ alarm_clock
-🌸 cherry_blossom
-🍀 four_leaf_clover
 ⚡ high_voltage
-⚀ die_face_one
-⚁ die_face_two
-⚂ die_face_three
-⚃ die_face_four
-⚄ die_face_five
-⚅ die_face_six
 ☀ sun
-♂ male_sign
-♀ female_sign
 🏻 light_skin_tone
 🏼 medium_light_skin_tone
 🏽 medium_skin_tone

@@ -304,7 +304,7 @@ def plain_sql(c):
 
 def emoji_tags_sql(c):
     c = f"replace(replace({c}, chr(65039), ''), chr(8205), '')"
-    for line in lex.EMOJI_TAGS.strip().splitlines():
+    for line in [*lex.EMOJI_TAGS.strip().splitlines(), "🔥 fire"]:
         emoji, name = line.split(" ", 1)
         c = f"replace({c}, '{emoji}', ' <{name}> ')"
     return c
