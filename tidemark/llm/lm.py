@@ -108,8 +108,20 @@ def count_words(training: DataFrame, text: str) -> DataFrame:
     return written(rows.groupBy("word").agg(F.max("kind").alias("kind"), F.sum("n").alias("n")), "lm-words")
 
 
+def _frequent(counts: DataFrame, most: int) -> pd.DataFrame:
+    """Words whose count is in the highest brackets that hold ``most`` words at most, by falling count.
+
+    Only bracket sizes and the chosen words come to the driver.
+    """
+    bracket = F.floor(F.log2("n") * 32).cast("int")
+    sizes = counts.groupBy(bracket.alias("bracket")).count().toPandas().sort_values("bracket", ascending=False)
+    kept = sizes[sizes["count"].cumsum() <= most]["bracket"]
+    chosen = counts.filter(bracket >= int(kept.min())) if len(kept) else counts.limit(0)
+    return chosen.toPandas().sort_values(["n", "word"], ascending=[False, True]).reset_index(drop=True)
+
+
 def _vocabulary(counts: DataFrame, documents: int, settings: Settings) -> Model:
-    top = counts.orderBy(F.desc("n"), "word").limit(settings.frequent).toPandas()
+    top = _frequent(counts, settings.frequent)
     kinds = counts.groupBy("kind").agg(F.sum("n").alias("n"), F.sum(F.col("n") + 1).alias("mass"), F.count(F.lit(1)).alias("words")).toPandas()
     own = top.head(settings.symbols)
     by_type = np.zeros((3, TYPES), np.int64)
