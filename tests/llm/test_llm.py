@@ -393,6 +393,13 @@ def test_language_model(spark, docs, corpus, none):
     assert lm.score(none, "doc_id", "text", model, counts, settings).count() == 0
 
 
+def test_frequent_words_are_the_highest_brackets(spark):
+    counts = spark.createDataFrame([(i, 0, n) for i, n in enumerate([1, 1, 1, 9, 500, 9, 70])], "word long, kind long, n long")
+    assert lm._frequent(counts, 4)["n"].tolist() == [500, 70, 9, 9]
+    assert lm._frequent(counts, 3)["n"].tolist() == [500, 70]
+    assert len(lm._frequent(counts, 0)) == 0 and len(lm._frequent(counts, 7)) == 7
+
+
 def test_network_is_a_distribution_and_its_gradients_are_right():
     rng = np.random.default_rng(0)
     w = gru.start(np.arange(64, 0, -1), 5, 1)
