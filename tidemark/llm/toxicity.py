@@ -11,8 +11,9 @@ A hit counts as quoted if quotation marks stand on both sides of it within a
 window of words. A logistic model over exact and misspelled hits, quoted and
 open, and the densest stretch of hits gives the score.
 
-Labels are used from at most ``max_toxic`` toxic and ``max_clean`` other rows
-(those with the lowest hash of their id); everything else covers all rows.
+Labels are used from about ``max_toxic`` toxic and ``max_clean`` other rows at
+most (where there are more, those below a hash threshold); everything else
+covers all rows.
 """
 
 from __future__ import annotations
@@ -296,9 +297,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
     spark = docs.sparkSession
     known = labels.filter(usable & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("sample_key")).agg(
         F.max(F.col(label).cast("int")).alias("toxic"))
-    parts = [known.filter(cond).orderBy(F.xxhash64("sample_key"), "sample_key").limit(n)
-             for cond, n in ((F.col("toxic") == 1, settings.max_toxic), (F.col("toxic") != 1, settings.max_clean))]
-    chosen = spark.createDataFrame([tuple(r) for p in parts for r in p.collect()], parts[0].schema)
+    sizes = known.agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") != 1).alias("clean")).first()
+    below = lambda n, most: F.lit(int((1 << 30) * min(1.0, most / max(n, 1))))
+    limit = F.when(F.col("toxic") == 1, below(sizes["toxic"], settings.max_toxic)).otherwise(below(sizes["clean"], settings.max_clean))
+    picked = known.filter(F.pmod(F.xxhash64("sample_key"), F.lit(1 << 30)) < limit)
+    chosen = spark.createDataFrame([tuple(r) for r in picked.collect()], picked.schema)
     return docs.select(F.col(key).alias("sample_key"), F.col(text).alias("text")).join(F.broadcast(chosen), "sample_key")
 
 
