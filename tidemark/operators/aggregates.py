@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,14 +138,17 @@ def vocabulary(df: DataFrame, text: str, order: str, max_size: int = 30000, min_
 def encode(df: DataFrame, key: str, text: str, vocab: DataFrame, max_length: int = 128, tokens=words) -> DataFrame:
     """``key, ids, length``: padded ids of the first ``max_length`` tokens.
 
-    The vocabulary has at most its own size cap of rows, so it is broadcast; the
-    ids of one text, at most ``max_length``, are gathered again.
+    The vocabulary has at most its own size cap of rows, so every task looks the
+    tokens up in a broadcast copy and no row moves.
     """
-    heads = df.select(key, F.posexplode(F.slice(tokens(F.col(text)), 1, max_length)).alias("_pos", "_token"))
-    known = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id"))
-    coded = heads.join(F.broadcast(known), "_token", "left").select(
-        key, F.struct("_pos", F.coalesce("_id", F.lit(1)).alias("id")).alias("_e"))
-    grouped = coded.groupBy(key).agg(F.sort_array(F.collect_list("_e")).alias("_e"))
-    ids = F.transform("_e", lambda e: e["id"])
+    known = df.sparkSession.sparkContext.broadcast({r["token"]: r["id"] for r in vocab.select("token", "id").collect()})
+
+    @F.arrow_udf("array<int>")
+    def look_up(heads: pa.Array) -> pa.Array:
+        ids = [known.value.get(t, 1) for t in heads.flatten().to_pylist()]
+        ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(heads), 0).to_pylist()])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+
+    coded = df.select(key, look_up(F.slice(tokens(F.col(text)), 1, max_length)).alias("_e"))
     pad = F.array_repeat(F.lit(0), F.lit(max_length) - F.size("_e"))
-    return grouped.select(key, F.concat(ids, pad).alias("ids"), F.greatest(F.size("_e"), F.lit(1)).alias("length"))
+    return coded.select(key, F.concat("_e", pad).alias("ids"), F.greatest(F.size("_e"), F.lit(1)).alias("length"))

@@ -159,22 +159,30 @@ def newest(df: DataFrame, order: str, limit: int, tie: str = "id") -> DataFrame:
 
 
 def audit_sample(df: DataFrame, key: str, size: int = 200, seed: int = 42, verdict: str = "dung_khong") -> DataFrame:
-    """At most ``size`` rows in seeded hash order with a blank verdict column."""
-    hashed = df.withColumn("_digest", digest(F.col(key), seed))
-    return hashed.orderBy("_digest", key).limit(size).drop("_digest").withColumn(verdict, F.lit(""))
+    """At most ``size`` rows in seeded hash order with a blank verdict column.
+
+    Only keys are sorted; the chosen ones (at most ``size``, so broadcast) pick their rows.
+    """
+    chosen = df.select(key).orderBy(digest(F.col(key), seed), key).limit(size)
+    return df.join(F.broadcast(chosen), key, "left_semi").withColumn(verdict, F.lit(""))
 
 
 def stratified_sample(df: DataFrame, key: str, label: str, size: int = 1000, classes: int = 3,
                       seed: int = 42, verdicts: Sequence[str] = ("nhan_dung_khong", "nhan_dung_neu_sai")) -> DataFrame:
-    """At most ``size / classes`` rows per label in seeded hash order.
+    """At most ``size / classes`` rows per label in seeded hash order; keys must be unique.
 
-    The rank filter is pushed below the shuffle, so every task sends at most
-    that many rows per label.
+    Counts per label and digest prefix tell which prefixes hold the first rows;
+    only the keys of these are ranked, and rows are picked by key at the end.
     """
     each = max(1, size // classes)
-    order = Window.partitionBy(label).orderBy("_digest", key)
-    ranked = df.withColumn("_digest", digest(F.col(key), seed)).withColumn("_rank", F.row_number().over(order))
-    picked = ranked.filter(F.col("_rank") <= each).drop("_rank", "_digest")
+    narrow = df.select(key, label, digest(F.col(key), seed).alias("_digest")).withColumn("_bucket", digest_bucket(F.col("_digest")))
+    earlier = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    first = (narrow.groupBy(label, "_bucket").agg(F.count("*").alias("_n"))
+             .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).filter(F.col("_before") < each)
+             .select(F.col(label).alias("_l"), F.col("_bucket").alias("_b")))
+    near = narrow.join(first, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_bucket") == F.col("_b")), "left_semi")
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_digest", key))
+    picked = df.join(near.withColumn("_rank", rank).filter(F.col("_rank") <= each).select(key), key, "left_semi")
     for verdict in verdicts:
         picked = picked.withColumn(verdict, F.lit(""))
     return picked
