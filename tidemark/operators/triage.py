@@ -118,6 +118,30 @@ def apply_analysis(df: DataFrame) -> DataFrame:
         "status": F.col("status_label")})
 
 
+MODEL_LABELS = {"gemini": "gemini_label", "phobert": "phobert_label", "simcse": "simcse_label", "bgem3": "bgem3_label"}
+ITEM_FIELDS = ["topic", "importance_level", "status", *MODEL_LABELS.values(), "voted_label", "label_status", "label_error_json"]
+
+
+def analyze_items(items: DataFrame, external: DataFrame, models: DataFrame | None = None, key: str = "id",
+                  text: str = "content", provider: str = "gemini", model: str = "gemini-3.5-flash") -> DataFrame:
+    """The complete analysis of items: external answer or rules, all models' labels, vote, status and errors.
+
+    ``external`` is as in ``enrich``. ``models`` has the key and label codes under
+    the names of ``MODEL_LABELS`` other than the external provider's; missing
+    ones count as unavailable. The external label is a vote only if it did not
+    fall back; the reason is then its error.
+    """
+    judged = enrich(items, external, key, text, provider, model)
+    own = MODEL_LABELS[provider]
+    judged = judged.withColumn(own, F.when(F.col("fallback_from").isNull(), F.col("sentiment_code")))
+    others = [c for c in MODEL_LABELS.values() if c != own]
+    given = [] if models is None else [c for c in others if c in models.columns]
+    if given:
+        judged = judged.join(models.select(key, *given), key, "left")
+    judged = judged.withColumns({c: F.lit(None).cast("int") for c in others if c not in given})
+    return apply_analysis(label_item(judged, MODEL_LABELS, {provider: "fallback_reason"}))
+
+
 def analyze_newest(items: DataFrame, limit: int = 50, text: str = "content") -> DataFrame:
     """Triage of the newest items with their updated columns."""
     live = items.filter(F.col("deleted_at").isNull())

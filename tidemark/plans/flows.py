@@ -312,9 +312,14 @@ def _(t):
 
 
 @query("str4_label_on_ingest", "WITH " + ALL_POSTS.lstrip() + "," + RULES.replace("{social}", "documents").lstrip() + """
-SELECT h AS content_hash, category, sentiment_code, 'mock' AS provider FROM p JOIN a USING (doc_id)""")
+SELECT h AS content_hash, category, sentiment_code, 'mock' AS provider, 'no answer' AS fallback_reason, category AS topic,
+CASE WHEN importance_score >= 0.8 THEN 'high' ELSE 'normal' END AS importance_level, status_label AS status, CAST(NULL AS INT) AS voted_label,
+'failed' AS label_status, 'no answer' AS gemini_error FROM p JOIN a USING (doc_id)""")
 def _(t):
-    return _drained_store(t).current("analyses").select("content_hash", "category", "sentiment_code", "provider")
+    store = _drained_store(t)
+    items = store.current("items").select("content_hash", "topic", "importance_level", "status", "voted_label", "label_status",
+                                          F.col("label_error_json")["gemini"].alias("gemini_error"))
+    return store.current("analyses").select("content_hash", "category", "sentiment_code", "provider", "fallback_reason").join(items, "content_hash")
 
 
 @query("str5_scheduled_run", "SELECT event_type, count(*) AS n FROM events GROUP BY ALL")

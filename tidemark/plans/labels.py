@@ -232,6 +232,26 @@ def _(t):
     return out.select("id", F.array_join(parts, ";").alias("errors"))
 
 
+@query("l19_complete_analysis", "WITH " + RULES + """,
+m AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 0 END AS g, CASE WHEN doc_id % 5 <> 0 THEN doc_id % 3 END AS s, CASE WHEN doc_id % 7 <> 0 THEN doc_id % 2 END AS h FROM documents),
+v AS (SELECT doc_id, unnest([g, h, s]) AS code, unnest([1, 2, 3]) AS pr FROM m),
+c AS (SELECT doc_id, code, count(*) AS n, min(pr) AS pr FROM v WHERE code IS NOT NULL GROUP BY ALL),
+w AS (SELECT doc_id, code FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pr) = 1)
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'chua_phan_loai' WHEN 1 THEN 'x' ELSE category END AS topic,
+CASE WHEN doc_id % 4 = 0 AND doc_id > 0 OR doc_id % 4 >= 2 AND importance_score >= 0.8 THEN 'high' ELSE 'normal' END AS importance_level,
+CASE doc_id % 4 WHEN 0 THEN 'analyzed' WHEN 1 THEN 'needs_attention' ELSE status_label END AS status, CAST(g AS INT) AS gemini_label, CAST(w.code AS INT) AS voted_label,
+CASE WHEN g IS NULL AND s IS NULL AND h IS NULL THEN 'failed' ELSE 'partial' END AS label_status,
+concat_ws(';', 'bgem3=bgem3 label unavailable', CASE doc_id % 4 WHEN 2 THEN 'gemini=timeout' WHEN 3 THEN 'gemini=no answer' END,
+CASE WHEN h IS NULL THEN 'phobert=phobert label unavailable' END, CASE WHEN s IS NULL THEN 'simcse=simcse label unavailable' END) AS errors
+FROM a JOIN m USING (doc_id) LEFT JOIN w USING (doc_id)""")
+def _(t):
+    external = t.documents.filter("doc_id % 4 < 3").select("doc_id", F.expr(EXTERNAL).alias("answer"), F.expr("if(doc_id % 4 = 2, 'timeout', NULL)").alias("error"))
+    models = t.documents.selectExpr("doc_id", "int(if(doc_id % 5 <> 0, doc_id % 3, NULL)) AS simcse_label", "int(if(doc_id % 7 <> 0, doc_id % 2, NULL)) AS phobert_label")
+    out = tri.analyze_items(t.social.select("doc_id", "text"), external, models, "doc_id", "text")
+    parts = F.transform(F.array_sort(F.map_entries("label_error_json")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return out.select("doc_id", "topic", "importance_level", "status", "gemini_label", "voted_label", "label_status", F.array_join(parts, ";").alias("errors"))
+
+
 @query("l19_analyze_newest", "WITH " + RULES + """
 SELECT doc_id AS id, category AS topic, CASE WHEN importance_score >= 0.8 THEN 'high' ELSE 'normal' END AS importance_level, status_label AS status
 FROM a ORDER BY doc_id DESC LIMIT 50""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tidemark.operators.ranking import duplicate_streaks
-from tidemark.operators.triage import triage
+from tidemark.operators.triage import EXTERNAL, analyze_items
 from tidemark.operators.upsert import batch_changes
 from tidemark.session import written
 from tidemark.sources.tables import FILE_SCHEMA, arrived
@@ -22,11 +23,22 @@ def read_batch_stream(spark: SparkSession, path: str, files_per_trigger: int = 1
     return arrived(spark.readStream.schema(FILE_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).json(path))
 
 
-def apply_batches(store: ChangeStore, batches: DataFrame, epoch: int, label: bool = True, compact_every: int = 50) -> None:
+Answers = Callable[[DataFrame], DataFrame]
+
+
+def no_answers(posts: DataFrame) -> DataFrame:
+    """The answers of a provider that gave none: the rules judge every post."""
+    return posts.sparkSession.createDataFrame([], f"content_hash string, answer struct<{EXTERNAL.replace(' ', ':').replace(',:', ',')}>, error string")
+
+
+def apply_batches(store: ChangeStore, batches: DataFrame, epoch: int, label: bool = True, compact_every: int = 50,
+                  answers: Answers = no_answers, models: Answers | None = None) -> None:
     """Write what one micro-batch changes; the same epoch again gives the same tables.
 
     The flat posts are written once under the shared folder, since several tables
-    are derived from them. Input without a batch id goes to ``rejected``. Every
+    are derived from them. New and changed posts are analysed: ``answers`` gives
+    an external provider's answers for posts, ``models`` the other models' label
+    codes, both by ``content_hash``. Input without a batch id goes to ``rejected``. Every
     ``compact_every`` micro-batches the history before this one is folded.
     """
     if compact_every and epoch and epoch % compact_every == 0:
@@ -43,14 +55,19 @@ def apply_batches(store: ChangeStore, batches: DataFrame, epoch: int, label: boo
     store.append("comments", changes.comments, epoch)
     if label:
         new_posts = store.changes("posts").filter(F.col("epoch") == epoch)
-        store.append("analyses", triage(new_posts.select("content_hash", "content")), epoch)
+        posts = new_posts.select("content_hash", "content")
+        judged = analyze_items(posts, answers(posts), None if models is None else models(posts), "content_hash")
+        judged = written(judged.withColumn("labeled_at", F.current_timestamp()), "analyses")
+        store.append("analyses", judged, epoch)
+        store.append("items", judged, epoch)
     store.append("ledger", changes.ledger, epoch)
 
 
-def start_ingest(stream: DataFrame, store: ChangeStore, checkpoint: str, label: bool = True, **trigger) -> StreamingQuery:
+def start_ingest(stream: DataFrame, store: ChangeStore, checkpoint: str, label: bool = True, answers: Answers = no_answers,
+                 models: Answers | None = None, **trigger) -> StreamingQuery:
     """Continuous ingest with an effect of exactly once per batch id."""
     return (stream.writeStream.option("checkpointLocation", checkpoint)
-            .foreachBatch(lambda df, epoch: apply_batches(store, df, epoch, label))
+            .foreachBatch(lambda df, epoch: apply_batches(store, df, epoch, label, answers=answers, models=models))
             .trigger(**(trigger or {"availableNow": True})).start())
 
 

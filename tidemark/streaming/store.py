@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 KEYS = {"sources": ["url"], "posts": ["content_hash"], "comments": ["post_hash", "content_hash"],
-        "ledger": ["batch_id"], "rejected": ["raw"], "analyses": ["content_hash", "provider", "model_name"]}
+        "ledger": ["batch_id"], "rejected": ["raw"], "items": ["content_hash"], "analyses": ["content_hash", "provider", "model_name"]}
 
 SCHEMAS = {
     "sources": "url string, name string, source_type string, platform string, is_active boolean, "
@@ -25,9 +25,12 @@ SCHEMAS = {
     "ledger": "batch_id string, total_received long, inserted long, updated long, skipped long, failed long, "
               "status string, errors array<string>",
     "rejected": "raw string",
+    "items": "content_hash string, topic string, importance_level string, status string, gemini_label int, phobert_label int, "
+             "simcse_label int, bgem3_label int, voted_label int, label_status string, label_error_json map<string,string>, "
+             "labeled_at timestamp",
     "analyses": "content_hash string, summary string, category string, importance_score double, "
                 "attention_required boolean, suggested_action string, sentiment_label string, sentiment_code int, "
-                "status_label string, provider string, model_name string",
+                "status_label string, provider string, model_name string, fallback_from string, fallback_reason string",
 }
 
 
