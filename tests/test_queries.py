@@ -8,10 +8,9 @@ from conftest import FOLDER
 
 # Their SQL has no fallback for strata that sf0.001 leaves too small.
 NEEDS_ROWS = {"spl3_stratified_split", "agg15_split_distribution", "agg16_split_distribution_by", "snk5_saved_splits"}
-SLOW = {"m7_network_classifier", "m8_text_classifier", "m10_saved_model_scoring"}
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", entry.queries())
 def test_query(name, spark, duck):
     folder, con = FOLDER, duck
     if name in NEEDS_ROWS:

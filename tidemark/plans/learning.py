@@ -148,6 +148,20 @@ def _(t):
     return md.load_and_score(path, t.embeddings, LABEL_NAMES_VI, vector="embedding").drop("embedding", "probabilities")
 
 
+@query("m10_saved_equals_fitted", "SELECT count(*) AS rows, count(*) AS same, count(*) AS sums_to_one FROM embeddings")
+def _(t):
+    from pyspark.ml import PipelineModel
+
+    path = scratch_path(t.spark, "model")
+    model = md.fit_linear(_vectors(t).filter("split = 'train'"), "embedding", "label_id", max_iter=10)
+    PipelineModel([model]).write().overwrite().save(path)
+    fitted = md.predict(model, t.embeddings, LABEL_NAMES_VI, vector="embedding").select("vec_id", F.col("probabilities").alias("p"), F.col("pred_label_id").alias("a"))
+    saved = md.load_and_score(path, t.embeddings, LABEL_NAMES_VI, vector="embedding").select("vec_id", F.col("probabilities").alias("q"), F.col("pred_label_id").alias("b"))
+    near = F.forall(F.zip_with("p", "q", lambda x, y: F.abs(x - y) < 1e-9), lambda ok: ok) & (F.col("a") == F.col("b"))
+    total = F.aggregate("p", F.lit(0.0), lambda x, y: x + y)
+    return fitted.join(saved, "vec_id").agg(F.count("*").alias("rows"), F.count_if(near).alias("same"), F.count_if(F.abs(total - 1) < 1e-9).alias("sums_to_one"))
+
+
 @query("m10_foreign_model_scoring", """
 SELECT vec_id, CASE WHEN embedding[1] >= embedding[2] AND embedding[1] >= embedding[3] THEN 0
                     WHEN embedding[2] >= embedding[3] THEN 1 ELSE 2 END AS pred_label_id FROM embeddings""")
