@@ -15,7 +15,7 @@ def spark():
 
     session = build_session("tests", "local[8]", **{
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "4",
-        "spark.driver.memory": "6g"})
+        "spark.driver.memory": "6g", "spark.cleaner.periodicGC.interval": "20s"})
     session.sparkContext.setLogLevel("ERROR")
     return session
 

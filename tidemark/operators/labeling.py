@@ -24,24 +24,32 @@ def with_outputs(df: DataFrame) -> DataFrame:
     return df.withColumn("status", repaired_status(F.col("status"), F.col("sentiment_raw_label")))
 
 
-def mark_work(df: DataFrame, order: str, text: str, start: int = 0, limit: int | None = None,
-              min_length: int = 1, again: bool = False) -> DataFrame:
-    """Add ``work``: ``label``, ``skip`` (too short) or null (finished or outside the window)."""
-    placed = numbered(df, order, name="_no")
-    inside = F.col("_no") > start
+def _work(df: DataFrame, order: str, text: str, start: int = 0, limit: int | None = None,
+          min_length: int = 1, again: bool = False) -> DataFrame:
+    """``order, work`` of each row; texts are measured where they are and do not move."""
+    narrow = df.select(order, is_unfinished(F.col("status"), again).alias("_open"), (F.length(squash(F.col(text))) < min_length).alias("_short"))
+    placed = numbered(narrow, order, name="_no")
+    todo = (F.col("_no") > start) & F.col("_open")
     if limit is not None:
-        inside = inside & (F.col("_no") <= start + limit)
-    todo = inside & is_unfinished(F.col("status"), again)
-    short = F.length(squash(F.col(text))) < min_length
-    return placed.withColumn("work", F.when(todo & short, "skip").when(todo, "label")).drop("_no")
+        todo = todo & (F.col("_no") <= start + limit)
+    return placed.select(order, F.when(todo & F.col("_short"), "skip").when(todo, "label").alias("work"))
+
+
+def mark_work(df: DataFrame, order: str, text: str, **window) -> DataFrame:
+    """Add ``work``: ``label``, ``skip`` (too short) or null (finished or outside the window).
+
+    The window is ``start`` and ``limit`` in rows, with ``min_length`` and ``again``.
+    """
+    return df.join(_work(df, order, text, **window), order)
 
 
 def work_batches(df: DataFrame, order: str, text: str, size: int = 30, **window) -> DataFrame:
-    """Rows to label, packed into requests of at most ``size`` entries."""
-    todo = mark_work(df, order, text, **window).filter(F.col("work") == "label")
-    placed = numbered(todo.select(F.col(order).alias("row_id"), squash(F.col(text)).alias("text")), "row_id", name="_n")
+    """Rows to label, packed into requests of at most ``size`` entries; keys are numbered, then texts joined once."""
+    keys = _work(df, order, text, **window).filter(F.col("work") == "label").select(order)
+    placed = numbered(keys, order, name="_n").join(df.select(order, squash(F.col(text)).alias("text")), order)
     batch = F.floor((F.col("_n") - 1) / size).alias("batch_no")
-    return placed.groupBy(batch).agg(F.sort_array(F.collect_list(F.struct("row_id", "text"))).alias("items"))
+    item = F.struct(F.col(order).alias("row_id"), "text")
+    return placed.groupBy(batch).agg(F.sort_array(F.collect_list(item)).alias("items"))
 
 
 def resume(df: DataFrame, previous: DataFrame | None, key: str) -> DataFrame:

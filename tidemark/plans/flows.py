@@ -302,6 +302,18 @@ def _(t):
     return t.spark.read.schema(unique.schema).parquet(f"{root}/rows")
 
 
+@query("str2_watermarked_dedup", "SELECT DISTINCT user_id, event_type FROM events")
+def _(t):
+    root = scratch_path(t.spark, "dedup")
+    stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/event[s].parquet").select(
+        "user_id", "event_type", F.col("ts").cast("timestamp").alias("at"), F.concat_ws("|", "user_id", "event_type").alias("k"))
+    # Longer than the events' span, so that every repeat meets its first row; state older than that is dropped.
+    unique = st.distinct_stream(stream, "k", "at", "400 days").select("user_id", "event_type")
+    unique.writeStream.option("checkpointLocation", f"{root}/_checkpoint").option("path", f"{root}/rows").trigger(
+        availableNow=True).format("parquet").start().awaitTermination()
+    return t.spark.read.schema(unique.schema).parquet(f"{root}/rows")
+
+
 @query("str3_streaming_streak", "WITH " + STREAK_SQL)
 def _(t):
     root = scratch_path(t.spark, "streak")
