@@ -22,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.worker import keep
+
 WORD = re.compile("[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 RESULT = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<struct<start:int,end:int>>>"
-_built: dict[str, tuple] = {}
 
 
 def normal_words(text: str) -> list[bytes]:
@@ -58,10 +59,7 @@ def automaton(items: list[tuple[str, str]], window: int) -> tuple:
 
 def _slice(shared, window: int, key: str):
     """The automaton of one slice; a worker keeps the last one it built."""
-    if key not in _built:
-        _built.clear()
-        _built[key] = automaton(shared.value, window)
-    return _built[key]
+    return keep(f"automaton {key}", lambda: automaton(shared.value, window))
 
 
 def _spans(text: str, hit: np.ndarray) -> list[dict]:

@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.worker import keep
 from tidemark.session import written
 
 CACHE_PARTS = 700_000  # parts that a worker keeps
 _SPLITS = {"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}  # patterns none of whose matches holds white space
 _MARK = re.compile(rb"(?<=[a-z0-9])([.,])")
-_loaded: dict[str, Encoder] = {}
 
 
 def part_safe(description: dict) -> bool:
@@ -125,11 +125,8 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _loaded:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _loaded.clear()
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return keep(f"encoder {path}", lambda: Encoder(path))
 
 
 def token_ids(text: Column, path: str) -> Column:

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.worker import keep
 from tidemark.llm.words import Words, segments
 
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„«»‘’…¡¿"
@@ -37,7 +38,7 @@ _FEATURES = pa.struct([(n, pa.int32()) for n in ("exact_open", "exact_quoted", "
 CAP = 8          # hits of one kind that are told apart
 CONTEXT = 8      # words on each side that may hold the quotation marks
 STRETCH = 20     # words of a dense stretch
-KNOWN = 500_000  # words that a worker remembers
+KNOWN = 300_000  # words that a worker remembers
 
 
 def bare(word: str) -> str:
@@ -157,14 +158,8 @@ class _Worker:
         return np.array(found, np.int8)[back] if len(keys) else np.zeros(0, np.int8)
 
 
-_workers: dict[str, _Worker] = {}
-
-
 def _worker(model: Model) -> _Worker:
-    if model.key not in _workers:
-        _workers.clear()
-        _workers[model.key] = _Worker(model.terms)
-    return _workers[model.key]
+    return keep(f"lexicon {model.key}", lambda: _Worker(model.terms))
 
 
 def _features(w: Words, codes: np.ndarray) -> np.ndarray:
