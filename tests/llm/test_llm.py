@@ -326,6 +326,35 @@ def test_sharding_laws(docs, corpus, none, spark):
     assert {(r["doc_id"], r["shard"]) for r in back.select("doc_id", "shard").collect()} == {(r["doc_id"], r["shard"]) for r in assigned.collect()}
 
 
+def test_shards_hold_every_row_once(spark):
+    same = [(None, f"t{i % 3}", "en") for i in range(40)] + [(7, "again", "en")] * 30 + [(i, None if i % 5 == 0 else f"w{i}", "fr") for i in range(30)]
+    rows = sample(spark, same)
+    path = f"{warc.archive_folder(spark)}-rows"
+    sharding.shuffle_shards(rows, "doc_id", "text", 4, path, bucket_rows=8)
+    back = sharding.read_shards(spark, path, rows.schema)
+    assert back.columns == [*rows.columns, "shard", "slot"]
+    assert Counter((r["doc_id"], r["text"], r["lang"]) for r in back.collect()) == Counter(same)
+    for s in range(4):
+        slots = sorted(r["slot"] for r in back.filter(F.col("shard") == s).select("slot").collect())
+        assert slots == list(range(len(slots)))
+    # One key has one shard, but many buckets, none of them large.
+    raw = spark.read.parquet(path)
+    assert raw.filter("doc_id = 7").select("shard").distinct().count() == 1
+    assert raw.filter("doc_id = 7").select("bucket").distinct().count() > 1
+    assert raw.groupBy("shard", "bucket").count().agg(F.max("count")).first()[0] < 30
+    with pytest.raises(ValueError):
+        sharding.write_shards(rows, sharding.assign(rows, "doc_id", "text", 4), "doc_id", f"{path}-again")
+
+
+def test_sharding_query_writes_texts(spark, monkeypatch):
+    wrote = []
+    monkeypatch.setattr(plans, "scratch_path", lambda s, name: wrote.append(f"{warc.archive_folder(s)}-{name}") or wrote[-1])
+    got = plans.op8(spark, "/root/testdata/sf0.001")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    back = spark.read.parquet(wrote[0])
+    assert back.select(docs.columns).exceptAll(docs).count() == 0 and back.count() == docs.count() == got.count()
+
+
 def test_contamination_spans_and_slices(spark):
     rng = random.Random(6)
     item = prose(rng, 20).replace("é", "e").replace("ñ", "n")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, lm, ngramjoin, packing, quality, sharding, tokens, toxicity, urls, warc
+from tidemark.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -61,8 +62,10 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op8_sharding")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents in 40 shards by key."""
-    rows = sharding.assign(table(spark, folder, "documents"), "doc_id", "text", 40)
+    """All documents written whole into 40 shards by key and read back."""
+    docs, path = table(spark, folder, "documents"), scratch_path(spark, "shards")
+    sharding.shuffle_shards(docs, "doc_id", "text", 40, path)
+    rows = sharding.digests(sharding.read_shards(spark, path, docs.schema), "doc_id", "text", 40)
     return rows.withColumn("law", F.lit("key"))
 
 

@@ -1,18 +1,24 @@
 """Two-pass external shuffle of documents into shards.
 
-Pass one scatters the records uniformly by seeded hashes: the shard is the one
-whose hash with the id is highest, so the id and the shard count alone decide
-and one more shard takes rows only into itself. Each shard is cut by another
-hash into buckets that fit a task's memory. Pass two shuffles each bucket
-(``shuffle`` is a seeded Fisher-Yates) and lays the buckets one after the
-other, which gives each record its slot. Only ids and digests move; texts move
-once, when ``write_shards`` writes them.
+Pass one scatters whole rows, texts included, by seeded hashes: the shard is the
+one whose hash with the id is highest, so the id and the shard count alone
+decide and one more shard takes rows only into itself. Each shard is cut into
+as many buckets as its rows and bytes need; the bucket is a hash of id, text
+and row number, so that rows of one id or one text spread over all buckets of
+their shard. Pass two puts each bucket in the order of a seeded 64-bit hash of
+each row (a uniform permutation, as Fisher-Yates gives, but by a sort that can
+spill) and writes it. A shard's files, in the order of their names, hold its
+buckets one after the other; the rows before a bucket and the place in it give
+each record its slot. Nothing is joined by id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+from tidemark.session import scratch_path
 
 SIZE_BYTES = 16  # beside the text
 
@@ -23,34 +29,65 @@ def shard_of(key: Column, shards: int, seed: int = 0) -> Column:
     return F.array_max(F.array(*tries))["s"]
 
 
+def shuffle_shards(docs: DataFrame, key: str, text: str, shards: int, path: str, seed: int = 0, bucket_rows: int = 1 << 16,
+                   bucket_bytes: int = 4 << 20) -> None:
+    """Write every row whole as Parquet folders ``shard=N``, with ``bucket`` and ``place``; ``read_shards`` reads them.
+
+    Null and repeated keys and texts are rows like others. A bucket holds at
+    most ``bucket_rows`` rows and ``bucket_bytes`` of text in the mean.
+    """
+    taken = {"shard", "bucket", "place"} & {c.lower() for c in docs.columns}
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} are written beside the rows; rename them first")
+    shard = shard_of(F.col(key), shards, seed)
+    size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + SIZE_BYTES
+    cuts = [1] * shards
+    for r in docs.select(shard.alias("shard"), size.alias("size")).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).collect():
+        cuts[r["shard"]] = max(-(-r["n"] // bucket_rows), -(-r["b"] // bucket_bytes))
+    of_row = [F.col(key), F.col(text), F.monotonically_increasing_id()]
+    rows = docs.select("*", shard.alias("shard"), F.xxhash64(F.lit(~seed), *of_row).alias("__deal"), F.xxhash64(F.lit(seed), *of_row).alias("__rank"))
+    rows = rows.withColumn("bucket", F.pmod("__deal", F.element_at(F.array(*map(F.lit, cuts)), F.col("shard") + 1))).drop("__deal")
+    dealt = rows.repartitionByRange("shard", "bucket")
+    place = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("__rank")) - 1
+    dealt.withColumn("place", place).drop("__rank").write.partitionBy("shard").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The written rows with ``shard`` and ``slot``; ``schema`` is that of the documents."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("bucket", LongType()), StructField("place", IntegerType()), StructField("shard", IntegerType())])).parquet(path)
+    counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
+    # One row a bucket.
+    placed = rows.join(F.broadcast(offsets), ["shard", "bucket"])
+    return placed.select(*schema.names, "shard", (F.col("before") + F.col("place")).alias("slot"))
+
+
 def assign(docs: DataFrame, key: str, text: str, shards: int, seed: int = 0, bucket_rows: int = 1 << 16) -> DataFrame:
-    """Key, ``size``, ``text_crc32``, ``shard``, ``slot`` and ``grown_shard`` (with one shard more) of each row.
+    """Key, ``size``, ``text_crc32``, ``shard``, ``slot`` and ``grown_shard`` (with one shard more) of each row in the shards.
 
-    Null texts count as empty. Rows that repeat a key share its shard and each
-    have a slot. An empty table gives no rows. A bucket holds ``bucket_rows``
-    rows in the mean.
+    The shards are written under the shared folder and all of it is taken from
+    what is read back. Null texts count as empty. Rows that repeat a key share
+    its shard and each have a slot. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    parts = max(1, -(-docs.count() // (shards * bucket_rows)))
-    id_ = F.col(key)
-    place = [shard_of(id_, shards, seed).alias("shard"), F.pmod(F.xxhash64(F.lit(~seed), id_), F.lit(parts)).alias("bucket")]
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "shards")
+    docs = docs.select(key, text)
+    shuffle_shards(docs, key, text, shards, path, seed, bucket_rows)
+    return digests(read_shards(spark, path, docs.schema), key, text, shards, seed)
+
+
+def digests(rows: DataFrame, key: str, text: str, shards: int, seed: int = 0) -> DataFrame:
+    """Key, ``size``, ``text_crc32``, ``shard``, ``slot`` and ``grown_shard`` of rows of shards."""
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(*place, F.struct(
-        id_.alias("key"), (F.octet_length(body) + SIZE_BYTES).cast("long").alias("size"), F.crc32(body).alias("text_crc32"),
-        shard_of(id_, shards + 1, seed).alias("grown_shard")).alias("record"))
-    buckets = rows.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list("record")).alias("records"))
-    counts = docs.select(*place).groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    offsets = spark.sql("""
-        SELECT shard, bucket, sum(n) OVER (PARTITION BY shard ORDER BY bucket ROWS UNBOUNDED PRECEDING) - n AS before
-        FROM {counts}""", counts=counts)
-    shuffled = buckets.join(offsets, ["shard", "bucket"]).select(
-        "shard", "before", F.posexplode(F.shuffle("records", F.lit(seed))).alias("pos", "record"))
-    return shuffled.select(
-        F.col("record.key").alias(key), "record.size", "record.text_crc32", "shard",
-        (F.col("before") + F.col("pos")).alias("slot"), "record.grown_shard")
+    return rows.select(
+        key, (F.octet_length(body) + SIZE_BYTES).cast("long").alias("size"), F.crc32(body).alias("text_crc32"),
+        "shard", "slot", shard_of(F.col(key), shards + 1, seed).alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, assigned: DataFrame, key: str, path: str) -> None:
-    """Write whole rows as Parquet folders ``shard=N``, each in slot order; keys must be unique."""
+    """Write whole rows by a given assignment; it joins by key, so null and repeated keys raise an error (see ``shuffle_shards``)."""
+    n, keys = assigned.agg(F.count(F.lit(1)), F.count_distinct(key)).first()
+    if n != keys:
+        raise ValueError("keys must be unique and not null; shuffle_shards writes any rows")
     rows = docs.join(assigned.select(key, "shard", "slot"), key)
     rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
