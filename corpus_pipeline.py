@@ -47,8 +47,8 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 2048 tokens."""
-    return packing.pack(docs, "doc_id", "text", plans.tokenizer_file())
+    """Pieces of the documents, with their token ids, in sequences of at most 2048 tokens."""
+    return packing.pack(docs, "doc_id", "text", plans.tokenizer_file(), with_ids=True)
 
 
 STAGES = [("quality", quality_stage), ("toxicity", toxicity_stage), ("near_duplicates", near_duplicate_stage),

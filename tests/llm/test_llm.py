@@ -172,6 +172,25 @@ def test_packing_holds_every_id_once(docs, corpus, none):
     assert packing.pack(none, "doc_id", "text", plans.tokenizer_file()).count() == 0
 
 
+def test_sequences_hold_the_token_ids(spark, docs, corpus, none):
+    ids = library_ids()
+    out = f"{warc.archive_folder(spark)}-sequences"
+    packing.write_sequences(docs, "doc_id", "text", plans.tokenizer_file(), out, capacity=64, windows=8)
+    wrote = [(np.frombuffer(r["ids"], "<u4").tolist(), r["pieces"]) for r in packing.read_sequences(spark, out).collect()]
+    assert all(len(s) <= 64 and sum(p["length"] for p in pieces) == len(s) for s, pieces in wrote)
+    got, want = Counter(), Counter()
+    for s, pieces in wrote:
+        got.update((int(p["key"]), p["start"], tuple(s[p["offset"]:p["offset"] + p["length"]])) for p in pieces)
+    for i, t, _ in corpus:
+        every = [*ids(t), 1]
+        want.update((i, a, tuple(every[a:a + k])) for a, k in packing.cuts(len(every), 64, 16))
+    assert got == want
+    rows = packing.pack(docs, "doc_id", "text", plans.tokenizer_file(), capacity=64, windows=8, with_ids=True).collect()
+    assert Counter((r["doc_id"], r["start"], tuple(np.frombuffer(r["ids"], "<u4").tolist())) for r in rows) == want
+    packing.write_sequences(none, "doc_id", "text", plans.tokenizer_file(), out + "-none")
+    assert packing.read_sequences(spark, out + "-none").count() == 0
+
+
 def test_differencing_balances():
     lengths = np.array([8, 7, 6, 5, 4])
     window, sums = packing.differencing(lengths, 2)

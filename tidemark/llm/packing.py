@@ -6,8 +6,9 @@ pieces are dealt by hash into batches of about ``windows`` windows. A batch is
 partitioned into k near-equal windows by multiway differencing: partial
 partitions wait in a heap by the difference of their largest and smallest sum;
 the two largest are merged, largest sums of one with smallest of the other. If
-a window exceeds the capacity, k rises by one and the batch is done anew. Only
-lengths and checksums of pieces move between tasks, never ids.
+a window exceeds the capacity, k rises by one and the batch is done anew. The
+ids of pieces travel with them, full windows excepted, which stay where they
+are; each window is written as one sequence of ids with its list of pieces.
 """
 
 from __future__ import annotations
@@ -16,17 +17,20 @@ import heapq
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.tokens import encoder
-from tidemark.session import written
+from tidemark.session import scratch_path
 
-PIECES = "struct<tokens:bigint,pieces:array<struct<start:bigint,length:bigint,crc:bigint>>>"
+PIECES = "struct<tokens:bigint,pieces:array<struct<start:bigint,length:bigint,crc:bigint,ids:binary>>>"
 _PIECES = pa.struct([("tokens", pa.int64()), ("pieces", pa.list_(pa.struct(
-    [("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64())])))])
+    [("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary())])))])
+#: A sequence: its token ids (little-endian, 4 bytes each) and where each piece stands in it.
+SEQUENCES = """sequence_id bigint, ids binary,
+    pieces array<struct<key:string,start:bigint,length:bigint,doc_tokens:bigint,offset:bigint>>"""
+_PLACES = pa.list_(pa.struct([("key", pa.string())] + [(name, pa.int64()) for name in ("start", "length", "doc_tokens", "offset")]))
 
 
 def cuts(tokens: int, capacity: int, least: int) -> list[tuple[int, int]]:
@@ -44,7 +48,7 @@ def cuts(tokens: int, capacity: int, least: int) -> list[tuple[int, int]]:
 
 
 def cut_pieces(text: Column, path: str, end_id: int, capacity: int, least: int) -> Column:
-    """Token count and pieces of each text, with the crc32 of each piece's ids; the closing id is counted."""
+    """Token count and pieces of each text, with the ids of each piece and their crc32; the closing id is counted."""
     closing = np.array([end_id], "<u4").tobytes()
 
     @F.arrow_udf(PIECES)
@@ -53,8 +57,8 @@ def cut_pieces(text: Column, path: str, end_id: int, capacity: int, least: int)
         for ids in encoder(path).ids(column.to_pylist()):
             ids += closing
             n = len(ids) // 4
-            rows.append({"tokens": n, "pieces": [{"start": s, "length": k, "crc": zlib.crc32(ids[4 * s:4 * (s + k)])}
-                                                 for s, k in cuts(n, capacity, least)]})
+            pieces = [(s, k, ids[4 * s:4 * (s + k)]) for s, k in cuts(n, capacity, least)]
+            rows.append({"tokens": n, "pieces": [{"start": s, "length": k, "crc": zlib.crc32(b), "ids": b} for s, k, b in pieces]})
         return pa.array(rows, _PIECES)
 
     return run(text)
@@ -104,39 +108,70 @@ def pack_batch(lengths: np.ndarray, capacity: int) -> np.ndarray:
         k += 1
 
 
-def pack(docs: DataFrame, key: str, text: str, path: str, capacity: int = 2048, end_id: int = 1, least: int = 16,
-         windows: int = 128) -> DataFrame:
-    """One row a piece: key, ``start, length, ids_crc32, doc_tokens, sequence_id, offset``.
+def pack_pieces(batch: int, pieces: pa.Table, capacity: int) -> pa.Table:
+    """The sequences of a batch of pieces."""
+    pieces = pieces.sort_by([("length", "descending"), ("crc", "ascending"), ("key", "ascending"), ("start", "ascending")])
+    window = pack_batch(pieces["length"].to_numpy().astype(np.int64), capacity)
+    order = np.argsort(window, kind="stable")
+    pieces, window = pieces.take(order).combine_chunks(), window[order]
+    first = np.flatnonzero(np.diff(window, prepend=-1))
+    ends = np.cumsum(pieces["length"].to_numpy().astype(np.int64))
+    begins = ends - pieces["length"].to_numpy()
+    ids = b"".join(pieces["ids"].to_pylist())
+    bounds = 4 * np.append(begins[first], ends[-1])
+    offset = begins - begins[first][np.searchsorted(first, np.arange(len(window)), "right") - 1]
+    columns = [pieces["key"].combine_chunks(), *(pieces[c].combine_chunks() for c in ("start", "length", "doc_tokens")), pa.array(offset, pa.int64())]
+    columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+    places = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(columns, _PLACES.value_type, strict=True)], fields=list(_PLACES.value_type))
+    return pa.table({
+        "sequence_id": pa.array((int(batch) << 24) + window[first], pa.int64()),
+        "ids": pa.array([ids[x:y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary()),
+        "pieces": pa.ListArray.from_arrays(pa.array(np.append(first, len(window)), pa.int32()), places)})
+
+
+def write_sequences(docs: DataFrame, key: str, text: str, path: str, out: str, capacity: int = 2048, end_id: int = 1,
+                    least: int = 16, windows: int = 128) -> None:
+    """Write all documents as sequences of token ids (``SEQUENCES``) to the folder ``out``; keys become strings.
 
     Null and empty texts hold the closing id alone. Rows are packed one by one,
     so repeated keys and texts each have their pieces. Sequence ids are unique,
     not gapless. A batch holds ``windows`` windows in the mean.
     """
-    kind = docs.schema[key].dataType
+    spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("string").alias("key"), cut_pieces(F.col(text).cast("string"), path, end_id, capacity, least).alias("d"))
-    rows = rows.select("key", F.col("d.tokens").alias("doc_tokens"), F.explode("d.pieces").alias("p"))
-    pieces = written(rows.select("key", "doc_tokens", "p.*"), "pack-pieces")
-    whole = pieces.filter(F.col("length") == capacity)
+    rows = rows.select("key", F.col("d.tokens").alias("doc_tokens"), F.explode("d.pieces").alias("p")).select("key", "doc_tokens", "p.*")
+    once = scratch_path(spark, "pack-pieces")
+    rows.write.option("compression", "zstd").parquet(once)
+    pieces = spark.read.schema(rows.schema).parquet(once)
     rest = pieces.filter(F.col("length") < capacity)
     total = rest.agg(F.sum("length")).first()[0] or 0
     batches = max(1, round(total / (windows * capacity)))
+    # The row number deals out copies too.
+    salted = rest.withColumn("batch", F.pmod(F.xxhash64("key", "start", "crc", F.monotonically_increasing_id()), F.lit(batches)))
+    placed = salted.groupBy("batch").applyInArrow(lambda k, table: pack_pieces(k[0].as_py(), table, capacity), SEQUENCES)
+    # Full windows have negative sequence ids.
+    alone = pieces.filter(F.col("length") == capacity).select(
+        (-1 - F.monotonically_increasing_id()).alias("sequence_id"), "ids",
+        F.array(F.struct("key", "start", "length", "doc_tokens", F.lit(0).cast("long").alias("offset"))).alias("pieces"))
+    placed.unionByName(alone).write.option("compression", "zstd").parquet(out)
 
-    def assign(batch: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "crc", "key", "start"], ascending=[False, True, True, True]).reset_index(drop=True)
-        window = pack_batch(frame["length"].to_numpy(np.int64), capacity)
-        order = np.lexsort((np.arange(len(frame)), window))
-        frame, window = frame.iloc[order].reset_index(drop=True), window[order]
-        before = frame["length"].cumsum() - frame["length"]
-        first = np.searchsorted(window, window)
-        frame["offset"] = before - before.to_numpy()[first]
-        frame["sequence_id"] = (int(batch[0]) << 24) + window
-        return frame.drop(columns="batch")
 
-    # Full windows have negative sequence ids.
-    salted = rest.withColumn("batch", F.pmod(F.xxhash64("key", "start", "crc"), F.lit(batches)))
-    placed = salted.groupBy("batch").applyInPandas(
-        assign, rest.select("*", F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("sequence_id")).schema)
-    alone = whole.select("*", F.lit(0).cast("long").alias("offset"),
-                         (-1 - F.monotonically_increasing_id()).alias("sequence_id"))
-    return placed.unionByName(alone).select(
-        F.col("key").cast(kind).alias(key), "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+def read_sequences(spark: SparkSession, out: str) -> DataFrame:
+    """The sequences of a folder."""
+    return spark.read.schema(SEQUENCES).parquet(out)
+
+
+def pack(docs: DataFrame, key: str, text: str, path: str, capacity: int = 2048, end_id: int = 1, least: int = 16,
+         windows: int = 128, with_ids: bool = False) -> DataFrame:
+    """One row a piece: key, ``start, length, ids_crc32, doc_tokens, sequence_id, offset``, and its ``ids`` on request.
+
+    The sequences are written under the shared folder by ``write_sequences``;
+    all columns are taken from what is read back.
+    """
+    spark, out = docs.sparkSession, scratch_path(docs.sparkSession, "sequences")
+    write_sequences(docs, key, text, path, out, capacity, end_id, least, windows)
+    rows = read_sequences(spark, out).select("sequence_id", "ids", F.explode("pieces").alias("p"))
+    ids = F.substring("ids", (4 * F.col("p.offset") + 1).cast("int"), (4 * F.col("p.length")).cast("int"))
+    return rows.select(
+        F.col("p.key").cast(docs.schema[key].dataType).alias(key), "p.start", "p.length", F.crc32(ids).alias("ids_crc32"),
+        "p.doc_tokens", "sequence_id", "p.offset", *[ids.alias("ids")] * with_ids)
