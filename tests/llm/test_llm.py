@@ -505,6 +505,25 @@ def test_pipeline_keeps_what_it_should(spark, tmp_path):
     assert {r[0] for r in docs.select("doc_id").collect()} == ids
 
 
+@pytest.mark.parametrize("stored", [False, True])
+def test_near_duplicates_are_removed_by_row(spark, tmp_path, stored):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(1, a), (5, a + " more"), (5, b), (9, c), (9, c), (9, c), (None, d), (None, d + " more"), (None, a), (7, None), (7, None), (None, "")]
+    docs = sample(spark, [(i, t, "en") for i, t in rows])
+    if stored:
+        docs.write.parquet(f"{tmp_path}/docs")
+        docs = spark.read.parquet(f"{tmp_path}/docs")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    found = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    last = [k for k in found if k[0] is None and k[1] in (d, d + " more")]
+    assert len(last) == 1
+    assert found == Counter([(1, a), (5, b), (9, c), *last, (7, None), (7, None), (None, "")])
+
+
 def test_stages_stand_empty_documents(spark, none):
     import corpus_pipeline
 
