@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, lm, ngramjoin, packing, quality, sharding, tokens, toxicity, urls, warc
+from tidemark.llm import decontaminate, lm, ngramjoin, packing, quality, resample, search, sharding, suffixes, tokens, toxicity, urls, warc
 from tidemark.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,71 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     model, counts = lm.fit(docs, "doc_id", "text", ~F.coalesce(held_out, F.lit(False)))
     return lm.score(docs, "doc_id", "text", model, counts).withColumn("held_out", held_out)
+
+
+# CRC-32 of a word's UTF-8 bytes in SQL: the table of its polynomial, then a step for each byte.
+_CRC_TABLE = """(SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+    lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM (SELECT unnest(range(256)) AS i)))"""
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen(w)),
+    lambda j: CAST('0x' || substr(hex(encode(w)), 2 * j + 1, 2) AS BIGINT))), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295::BIGINT)"""
+
+
+@query("op11_resample", f"""
+    WITH words AS (
+        SELECT src, doc_id, unnest({_ITEM_WORDS}) AS w
+        FROM (SELECT 0 AS src, doc_id, text FROM documents UNION ALL SELECT 1, NULL, text FROM benchmark)),
+    hashed AS (SELECT w, {_CRC} % 10000 AS bucket FROM (SELECT DISTINCT w FROM words) CROSS JOIN {_CRC_TABLE}),
+    counts AS (
+        SELECT bucket, CAST(count(*) FILTER (src = 0) AS DOUBLE) AS s, CAST(count(*) FILTER (src = 1) AS DOUBLE) AS t
+        FROM words JOIN hashed USING (w) GROUP BY 1),
+    totals AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM counts),
+    gains AS (
+        SELECT bucket, CAST(floor(1000 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000)))) AS BIGINT) AS gain
+        FROM counts CROSS JOIN totals),
+    sums AS (
+        SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS g
+        FROM words JOIN hashed USING (w) JOIN gains USING (bucket) WHERE src = 0 GROUP BY 1),
+    scored AS (
+        SELECT doc_id, coalesce(n, 0) AS n_features, coalesce((g - ((g % n + n) % n)) // n, 0) AS weight,
+               CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h
+        FROM documents LEFT JOIN sums USING (doc_id)),
+    final AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM scored),
+    ranked AS (
+        SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS all_n FROM final WHERE n_features >= 20)
+    SELECT doc_id, n_features, weight, score, CASE WHEN r <= all_n * 10 // 100 THEN r END AS rank
+    FROM final LEFT JOIN ranked USING (doc_id)""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """A tenth of the documents, drawn towards the benchmark's words."""
+    rows = resample.resample(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "benchmark"), "text")
+    return rows.drop("n_words")
+
+
+_TERMS = f"regexp_extract_all(translate(text, '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query("op12_search", f"""
+    WITH terms AS (SELECT doc_id, unnest({_TERMS}) AS w FROM documents),
+    lengths AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY 1),
+    totals AS (SELECT count(*) AS all_n, CAST(sum(n) AS BIGINT) AS all_l FROM lengths),
+    asked AS (SELECT item_id, unnest({_TERMS}) AS w FROM benchmark),
+    tfs AS (SELECT doc_id, w, count(*) AS tf FROM terms WHERE w IN (SELECT w FROM asked) GROUP BY 1, 2),
+    weights AS (
+        SELECT w, CAST(floor(1000 * ln((2 * all_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS weight
+        FROM (SELECT w, count(*) AS df FROM tfs GROUP BY 1) CROSS JOIN totals),
+    impacts AS (
+        SELECT doc_id, w, weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * all_n) // all_l))) AS part
+        FROM tfs JOIN lengths USING (doc_id) JOIN weights USING (w) CROSS JOIN totals),
+    scores AS (SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM asked JOIN impacts USING (w) GROUP BY 1, 2 HAVING sum(part) > 0)
+    SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores) WHERE rank <= 10""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return search.search(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "benchmark"), "item_id", "text")
+
+
+@query("op13_suffix_dedup")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """What repeated strings of 400 bytes leave of every document."""
+    rows = suffixes.dedup(table(spark, folder, "documents"), "doc_id", "text")
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")

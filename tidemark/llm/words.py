@@ -77,10 +77,10 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def scan(data: np.ndarray, offsets: np.ndarray, lower: bool, first: int = 0) -> Words:
-    """Words of the rows whose bytes are ``data``."""
+def scan(data: np.ndarray, offsets: np.ndarray, lower: bool, first: int = 0, separator: np.ndarray = SEPARATOR) -> Words:
+    """Words of the rows whose bytes are ``data``; ``separator`` tells the bytes between words."""
     n = len(data)
-    solid = ~SEPARATOR[data]
+    solid = ~separator[data]
     before, after = np.zeros(n, bool), np.zeros(n, bool)
     before[1:], after[:-1] = solid[:-1], solid[1:]
     inner = offsets[1:-1]
@@ -96,13 +96,13 @@ def scan(data: np.ndarray, offsets: np.ndarray, lower: bool, first: int = 0) ->
     return Words(first, len(offsets) - 1, data, offsets, starts, ends, ids, row, bounds)
 
 
-def segments(column: pa.Array, lower: bool, size: int = SEGMENT) -> Iterator[Words]:
+def segments(column: pa.Array, lower: bool, size: int = SEGMENT, separator: np.ndarray = SEPARATOR) -> Iterator[Words]:
     """The column's words, some rows at a time, so that the arrays stay small."""
     data, offsets = text_bytes(column)
     at, rows = 0, len(column)
     while at < rows:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
-        yield scan(data[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at], lower, at)
+        yield scan(data[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at], lower, at, separator)
         at = to
 
 
