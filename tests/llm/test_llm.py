@@ -141,6 +141,15 @@ def test_token_counts(spark, docs, corpus, sizes):
     assert Counter(tuple(r) for r in got.collect()) == want
 
 
+def test_parts_give_the_library_ids():
+    """Random mixtures of letters, marks, digits and contractions, part by part against the whole text."""
+    ids, rng = library_ids(), random.Random(9)
+    pool = ["a", "Zz", "é", "É", "ß", "ÿ", "ñ", "×", "÷", ".", ",", "'s", "'", "'LL", "$$", "%", "3", "42", "<|", "<|endoftext|>", "…", "\u0301", "=\u0338", "日", "_", "-", "!?", "İ", "\u00a0"]
+    texts = ["".join(rng.choice(pool) + rng.choice(["", "", " ", "\n"]) for _ in range(rng.randint(1, 30))) for _ in range(1500)]
+    got = tokens.encoder(plans.tokenizer_file()).ids(texts)
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [list(ids(t)) for t in texts]
+
+
 def test_other_tokenizers_encode_whole_texts(spark):
     from tokenizers import Tokenizer
 
@@ -154,11 +163,14 @@ def test_other_tokenizers_encode_whole_texts(spark):
 def test_packing_holds_every_id_once(docs, corpus, none):
     ids = library_ids()
     got = packing.pack(docs, "doc_id", "text", plans.tokenizer_file(), capacity=64, windows=8).collect()
-    want = Counter()
-    for i, t, _ in corpus:
-        every = np.array([*ids(t), 1], "<u4")
-        want.update((i, s, k, zlib.crc32(every[s:s + k].tobytes()), len(every)) for s, k in packing.cuts(len(every), 64, 16))
-    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got) == want
+    every = {i: np.array([*ids(t), 1], "<u4") for i, t, _ in corpus}  # rows with one id have one text here
+    held = Counter((r["doc_id"], at) for r in got for at in range(r["start"], r["start"] + r["length"]))
+    assert held == Counter((i, at) for i, *_ in corpus for at in range(len(every[i])))
+    for r in got:
+        assert r["doc_tokens"] == len(every[r["doc_id"]])
+        assert r["ids_crc32"] == zlib.crc32(every[r["doc_id"]][r["start"]:r["start"] + r["length"]].tobytes())
+    fitting = [i for i, *_ in corpus if len(every[i]) <= 64]
+    assert sum(len(every[r["doc_id"]]) <= 64 for r in got) < 2.5 * len(fitting)
     by = {}
     for r in got:
         by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -178,15 +190,12 @@ def test_sequences_hold_the_token_ids(spark, docs, corpus, none):
     packing.write_sequences(docs, "doc_id", "text", plans.tokenizer_file(), out, capacity=64, windows=8)
     wrote = [(np.frombuffer(r["ids"], "<u4").tolist(), r["pieces"]) for r in packing.read_sequences(spark, out).collect()]
     assert all(len(s) <= 64 and sum(p["length"] for p in pieces) == len(s) for s, pieces in wrote)
-    got, want = Counter(), Counter()
-    for s, pieces in wrote:
-        got.update((int(p["key"]), p["start"], tuple(s[p["offset"]:p["offset"] + p["length"]])) for p in pieces)
-    for i, t, _ in corpus:
-        every = [*ids(t), 1]
-        want.update((i, a, tuple(every[a:a + k])) for a, k in packing.cuts(len(every), 64, 16))
+    want = Counter((i, at, token) for i, t, _ in corpus for at, token in enumerate([*ids(t), 1]))
+    got = Counter((int(p["key"]), p["start"] + j, token) for s, pieces in wrote for p in pieces
+                  for j, token in enumerate(s[p["offset"]:p["offset"] + p["length"]]))
     assert got == want
     rows = packing.pack(docs, "doc_id", "text", plans.tokenizer_file(), capacity=64, windows=8, with_ids=True).collect()
-    assert Counter((r["doc_id"], r["start"], tuple(np.frombuffer(r["ids"], "<u4").tolist())) for r in rows) == want
+    assert Counter((r["doc_id"], r["start"] + j, token) for r in rows for j, token in enumerate(np.frombuffer(r["ids"], "<u4").tolist())) == want
     packing.write_sequences(none, "doc_id", "text", plans.tokenizer_file(), out + "-none")
     assert packing.read_sequences(spark, out + "-none").count() == 0
 
@@ -195,7 +204,9 @@ def test_differencing_balances():
     lengths = np.array([8, 7, 6, 5, 4])
     window, sums = packing.differencing(lengths, 2)
     assert sorted(sums.tolist()) == [14, 16] and sums.tolist() == np.bincount(window, lengths).astype(int).tolist()
-    assert packing.pack_batch(np.array([5, 5, 5]), 9).max() == 2  # k rises until all fit
+    assert packing.pack_batch(np.array([5, 5, 5]), 9, 5)[2].max() == 2  # k rises until all fit
+    rest, sizes, window = packing.pack_batch(np.array([60, 60, 50, 40, 40, 30]), 64, 4)
+    assert np.bincount(rest, sizes).tolist() == [60, 60, 50, 40, 40, 30] and np.bincount(window, sizes).max() <= 64 and window.max() < 6
     assert packing.differencing(np.array([3]), 2)[0].tolist() == [0]
 
 

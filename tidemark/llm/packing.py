@@ -1,20 +1,22 @@
 """Packing of token sequences by Karmarkar-Karp multiway differencing.
 
 A document's tokens (with a closing id) are cut into full windows, which stand
-alone, and a rest, which is halved down to pieces of ``least`` tokens. The
-pieces are dealt by hash into batches of about ``windows`` windows. A batch is
-partitioned into k near-equal windows by multiway differencing: partial
-partitions wait in a heap by the difference of their largest and smallest sum;
-the two largest are merged, largest sums of one with smallest of the other. If
-a window exceeds the capacity, k rises by one and the batch is done anew. The
-ids of pieces travel with them, full windows excepted, which stay where they
-are; each window is written as one sequence of ids with its list of pieces.
+alone, and a rest. The rests are dealt by hash into batches of about ``windows``
+windows. A batch is partitioned into k near-equal windows by multiway
+differencing: partial partitions wait in a heap by the difference of their
+largest and smallest sum; the two largest are merged, largest sums of one with
+smallest of the other. Rests stay whole, but for the longest in a batch, one for
+every four windows: they are halved down to pieces of ``least`` tokens, unlike
+sizes with which the differences cancel. If a window exceeds the capacity, k
+rises by one; if that does not do, twice as many rests are halved, and once all
+are, k rises on. The ids of pieces travel with them, full windows excepted,
+which stay where they are; each window is written as one sequence of ids with
+its list of pieces.
 """
 
 from __future__ import annotations
 
 import heapq
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -24,42 +26,45 @@ from pyspark.sql import functions as F
 from tidemark.llm.tokens import encoder
 from tidemark.session import scratch_path
 
-PIECES = "struct<tokens:bigint,pieces:array<struct<start:bigint,length:bigint,crc:bigint,ids:binary>>>"
-_PIECES = pa.struct([("tokens", pa.int64()), ("pieces", pa.list_(pa.struct(
-    [("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary())])))])
+PIECES = "struct<tokens:bigint,pieces:array<struct<start:bigint,length:bigint,ids:binary>>>"
+_PIECE = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
+_PIECES = pa.struct([("tokens", pa.int64()), ("pieces", pa.list_(_PIECE))])
+BATCH_BYTES = 32 << 20  # of ids in a task that packs
 #: A sequence: its token ids (little-endian, 4 bytes each) and where each piece stands in it.
 SEQUENCES = """sequence_id bigint, ids binary,
     pieces array<struct<key:string,start:bigint,length:bigint,doc_tokens:bigint,offset:bigint>>"""
 _PLACES = pa.list_(pa.struct([("key", pa.string())] + [(name, pa.int64()) for name in ("start", "length", "doc_tokens", "offset")]))
 
 
-def cuts(tokens: int, capacity: int, least: int) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces: full windows, then halves of what is left, down to ``least`` tokens.
-
-    Unlike sizes let the differences cancel.
-    """
-    found, at = [], 0
-    while at < tokens:
-        rest = tokens - at
-        size = capacity if rest >= capacity else rest if rest <= least else (rest + 1) // 2
-        found.append((at, size))
-        at += size
+def halves(tokens: int, least: int) -> list[int]:
+    """Lengths of the pieces of a rest: halves of what is left, down to ``least`` tokens."""
+    found = []
+    while tokens:
+        size = tokens if tokens <= least else (tokens + 1) // 2
+        found.append(size)
+        tokens -= size
     return found
 
 
-def cut_pieces(text: Column, path: str, end_id: int, capacity: int, least: int) -> Column:
-    """Token count and pieces of each text, with the ids of each piece and their crc32; the closing id is counted."""
+def cut_pieces(text: Column, path: str, end_id: int, capacity: int) -> Column:
+    """Token count of each text with its closing id, and its full windows and rest with their ids."""
     closing = np.array([end_id], "<u4").tobytes()
 
     @F.arrow_udf(PIECES)
     def run(column: pa.Array) -> pa.Array:
-        rows = []
+        tokens, bounds, start, pieces = [], [0], [], []
         for ids in encoder(path).ids(column.to_pylist()):
             ids += closing
             n = len(ids) // 4
-            pieces = [(s, k, ids[4 * s:4 * (s + k)]) for s, k in cuts(n, capacity, least)]
-            rows.append({"tokens": n, "pieces": [{"start": s, "length": k, "crc": zlib.crc32(b), "ids": b} for s, k, b in pieces]})
-        return pa.array(rows, _PIECES)
+            tokens.append(n)
+            for at in range(0, n, capacity):
+                start.append(at)
+                pieces.append(ids[4 * at:4 * (at + capacity)])
+            bounds.append(len(start))
+        ids = pa.array(pieces, pa.binary())
+        length = pa.array(np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4)
+        rows = pa.StructArray.from_arrays([pa.array(start, pa.int64()), length, ids], fields=list(_PIECE))
+        return pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rows)], fields=list(_PIECES))
 
     return run(text)
 
@@ -98,30 +103,48 @@ def differencing(lengths: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return window, np.bincount(window, lengths, k).astype(np.int64)
 
 
-def pack_batch(lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """The window of each item; no window exceeds the capacity, which no item may exceed."""
-    k = max(1, -(-int(lengths.sum()) // capacity))
-    while True:
-        window, sums = differencing(lengths, k)
-        if sums.max() <= capacity:
-            return window
-        k += 1
-
+def pack_batch(rests: np.ndarray, capacity: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rest of each piece, the piece's length, and its window.
 
-def pack_pieces(batch: int, pieces: pa.Table, capacity: int) -> pa.Table:
-    """The sequences of a batch of pieces."""
-    pieces = pieces.sort_by([("length", "descending"), ("crc", "ascending"), ("key", "ascending"), ("start", "ascending")])
-    window = pack_batch(pieces["length"].to_numpy().astype(np.int64), capacity)
+    ``rests`` are lengths in falling order, none above the capacity, which no
+    window exceeds. Pieces of a rest follow one another.
+    """
+    fewest = max(1, -(-int(rests.sum()) // capacity))
+    cut = max(1, fewest // 4)
+    while True:
+        parts = [halves(n, least) if i < cut else [n] for i, n in enumerate(rests.tolist())]
+        rest = np.repeat(np.arange(len(rests)), [len(p) for p in parts])
+        lengths = np.array([n for p in parts for n in p], np.int64)
+        order = np.argsort(-lengths, kind="stable")
+        for k in range(fewest, fewest + 2):
+            window, sums = differencing(lengths[order], k)
+            if sums.max() <= capacity:
+                placed = np.empty(len(order), np.int64)
+                placed[order] = window
+                return rest, lengths, placed
+        # The window count rises on only where cutting more cannot help.
+        fewest += cut >= len(rests)
+        cut *= 2
+
+
+def pack_pieces(batch: int, rests: pa.Table, capacity: int, least: int) -> pa.Table:
+    """The sequences of a batch of rests."""
+    rests = rests.sort_by([("length", "descending"), ("key", "ascending"), ("start", "ascending"), ("ids", "ascending")]).combine_chunks()
+    rest, lengths, window = pack_batch(rests["length"].to_numpy().astype(np.int64), capacity, least)
+    inside = np.cumsum(lengths) - lengths
+    inside -= inside[np.searchsorted(rest, rest)]  # from its rest's first token
     order = np.argsort(window, kind="stable")
-    pieces, window = pieces.take(order).combine_chunks(), window[order]
+    rest, lengths, inside, window = rest[order], lengths[order], inside[order], window[order]
     first = np.flatnonzero(np.diff(window, prepend=-1))
-    ends = np.cumsum(pieces["length"].to_numpy().astype(np.int64))
-    begins = ends - pieces["length"].to_numpy()
-    ids = b"".join(pieces["ids"].to_pylist())
+    ends = np.cumsum(lengths)
+    begins = ends - lengths
+    bodies = rests["ids"].to_pylist()
+    ids = b"".join([bodies[r][4 * a:4 * (a + n)] for r, a, n in zip(rest.tolist(), inside.tolist(), lengths.tolist())])
     bounds = 4 * np.append(begins[first], ends[-1])
     offset = begins - begins[first][np.searchsorted(first, np.arange(len(window)), "right") - 1]
-    columns = [pieces["key"].combine_chunks(), *(pieces[c].combine_chunks() for c in ("start", "length", "doc_tokens")), pa.array(offset, pa.int64())]
-    columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+    of = rests.take(pa.array(rest)).combine_chunks()
+    start = of["start"].to_numpy() + inside
+    columns = [of["key"].chunk(0), pa.array(start), pa.array(lengths), of["doc_tokens"].chunk(0), pa.array(offset)]
     places = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(columns, _PLACES.value_type, strict=True)], fields=list(_PLACES.value_type))
     return pa.table({
         "sequence_id": pa.array((int(batch) << 24) + window[first], pa.int64()),
@@ -138,7 +161,7 @@ def write_sequences(docs: DataFrame, key: str, text: str, path: str, out: str, c
     not gapless. A batch holds ``windows`` windows in the mean.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("string").alias("key"), cut_pieces(F.col(text).cast("string"), path, end_id, capacity, least).alias("d"))
+    rows = docs.select(F.col(key).cast("string").alias("key"), cut_pieces(F.col(text).cast("string"), path, end_id, capacity).alias("d"))
     rows = rows.select("key", F.col("d.tokens").alias("doc_tokens"), F.explode("d.pieces").alias("p")).select("key", "doc_tokens", "p.*")
     once = scratch_path(spark, "pack-pieces")
     rows.write.option("compression", "zstd").parquet(once)
@@ -147,8 +170,9 @@ def write_sequences(docs: DataFrame, key: str, text: str, path: str, out: str, c
     total = rest.agg(F.sum("length")).first()[0] or 0
     batches = max(1, round(total / (windows * capacity)))
     # The row number deals out copies too.
-    salted = rest.withColumn("batch", F.pmod(F.xxhash64("key", "start", "crc", F.monotonically_increasing_id()), F.lit(batches)))
-    placed = salted.groupBy("batch").applyInArrow(lambda k, table: pack_pieces(k[0].as_py(), table, capacity), SEQUENCES)
+    salted = rest.withColumn("batch", F.pmod(F.xxhash64("key", "start", F.monotonically_increasing_id()), F.lit(batches)))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-4 * total // BATCH_BYTES))
+    placed = salted.repartition(tasks, "batch").groupBy("batch").applyInArrow(lambda k, table: pack_pieces(k[0].as_py(), table, capacity, least), SEQUENCES)
     # Full windows have negative sequence ids.
     alone = pieces.filter(F.col("length") == capacity).select(
         (-1 - F.monotonically_increasing_id()).alias("sequence_id"), "ids",

@@ -20,7 +20,7 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,8 @@ from tidemark.session import written
 
 CACHE_PARTS = 700_000  # parts that a worker keeps
 _SPLITS = {"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}  # patterns none of whose matches holds white space
-_MARK = re.compile(rb"(?<=[a-z0-9])([.,])")
+# An ASCII mark (apostrophes excepted) after a letter a-z, a digit or a small Latin-1 letter.
+_MARK = re.compile(rb"([!-&(-/:-@\[-`{-~])(?:(?<=[a-z0-9].)|(?<=\xc3[\x9f-\xb6\xb8-\xbf].))")
 
 
 def part_safe(description: dict) -> bool:
@@ -55,6 +56,18 @@ def part_safe(description: dict) -> bool:
                for a in description.get("added_tokens", []))
 
 
+class Parts(dict):
+    """Ids by part, found when first asked for."""
+
+    def __init__(self, find: Callable[[bytes], bytes]):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, part: bytes) -> bytes:
+        found = self[part] = self.find(part)
+        return found
+
+
 class Encoder:
     """A tokenizer in a worker, with the ids of parts seen before."""
 
@@ -64,33 +77,26 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             self.parts = part_safe(json.load(f))
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.known = Parts(self.part_ids)
         if self.parts:
             # Letters that neither normaliser nor splitter changes, in the form the model reads.
-            letters = [chr(c) for c in (*range(97, 123), *range(0xE0, 0xF7), *range(0xF8, 0x100))]
+            letters = [chr(c) for c in (*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100))]
             self.letters = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
             self.plain = re.compile(f"[{''.join(letters)}]+").fullmatch
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _learn(self, parts: list[bytes]) -> None:
-        """Encode new parts: single words by the model itself, others joined by line ends (a token belongs to the part where it starts)."""
-        model, mixed = self.tokenizer.model, []
-        for p in parts:
-            t = p.decode("utf-8")
-            if self.plain(t):
-                self.known[p] = array("I", [x.id for x in model.tokenize(t.translate(self.letters))]).tobytes()
-            else:
-                mixed.append((p, t))
-        for at in range(0, len(mixed), 2000):
-            some = [p for p, _ in mixed[at:at + 2000]]
-            texts = [t for _, t in mixed[at:at + 2000]]
-            starts = np.cumsum([0] + [len(t) + 1 for t in texts])
-            ids, places = self.offsets("\n".join(texts))
-            cut = np.searchsorted(places, starts).tolist()
-            raw = ids.astype("<u4").tobytes()
-            self.known.update((p, raw[4 * a:4 * b]) for p, a, b in zip(some, cut, cut[1:]))
+    def part_ids(self, part: bytes) -> bytes:
+        """The ids of one part: a word of plain letters by the model itself."""
+        text = part.decode("utf-8")
+        low = text.lower()
+        if part.isalpha():  # ASCII letters are read as they are
+            return array("I", [x.id for x in self.model.tokenize(low)]).tobytes()
+        if self.plain(low):
+            return array("I", [x.id for x in self.model.tokenize(low.translate(self.letters))]).tobytes()
+        return self._whole(text)
 
     def _parts(self, text: str | None) -> list[bytes]:
         """Parts whose ids, one after the other, are the text's.
@@ -108,15 +114,10 @@ class Encoder:
             for t in texts:
                 yield self._whole(t or "")
             return
-        for at in range(0, len(texts), 256):
-            split = [self._parts(t) for t in texts[at:at + 256]]
-            new = list(set().union(*split).difference(self.known))
-            if len(self.known) + len(new) > CACHE_PARTS:
-                self.known = {}
-                new = list(set().union(*split))
-            self._learn(new)
-            for parts in split:
-                yield b"".join(map(self.known.__getitem__, parts))
+        for t in texts:
+            if len(self.known) > CACHE_PARTS:
+                self.known.clear()
+            yield b"".join(map(self.known.__getitem__, self._parts(t)))
 
     def offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids and the code point where each token starts."""
