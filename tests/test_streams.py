@@ -72,6 +72,30 @@ def test_replay_after_compaction_gives_the_same_state(spark, tmp_path):
     assert state(store) == EXPECTED
 
 
+def test_key_index_reads_no_more_as_the_history_grows(spark, tmp_path, monkeypatch):
+    import os
+
+    from tidemark.streaming import store as module
+
+    monkeypatch.setattr(module, "PREFIX_KEYS", 50)
+    store = ChangeStore(spark, str(tmp_path / "store"))
+    empty = spark.createDataFrame([], module.SCHEMAS["posts"])
+    asked = spark.createDataFrame([(f"key {i}",) for i in (3, 77, 100_000)], "content_hash string")
+    read = []
+    for epoch, upto in ((0, 400), (1, 1600), (2, 6400)):
+        rows = spark.range(0 if epoch == 0 else upto // 4, upto).select(F.format_string("key %d", "id").alias("content_hash"))
+        store.append("posts", rows.unionByName(empty, allowMissingColumns=True), epoch)
+        store.compact("posts", epoch + 1)
+        stored = store.keys("posts", epoch + 1)(asked)
+        read.append(sum(os.path.getsize(f.removeprefix("file://")) for f in stored.inputFiles()))
+        assert {r[0] for r in asked.join(stored, "content_hash", "left_semi").collect()} == {"key 3", "key 77"}
+        assert store.changes("posts", epoch + 1).count() == upto
+    assert max(read) < 1.6 * read[0] and stored.count() < 400
+    store.append("posts", asked.unionByName(empty, allowMissingColumns=True), 3)  # later micro-batches are read whole
+    assert asked.join(store.keys("posts", 4)(asked), "content_hash", "left_anti").count() == 0
+    assert asked.join(store.keys("posts", 3)(asked), "content_hash", "left_anti").count() == 1
+
+
 def test_bad_input_is_counted(spark, tmp_path):
     import json
 
@@ -111,6 +135,23 @@ def test_streaks_across_micro_batches(spark, tmp_path):
     assert got == want
 
 
+def test_streak_state_is_typed_and_kept_in_the_checkpoint(spark, tmp_path):
+    feed, root = str(tmp_path / "feed"), str(tmp_path / "out")
+    (tmp_path / "feed").mkdir()
+    schema = "src string, at long, known boolean"
+    stream = spark.readStream.schema(schema).parquet(feed)
+    parts = [[("a", 1, True), ("a", 2, True), (None, 1, True)], [("a", 4, True), ("a", 3, True), ("b", 1, None), (None, 2, False)], [("a", 5, True), ("b", 2, True), (None, 3, True)]]
+    for part in parts:
+        spark.createDataFrame(part, schema).write.mode("append").parquet(feed)
+        st.start_streaks(stream, root, f"{root}/_checkpoint", "src", "at", "known", 4).awaitTermination()
+    got = sorted(((r["src"] or "", r["at"], r["streak"]) for r in spark.read.parquet(f"{root}/rows").collect()))
+    assert got == [("", 1, 1), ("", 2, 0), ("", 3, 1), ("a", 1, 1), ("a", 2, 2), ("a", 3, 3), ("a", 4, 4), ("b", 1, 0), ("b", 2, 1)]
+    state = spark.read.format("statestore").option("path", f"{root}/_checkpoint").option("stateVarName", "run").load()
+    held = {r["key"]["src"]: (r["value"]["streak"], r["value"]["stopped"]) for r in state.collect()}
+    assert held == {"a": (4, True), "b": (1, False), None: (1, False)}
+    assert "RocksDB" not in (spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") or "")
+
+
 def test_dedup_stream_with_watermark(spark, tmp_path):
     feed, out = str(tmp_path / "feed"), str(tmp_path / "out")
     rows = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 01:00:00"), ("b", "2024-01-01 00:30:00")]

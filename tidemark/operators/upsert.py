@@ -107,12 +107,18 @@ class Changes:
     ledger: DataFrame
 
 
-def matching(stored: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
+#: Stored keys, or what reads those of them that may match some input.
+Stored = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def matching(stored: Stored, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The stored keys that the input asks for, each once.
 
     The store is first reduced to the input's keys: a small input is broadcast
-    and the stored keys are only scanned, not shuffled.
+    and the stored keys are only scanned, not shuffled. An index reads no more
+    of them than the parts that the input's keys fall into.
     """
+    stored = stored if isinstance(stored, DataFrame) else stored(incoming)
     return stored.select(*keys).join(incoming.select(*keys).distinct(), list(keys), "left_semi").distinct()
 
 
@@ -121,7 +127,7 @@ def with_arrival(batches: DataFrame) -> DataFrame:
     return batches if "arrival" in batches.columns else batches.withColumn("arrival", F.lit(None).cast("timestamp"))
 
 
-def fresh_batches(batches: DataFrame, ledger: DataFrame, unique: bool = False) -> DataFrame:
+def fresh_batches(batches: DataFrame, ledger: Stored, unique: bool = False) -> DataFrame:
     """Batches that were not processed before, each id once: the first to arrive, then by the digest of its posts.
 
     Rows without an id (unreadable input) are left out. ``unique`` says that no
@@ -186,7 +192,7 @@ POST_COLUMNS = ["content_hash", "source_url", "external_id", "url", "content", "
 COMMENT_COLUMNS = ["post_hash", "content_hash", "content", "normalized_content", "collected_at"]
 
 
-def batch_changes(batches: DataFrame, ledger: DataFrame, post_keys: DataFrame, comment_keys: DataFrame,
+def batch_changes(batches: DataFrame, ledger: Stored, post_keys: Stored, comment_keys: Stored,
                   unique: bool = False, stage: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> Changes:
     """Classify a set of batches against the stored keys.
 

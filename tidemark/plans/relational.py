@@ -13,6 +13,7 @@ from tidemark.operators import evaluation as ev
 from tidemark.operators import filters as flt
 from tidemark.operators import harmonize as har
 from tidemark.operators import joins as jn
+from tidemark.operators import neardup as nd
 from tidemark.operators import ranking as rk
 from tidemark.operators import splits as sp
 from tidemark.operators import upsert as up
@@ -870,6 +871,17 @@ def _(t):
     return up.distinct_comments(t.comments.select("comment_id", "post_id", "content"), "post_id", "content", "comment_id")
 
 
+@query("ded5_near_duplicates", """
+WITH w AS (SELECT doc_id, string_split(lower(""" + SQUASH.format(c="text") + """), ' ') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE w <> ['']) ),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.s = b.s AND b.doc_id < a.doc_id GROUP BY ALL),
+least AS (SELECT a, min(b) AS b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * common >= 9 * (x.n + y.n - common) GROUP BY 1)
+SELECT doc_id, coalesce(b, doc_id) AS first_key, b IS NOT NULL AS is_near_duplicate FROM documents LEFT JOIN least ON a = doc_id""")
+def _(t):
+    return nd.near_duplicates(t.documents, "doc_id", "text")
+
+
 @query("ded4_new_comments", """
 WITH c AS (SELECT comment_id, post_id, sha256(content) AS h FROM {comments})
 SELECT comment_id, post_id FROM c WHERE (post_id, h) NOT IN (SELECT (post_id, h) FROM c WHERE comment_id % 3 = 0)

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.operators.ranking import duplicate_streaks
 from tidemark.operators.triage import EXTERNAL, analyze_items
 from tidemark.operators.upsert import batch_changes
 from tidemark.session import written
@@ -48,8 +50,8 @@ def apply_batches(store: ChangeStore, batches: DataFrame, epoch: int, label: boo
     store.append("rejected", batches.filter("batch_id IS NULL").select(F.coalesce(raw, F.lit("no batch id")).alias("raw")), epoch)
     ids = batches.groupBy("batch_id").count().agg(F.max("count")).first()[0]
     changes = batch_changes(
-        batches, store.changes("ledger", epoch), store.changes("posts", epoch).select("content_hash"),
-        store.changes("comments", epoch).select("post_hash", "content_hash"), unique=ids in (None, 1), stage=written)
+        batches, store.keys("ledger", epoch), store.keys("posts", epoch), store.keys("comments", epoch),
+        unique=ids in (None, 1), stage=written)
     store.append("sources", changes.sources, epoch)
     store.append("posts", changes.posts, epoch)
     store.append("comments", changes.comments, epoch)
@@ -79,32 +81,64 @@ def distinct_stream(stream: DataFrame, key: str, event_time: str | None = None,
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def start_streaks(stream: DataFrame, path: str, checkpoint: str, by: str, order: str, known: str,
-                  threshold: int = 10, **trigger) -> StreamingQuery:
-    """Duplicate streaks across micro-batches, per source.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Streaks(StatefulProcessor):
+    """Run length of known rows of one source across micro-batches; after a run of ``threshold`` the source gives no more rows."""
+
+    def __init__(self, order: str, known: str, threshold: int, idle_ms: int | None):
+        self.order, self.known, self.threshold, self.idle_ms = order, known, threshold, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.run = handle.getValueState("run", "streak bigint, stopped boolean", self.idle_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        streak, stopped = self.run.get() if self.run.exists() else (0, False)
+        if stopped:
+            return
+        frame = pd.concat(list(rows)).sort_values(self.order)
+        is_new = ~frame[self.known].fillna(False).astype(bool).to_numpy()
+        place = np.arange(len(frame))
+        last_new = np.maximum.accumulate(np.where(is_new, place, -1))
+        runs = place - last_new + np.where(last_new < 0, streak, 0)
+        hits = np.flatnonzero(runs >= self.threshold)
+        end = hits[0] + 1 if len(hits) else len(frame)
+        self.run.update((int(runs[end - 1]), bool(len(hits))))
+        yield frame.iloc[:end].assign(streak=runs[:end])
+
+    def close(self) -> None:
+        pass
 
-    The state is one row per source: the run so far and whether it was stopped.
-    It is written per micro-batch beside the rows, so a replay reads the same
-    state again. Rows of a source must arrive in order.
+
+def streaks(stream: DataFrame, by: str, order: str, known: str, threshold: int = 10, idle_days: int | None = None) -> DataFrame:
+    """The stream's rows with the ``streak`` of known rows of their source, by typed state in Spark's state store.
+
+    Rows of a source must arrive in order from one micro-batch to the next;
+    inside one they are sorted. With ``idle_days`` the state of a source that
+    sends nothing for so long expires, and its next row starts anew.
     """
+    rows = stream.select(by, order, known)
+    schema = StructType([*rows.schema.fields, StructField("streak", LongType())])
+    idle = None if idle_days is None else idle_days * 86_400_000
+    return rows.groupBy(by).transformWithStateInPandas(
+        Streaks(order, known, threshold, idle), schema, "Append", "None" if idle is None else "ProcessingTime")
 
-    def step(df: DataFrame, epoch: int) -> None:
-        spark = df.sparkSession
-        state = f"{path}/state/epoch={epoch}"
-        schema = df.select(by).withColumns({"streak": F.lit(0).cast("bigint"), "stopped": F.lit(False)}).schema
-        before = (spark.read.schema(schema).parquet(f"{path}/state/epoch={epoch - 1}") if epoch > 0
-                  else spark.createDataFrame([], schema))
-        judged = duplicate_streaks(df.select(by, order, known), [by], order, F.col(known), threshold, before)
-        rows = f"{path}/rows/epoch={epoch}"
-        judged.write.mode("overwrite").parquet(rows)
-        last = spark.read.schema(judged.schema).parquet(rows).groupBy(by).agg(
-            F.max_by("streak", order).alias("streak"), (F.max("streak") >= threshold).alias("stopped"))
-        both = before.withColumn("_at", F.lit(0)).unionByName(last.withColumn("_at", F.lit(1)))
-        newest = both.groupBy(by).agg(F.max_by(F.struct("streak", "stopped"), "_at").alias("s"))
-        newest.select(by, "s.*").write.mode("overwrite").parquet(state)
-
-    return (stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
-            .trigger(**(trigger or {"availableNow": True})).start())
+
+def start_streaks(stream: DataFrame, path: str, checkpoint: str, by: str, order: str, known: str,
+                  threshold: int = 10, idle_days: int | None = None, **trigger) -> StreamingQuery:
+    """Write ``streaks`` to ``path/rows``; state and output go on from the checkpoint, each row once.
+
+    The state lies in RocksDB, which only this query is started with.
+    """
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name, None)
+    conf.set(name, ROCKSDB)
+    try:
+        return (streaks(stream, by, order, known, threshold, idle_days).writeStream.option("checkpointLocation", checkpoint)
+                .option("path", f"{path}/rows").format("parquet").trigger(**(trigger or {"availableNow": True})).start())
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
 
 
 # --- schedules -------------------------------------------------------------------

@@ -3,11 +3,18 @@
 Replaying a micro-batch overwrites only its own folders, and the state it is
 judged against is everything before it, so a replay gives the same tables. The
 ledger is written last.
+
+When the history is folded into a base, its keys are also laid out by hash
+prefix, in as many folders as keep ``PREFIX_KEYS`` keys each. A micro-batch then
+reads the prefixes that its own keys fall into, and the keys of the micro-batches
+since the base, so what it reads does not grow with the history.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -34,21 +41,26 @@ SCHEMAS = {
 }
 
 
+#: Tables whose keys every micro-batch is compared with.
+INDEXED = ("ledger", "posts", "comments")
+PREFIX_KEYS = 50_000
+
+
 class ChangeStore:
     """Reads and writes the change folders under one path."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _folders(self, path: str) -> list[str]:
-        """Names of the folders below a path whose writing was completed."""
+    def _folders(self, path: str, complete: bool = True) -> list[str]:
+        """Names of the folders below a path, or only of those whose writing was completed."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         root = jvm.org.apache.hadoop.fs.Path(path)
         files = root.getFileSystem(conf)
         if not files.exists(root):
             return []
         found = [s.getPath() for s in files.listStatus(root)]
-        return [p.getName() for p in found if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return [p.getName() for p in found if not complete or files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
 
     def _base(self, table: str, before: int | None) -> int | None:
         """The newest complete base that folds only micro-batches before the given one."""
@@ -70,6 +82,43 @@ class ChangeStore:
             return self.spark.createDataFrame([], schema).withColumn("epoch", F.lit(0).cast("bigint"))
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
+    def _prefix(self, table: str, prefixes: int) -> Column:
+        return F.pmod(F.xxhash64(*[F.col(k) for k in KEYS[table]]), F.lit(prefixes))
+
+    def _index(self, table: str, base: int) -> tuple[int, str] | None:
+        """Number of prefixes and folder of the key index of a base."""
+        for name in self._folders(f"{self.path}/_keys/{table}"):
+            upto, prefixes = name.split("=")[1].split(".")
+            if int(upto) == base:
+                return int(prefixes), f"{self.path}/_keys/{table}/{name}"
+        return None
+
+    def keys(self, table: str, before: int | None = None) -> Callable[[DataFrame], DataFrame]:
+        """What reads the stored keys that some input's keys may match: the input's prefixes of the base, and all micro-batches since.
+
+        Of the input, only the numbers of its prefixes come to the driver: no
+        more than it has keys, nor than there are prefixes.
+        """
+        columns = KEYS[table]
+        base = self._base(table, before)
+        index = None if base is None else self._index(table, base)
+        if index is None:
+            return lambda incoming: self.changes(table, before).select(*columns)
+        prefixes, folder = index
+        schema = StructType([f for f in StructType.fromDDL(SCHEMAS[table]) if f.name in columns])
+
+        def read(incoming: DataFrame) -> DataFrame:
+            touched = {r[0] for r in incoming.select(self._prefix(table, prefixes)).distinct().collect()}
+            there = [n for n in self._folders(folder, complete=False) if "=" in n and int(n.split("=")[1]) in touched]
+            found = self.spark.createDataFrame([], schema)
+            if there:
+                found = self.spark.read.schema(schema).parquet(*[f"{folder}/{n}" for n in there])
+            epochs = [int(n.split("=")[1]) for n in self._folders(f"{self.path}/{table}")]
+            since = [f"{self.path}/{table}/epoch={e}" for e in epochs if e >= base and (before is None or e < before)]
+            return found.unionByName(self.spark.read.schema(schema).parquet(*since)) if since else found
+
+        return read
+
     def append(self, table: str, df: DataFrame, epoch: int) -> None:
         columns = StructType.fromDDL(SCHEMAS[table]).names
         df.select(*columns).write.mode("overwrite").parquet(f"{self.path}/{table}/epoch={epoch}")
@@ -94,9 +143,14 @@ class ChangeStore:
         base = f"{self.path}/_base/{table}/upto={epoch}"
         if f"upto={epoch}" not in self._folders(f"{self.path}/_base/{table}"):
             self.current(table, epoch).write.mode("overwrite").parquet(base)
+        if table in INDEXED and self._index(table, epoch) is None:
+            keys = self.spark.read.schema(SCHEMAS[table]).parquet(base).select(*KEYS[table])
+            prefixes = max(1, -(-keys.count() // PREFIX_KEYS))
+            keys.withColumn("prefix", self._prefix(table, prefixes)).repartition("prefix").write.mode("overwrite").partitionBy(
+                "prefix").parquet(f"{self.path}/_keys/{table}/upto={epoch}.{prefixes}")
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for path, name in ((f"{self.path}/{table}", "epoch"), (f"{self.path}/_base/{table}", "upto")):
+        for path in (f"{self.path}/{table}", f"{self.path}/_base/{table}", f"{self.path}/_keys/{table}"):
             for folder in self._folders(path):
-                if int(folder.split("=")[1]) < epoch:
+                if int(folder.split("=")[1].split(".")[0]) < epoch:
                     gone = jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
                     gone.getFileSystem(conf).delete(gone, True)
