@@ -78,12 +78,39 @@ def test_saved_splits_contract(spark, tmp_path):
     assert wr.saved_or_new_splits(spark, folder, make, "label").count() == 100
     with pytest.raises(ValueError, match="built with"):
         wr.saved_or_new_splits(spark, folder, make, "label_data_type")
-    (tmp_path / "s" / "val" / "_SUCCESS").unlink()
+    (version,) = (tmp_path / "s").glob("version-*")
+    (version / "val" / "_SUCCESS").unlink()
     with pytest.raises(ValueError, match="partial"):
         wr.saved_or_new_splits(spark, folder, make, "label")
     assert wr.saved_or_new_splits(spark, folder, make, "label", rebuild=True).count() == 100
 
 
+@pytest.mark.parametrize("ends_at", range(1, 6))
+def test_a_crash_leaves_the_old_splits_in_force(spark, tmp_path, monkeypatch, ends_at):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    split = lambda n: spark.range(n).select("id", F.element_at(F.array(*map(F.lit, wr.SPLITS)), (F.col("id") % 3 + 1).cast("int")).alias("split"))
+    folder, writes = str(tmp_path / "s"), []
+    assert wr.saved_or_new_splits(spark, folder, lambda: split(90), "label").count() == 90
+
+    def ends(plain):
+        def write(self, path, *args, **kwargs):
+            writes.append(path)
+            if len(writes) == ends_at:
+                raise RuntimeError("lost")
+            return plain(self, path, *args, **kwargs)
+        return write
+
+    with monkeypatch.context() as m:
+        m.setattr(DataFrameWriter, "parquet", ends(DataFrameWriter.parquet))
+        m.setattr(DataFrameWriter, "text", ends(DataFrameWriter.text))
+        with pytest.raises(RuntimeError, match="lost"):
+            wr.saved_or_new_splits(spark, folder, lambda: split(30), "label", rebuild=True)
+    assert wr.saved_or_new_splits(spark, folder, lambda: None, "label").count() == 90
+    assert wr.saved_or_new_splits(spark, folder, lambda: split(30), "label", rebuild=True).count() == 30
+    assert wr.saved_or_new_splits(spark, folder, lambda: None, "label").count() == 30
+
+
 def test_streak_cut(spark):
     known = [1, 1, 0, 1, 1, 1, 1, 0, 1]
     rows = spark.createDataFrame([("s", i, bool(k)) for i, k in enumerate(known)], "src string, at long, known boolean")

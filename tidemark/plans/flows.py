@@ -77,14 +77,16 @@ def _(t):
 
 
 @query("snk2_label_chunks", """
-SELECT o_orderkey AS id, '' AS label, printf('%03d', (row_number() OVER (ORDER BY o_orderkey) - 1) // (SELECT greatest(1, count(*) // 1100) FROM orders) + 1) AS part FROM orders""")
+SELECT doc_id AS id, '' AS label, sha256(text) AS text_sha256,
+    printf('%03d', (row_number() OVER (ORDER BY doc_id) - 1) // (SELECT greatest(1, count(*) // 1100) FROM documents) + 1) AS part
+FROM documents""")
 def _(t):
     path = scratch_path(t.spark, "chunks")
-    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("content_anonymized"))
-    wr.write_label_chunks(rows, path, size=max(1, t.orders.count() // 1100))
+    rows = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content_anonymized"))
+    wr.write_label_chunks(rows, path, size=max(1, t.documents.count() // 1100))  # about 1,100 chunks
     back = t.spark.read.schema("id long, content_anonymized string, label string, part string").options(
         header=True, multiLine=True, escape='"').csv(path)
-    return back.select("id", F.coalesce("label", F.lit("")).alias("label"), "part")
+    return back.select("id", F.coalesce("label", F.lit("")).alias("label"), F.sha2("content_anonymized", 256).alias("text_sha256"), "part")
 
 
 @query("snk3_json_report", """

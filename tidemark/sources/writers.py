@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,15 +23,20 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def label_chunks(df: DataFrame, key: str = "id", text: str = "content_anonymized", size: int = 1000) -> DataFrame:
-    """Key, text and an empty label with the number of the chunk to label."""
-    placed = chunked(df.select(key, text), key, size)
-    return placed.select(key, text, F.lit("").alias("label"), F.format_string("%03d", "part").alias("part"))
+    """Key, text and an empty label with the number of the chunk to label.
+
+    Only the keys, which are unique, are numbered; the text is joined once.
+    """
+    placed = chunked(df.select(key), key, size)
+    return df.select(key, text).join(placed, key).select(
+        key, text, F.lit("").alias("label"), F.format_string("%03d", "part").alias("part"))
 
 
 def write_label_chunks(df: DataFrame, path: str, **options) -> None:
     """One folder per numbered chunk."""
     parts = label_chunks(df, **options)
-    parts.repartition("part").write.mode("overwrite").options(header=True, quote='"', escape='"').partitionBy("part").csv(path)
+    parts.repartition("part").write.mode("overwrite").options(
+        header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).partitionBy("part").csv(path)
 
 
 def write_json_report(report: DataFrame, path: str) -> None:
@@ -121,25 +127,47 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
 
 
+def _published(spark: SparkSession, folder: str) -> tuple[int, str | None]:
+    """Number and version of the newest complete pointer of a folder; 0 and nothing if there is none."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/current")
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(root)] if files.exists(root) else []
+    numbers = [int(n.split("=")[1]) for n in names if n.startswith("n=") and _exists(spark, f"{folder}/current/{n}/_SUCCESS")]
+    if not numbers:
+        return 0, None
+    return max(numbers), spark.read.text(f"{folder}/current/n={max(numbers)}").first()[0]
+
+
+def _publish(spark: SparkSession, folder: str, fresh: DataFrame, note: dict[str, str]) -> str:
+    """Write splits and manifest as a version of their own, and then the pointer that puts it in force."""
+    version = f"version-{uuid.uuid4().hex}"
+    for name in SPLITS:
+        fresh.filter(F.col("split") == name).write.parquet(f"{folder}/{version}/{name}")
+    one = lambda text: spark.createDataFrame([(text,)], "value string").coalesce(1).write
+    one(json.dumps(note, sort_keys=True)).text(f"{folder}/{version}/manifest")
+    number, _ = _published(spark, folder)
+    one(version).mode("overwrite").text(f"{folder}/current/n={number + 1}")
+    return version
+
+
 def saved_or_new_splits(spark: SparkSession, folder: str, make, strategy: str, reload=lambda df: df,
                         rebuild: bool = False, **manifest) -> DataFrame:
     """Splits from ``folder`` if they were saved under the same strategy, else made and saved.
 
-    A part of the splits, or another strategy, is an error unless ``rebuild``.
+    Each set of splits is a version, which counts once a pointer to it is
+    complete: a run that ends in between leaves the earlier set in force, or
+    none. A published set that lacks a part, or another strategy, is an error
+    unless ``rebuild``. Earlier versions stay, as readers may still follow them.
     ``reload`` cleans and labels rows that come from disk.
     """
-    paths = {s: f"{folder}/{s}" for s in SPLITS}
-    found = [s for s in SPLITS if _exists(spark, f"{paths[s]}/_SUCCESS")]
-    if found and not rebuild:
+    _, version = _published(spark, folder)
+    if version is not None and not rebuild:
+        found = [s for s in SPLITS if _exists(spark, f"{folder}/{version}/{s}/_SUCCESS")]
         if len(found) < len(SPLITS):
             raise ValueError(f"{folder} has partial splits: {found}; pass rebuild=True to make them again.")
-        old = json.loads(spark.read.text(f"{folder}/manifest").first()[0]).get("split_strategy", "label")
+        old = json.loads(spark.read.text(f"{folder}/{version}/manifest").first()[0]).get("split_strategy", "label")
         if old != strategy:
             raise ValueError(f"Splits in {folder} were built with {old!r}, not {strategy!r}; pass rebuild=True.")
     else:
-        fresh = make()
-        for name, path in paths.items():
-            fresh.filter(F.col("split") == name).write.mode("overwrite").parquet(path)
-        note = json.dumps({"split_strategy": strategy, **{k: str(v) for k, v in manifest.items()}}, sort_keys=True)
-        spark.createDataFrame([(note,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
-    return reload(spark.read.parquet(*paths.values()))
+        version = _publish(spark, folder, make(), {"split_strategy": strategy, **{k: str(v) for k, v in manifest.items()}})
+    return reload(spark.read.parquet(*[f"{folder}/{version}/{s}" for s in SPLITS]))
