@@ -29,7 +29,7 @@ from tidemark.session import scratch_path
 PIECES = "struct<tokens:bigint,pieces:array<struct<start:bigint,length:bigint,ids:binary>>>"
 _PIECE = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 _PIECES = pa.struct([("tokens", pa.int64()), ("pieces", pa.list_(_PIECE))])
-BATCH_BYTES = 32 << 20  # of ids in a task that packs
+BATCH_BYTES = 16 << 20  # of ids in a task that packs
 #: A sequence: its token ids (little-endian, 4 bytes each) and where each piece stands in it.
 SEQUENCES = """sequence_id bigint, ids binary,
     pieces array<struct<key:string,start:bigint,length:bigint,doc_tokens:bigint,offset:bigint>>"""
@@ -47,23 +47,30 @@ def halves(tokens: int, least: int) -> list[int]:
 
 
 def cut_pieces(text: Column, path: str, end_id: int, capacity: int) -> Column:
-    """Token count of each text with its closing id, and its full windows and rest with their ids."""
-    closing = np.array([end_id], "<u4").tobytes()
-
+    """Token count of each text with its closing id, its full windows with their ids and its rest with ids as narrow as the encoder's."""
     @F.arrow_udf(PIECES)
     def run(column: pa.Array) -> pa.Array:
-        tokens, bounds, start, pieces = [], [0], [], []
-        for ids in encoder(path).ids(column.to_pylist()):
-            ids += closing
-            n = len(ids) // 4
+        coder = encoder(path)
+        kind = f"<u{coder.width}"
+        closing = np.array([end_id], kind).tobytes()
+        tokens, bounds, start, length, pieces = [], [0], [], [], []
+        for raw in coder.narrow_ids(column.to_pylist()):
+            raw += closing
+            n = len(raw) // coder.width
             tokens.append(n)
-            for at in range(0, n, capacity):
-                start.append(at)
-                pieces.append(ids[4 * at:4 * (at + capacity)])
+            full = n - n % capacity
+            if full:
+                wide = np.frombuffer(raw, kind, full).astype("<u4").tobytes()
+                start += range(0, full, capacity)
+                length += [capacity] * (full // capacity)
+                pieces += [wide[4 * at:4 * (at + capacity)] for at in range(0, full, capacity)]
+            if full < n:
+                start.append(full)
+                length.append(n - full)
+                pieces.append(raw[coder.width * full:])
             bounds.append(len(start))
         ids = pa.array(pieces, pa.binary())
-        length = pa.array(np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4)
-        rows = pa.StructArray.from_arrays([pa.array(start, pa.int64()), length, ids], fields=list(_PIECE))
+        rows = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(length, pa.int64()), ids], fields=list(_PIECE))
         return pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rows)], fields=list(_PIECES))
 
     return run(text)
@@ -139,7 +146,9 @@ def pack_pieces(batch: int, rests: pa.Table, capacity: int, least: int) -> pa.Ta
     ends = np.cumsum(lengths)
     begins = ends - lengths
     bodies = rests["ids"].to_pylist()
-    ids = b"".join([bodies[r][4 * a:4 * (a + n)] for r, a, n in zip(rest.tolist(), inside.tolist(), lengths.tolist())])
+    width = len(bodies[0]) // rests["length"][0].as_py()  # bytes an id
+    ids = b"".join([bodies[r][width * a:width * (a + n)] for r, a, n in zip(rest.tolist(), inside.tolist(), lengths.tolist())])
+    ids = np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()
     bounds = 4 * np.append(begins[first], ends[-1])
     offset = begins - begins[first][np.searchsorted(first, np.arange(len(window)), "right") - 1]
     of = rests.take(pa.array(rest)).combine_chunks()
@@ -164,14 +173,14 @@ def write_sequences(docs: DataFrame, key: str, text: str, path: str, out: str, c
     rows = docs.select(F.col(key).cast("string").alias("key"), cut_pieces(F.col(text).cast("string"), path, end_id, capacity).alias("d"))
     rows = rows.select("key", F.col("d.tokens").alias("doc_tokens"), F.explode("d.pieces").alias("p")).select("key", "doc_tokens", "p.*")
     once = scratch_path(spark, "pack-pieces")
-    rows.write.option("compression", "zstd").parquet(once)
+    rows.write.parquet(once)
     pieces = spark.read.schema(rows.schema).parquet(once)
     rest = pieces.filter(F.col("length") < capacity)
     total = rest.agg(F.sum("length")).first()[0] or 0
     batches = max(1, round(total / (windows * capacity)))
     # The row number deals out copies too.
     salted = rest.withColumn("batch", F.pmod(F.xxhash64("key", "start", F.monotonically_increasing_id()), F.lit(batches)))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-4 * total // BATCH_BYTES))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * total // BATCH_BYTES))
     placed = salted.repartition(tasks, "batch").groupBy("batch").applyInArrow(lambda k, table: pack_pieces(k[0].as_py(), table, capacity, least), SEQUENCES)
     # Full windows have negative sequence ids.
     alone = pieces.filter(F.col("length") == capacity).select(

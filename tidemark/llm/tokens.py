@@ -78,6 +78,8 @@ class Encoder:
             self.parts = part_safe(json.load(f))
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.width = 2 if self.kind == "H" else 4
         self.known = Parts(self.part_ids)
         if self.parts:
             # Letters that neither normaliser nor splitter changes, in the form the model reads.
@@ -86,16 +88,16 @@ class Encoder:
             self.plain = re.compile(f"[{''.join(letters)}]+").fullmatch
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, f"<u{self.width}").tobytes()
 
     def part_ids(self, part: bytes) -> bytes:
         """The ids of one part: a word of plain letters by the model itself."""
         text = part.decode("utf-8")
         low = text.lower()
         if part.isalpha():  # ASCII letters are read as they are
-            return array("I", [x.id for x in self.model.tokenize(low)]).tobytes()
+            return array(self.kind, [x.id for x in self.model.tokenize(low)]).tobytes()
         if self.plain(low):
-            return array("I", [x.id for x in self.model.tokenize(low.translate(self.letters))]).tobytes()
+            return array(self.kind, [x.id for x in self.model.tokenize(low.translate(self.letters))]).tobytes()
         return self._whole(text)
 
     def _parts(self, text: str | None) -> list[bytes]:
@@ -110,6 +112,11 @@ class Encoder:
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text; a null text is empty."""
+        for raw in self.narrow_ids(texts):
+            yield np.frombuffer(raw, f"<u{self.width}").astype("<u4").tobytes()
+
+    def narrow_ids(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Little-endian ids of ``width`` bytes, the fewest that hold the vocabulary."""
         if not self.parts:
             for t in texts:
                 yield self._whole(t or "")
@@ -145,7 +152,8 @@ def token_count(text: Column, path: str) -> Column:
 
     @F.arrow_udf("bigint")
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([len(b) // 4 for b in encoder(path).ids(column.to_pylist())], pa.int64())
+        coder = encoder(path)
+        return pa.array([len(b) // coder.width for b in coder.narrow_ids(column.to_pylist())], pa.int64())
 
     return run(text)
 
