@@ -209,6 +209,12 @@ def test_suffix_dedup_of_shifted_passages(spark, monkeypatch):
     assert Counter((r["doc_id"], r["n_bytes"], r["kept_sha256"], tuple((s["start"], s["stop"]) for s in r["spans"])) for r in got) == brute_dedup(rows, 64)
 
 
+def test_offset_ranges_cover_every_distance():
+    for length in (1, 2, 5, 12, 13, 64, 400):
+        top = length - suffixes.gram_size(length) + 1
+        assert [d for low, high in suffixes.offset_ranges(length) for d in range(low, high)] == list(range(top))
+
+
 def test_suffix_dedup_of_nothing(none):
     assert suffixes.dedup(none, "doc_id", "text").count() == 0
 

@@ -17,8 +17,11 @@ suffix form one span of text.
   backwards, by multikey quicksort over 8-byte tokens. Neighbours' common
   lengths then tell, for each offset, which windows are equal, byte by byte.
 * A leading token can straddle buckets (that is how a hot one is split). The
-  first and last token of each bucket therefore give the 128-bit hashes of
-  their distinct windows, which are counted over all buckets.
+  spans of the first and last token of each bucket are therefore compared across
+  buckets in two steps. For ranges of offsets, short ones where a context ends
+  and longer ones between, the bytes that all windows of a range share are hashed
+  and counted over all buckets; only windows of ranges that occur twice are then
+  hashed one by one (128 bits) and counted.
 
 Only narrow rows are joined to the spans; texts move twice, compressed, to where
 their spans are cut out and where their repeats are removed.
@@ -242,13 +245,23 @@ def repeated_windows(bodies: list[bytes], off: np.ndarray, windows: np.ndarray,
     return count, first
 
 
-#: Of a bucket: runs of repeated windows ``first .. last`` of a span, or (``h1, h2`` given) a window at the bucket's edge.
-FOUND = "k1 bigint, k2 bigint, first int, last int, h1 bigint, h2 bigint, many boolean"
-_FOUND = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("many", pa.bool_())])
+def offset_ranges(length: int) -> list[tuple[int, int]]:
+    """Ranges of a window's distance to its suffix, ``low <= distance < high``: of 1, 1, 2, 4 ... from both ends."""
+    top, low, step = length - gram_size(length) + 1, [0], 1
+    while 2 * (low[-1] + step) <= top:
+        low.append(low[-1] + step)
+        step = low[-1]
+    bounds = sorted({*low, *(top - x for x in low)})
+    return list(zip(bounds, bounds[1:]))
+
+
+#: Of a bucket: runs of repeated windows ``first .. last`` of a span, or (``h1, h2`` given) a range of distances and the hash of what its windows share.
+FOUND = "k1 bigint, k2 bigint, first int, last int, h1 bigint, h2 bigint"
+_FOUND = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
 
 
 def sort_bucket(bucket: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
-    """Repeated windows of a bucket's spans, and the distinct windows of its first and last leading token."""
+    """Repeated windows of a bucket's spans, and what the windows of its first and last leading token share by range."""
     bodies = bucket["body"].to_pylist()
     off, windows, lead, k1, k2 = (bucket[c].to_numpy().astype(np.int64) for c in ("off", "windows", "lead", "k1", "k2"))
     count, first = repeated_windows(bodies, off, windows, length)
@@ -262,18 +275,17 @@ def sort_bucket(bucket: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     empty = lambda kind, n: pa.nulls(n, kind)
     yield pa.RecordBatch.from_arrays([
         pa.array(k1[row]), pa.array(k2[row]), pa.array(off[row] - (end - 1), pa.int32()), pa.array(off[row] - begin, pa.int32()),
-        empty(pa.int64(), n), empty(pa.int64(), n), empty(pa.bool_(), n)], schema=_FOUND)
+        empty(pa.int64(), n), empty(pa.int64(), n)], schema=_FOUND)
     ends = np.flatnonzero((lead == lead.min()) | (lead == lead.max()))
-    owner, distance = np.nonzero(first[ends] == ends[:, None])
-    owner = ends[owner]
-    for a in range(0, len(owner), 1 << 18):
-        o, d = owner[a:a + (1 << 18)], distance[a:a + (1 << 18)]
-        at = (off[o] - d).tolist()
-        digest = b"".join([xxhash.xxh3_128_digest(bodies[i][x:x + length]) for i, x in zip(o.tolist(), at)])
+    own = first[ends] == ends[:, None]  # one span stands for equal windows
+    for low, high in offset_ranges(length):
+        some = ends[own[:, low:high].any(axis=1)]
+        if not len(some):
+            continue
+        digest = b"".join([xxhash.xxh3_128_digest(bodies[i][o - low:o - high + 1 + length]) for i, o in zip(some.tolist(), off[some].tolist())])
         h = np.frombuffer(digest, "<i8").reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(k1[o]), pa.array(k2[o]), pa.array(at, pa.int32()), pa.array(at, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]),
-            pa.array(count[o, d] > 1)], schema=_FOUND)
+        same = lambda x: pa.array(np.full(len(some), x), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(k1[some]), pa.array(k2[some]), same(low), same(high), pa.array(h[:, 0]), pa.array(h[:, 1])], schema=_FOUND)
 
 
 def _partial_repeats(spans: DataFrame, length: int) -> DataFrame:
@@ -291,8 +303,16 @@ def _partial_repeats(spans: DataFrame, length: int) -> DataFrame:
     found = written(buckets.mapInArrow(run, StructType.fromDDL(FOUND)), "suffix-buckets")
     inside = found.filter("h1 IS NULL").select("k1", "k2", "first", "last")
     edges = found.filter("h1 IS NOT NULL")
-    twice = edges.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-    across = edges.filter("NOT many").join(twice, ["h1", "h2"]).select("k1", "k2", "first", "last")
+    shared = ["h1", "h2", "first"]
+    twice = edges.groupBy(*shared).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*shared)
+    ranges = edges.join(twice, shared).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    lowest, highest = (lambda r: F.greatest(F.col("off") - r["last"] + 1, F.lit(0))), (lambda r: F.least(F.col("off") - r["first"], F.col("windows") - 1))
+    places = F.flatten(F.transform("ranges", lambda r: F.sequence(lowest(r), highest(r))))
+    body = lambda at: F.substring(F.col("body"), at + 1, F.lit(length))
+    hashed = F.transform(places, lambda at: F.struct(at.alias("at"), F.xxhash64(body(at)).alias("a"), F.xxhash64(F.lit(1), body(at)).alias("b")))
+    windows = written(spans.join(ranges, ["k1", "k2"]).select("k1", "k2", F.explode(hashed).alias("w")).select("k1", "k2", "w.*"), "suffix-windows")
+    equal = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b")
+    across = windows.join(equal, ["a", "b"]).select("k1", "k2", F.col("at").alias("first"), F.col("at").alias("last"))
     return inside.unionByName(across)
 
 
