@@ -9,9 +9,11 @@ from tidemark.functions import lexicon as lex
 from tidemark.functions import normalize as nz
 from tidemark.functions import parse as ps
 from tidemark.functions import text as tx
+from tidemark.functions.phrases import hashtag_resolver, phrase_replacer, preprocess_rows
 from tidemark.operators import filters as flt
 from tidemark.operators import ranking as rk
 from tidemark.plans.base import query
+from tidemark.session import scratch_path
 from tidemark.sources import dictionaries as dic
 
 W = r"[\p{L}\p{M}\p{N}_]"  # a word character in the reference engine's regular expressions
@@ -452,6 +454,70 @@ def _(t):
     return t.social.select("doc_id", nz.preprocess(F.col("text"), SHORT, BANNED).alias("content_preprocessed"))
 
 
+# Every pair of neighbours in the benchmark, and every word of four letters and more.
+PHRASES = f"""pieces AS (SELECT item_id AS i, lower(text) AS t, regexp_extract_all(lower(text), '{W}+|{N}+') AS p FROM benchmark),
+near AS (SELECT i, p[k] AS a, p[k + 1] AS s, p[k + 2] AS b FROM (SELECT i, p, unnest(range(1, len(p) + 1)) AS k FROM pieces)),
+entries AS (SELECT DISTINCT concat(a, ' ', b) AS source, concat(reverse(a), '_', reverse(b)) AS target FROM near
+  WHERE s = ' ' AND regexp_matches(a, '^{W}') AND b IS NOT NULL
+  UNION SELECT DISTINCT a, reverse(a) FROM near WHERE length(a) >= 4 AND regexp_matches(a, '^{W}'))"""
+
+# Chains of overlapping pairs are taken from the left: every second pair of a run begins a match.
+BY_PHRASES = PHRASES + f""",
+tokens AS (SELECT doc_id, k, p[k] AS a, p[k + 1] AS s, p[k + 2] AS b, regexp_matches(p[k], '^{W}') AS word FROM (
+  SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS k FROM (SELECT doc_id, regexp_extract_all(lower(text), '{W}+|{N}+') AS p FROM documents))),
+hits AS (SELECT t.*, two.target AS pair, one.target AS single FROM tokens t
+  LEFT JOIN entries two ON t.word AND t.s = ' ' AND concat(t.a, ' ', t.b) = two.source LEFT JOIN entries one ON t.word AND t.a = one.source),
+runs AS (SELECT *, row_number() OVER (PARTITION BY doc_id, word ORDER BY k) - row_number() OVER (PARTITION BY doc_id, word, pair IS NULL ORDER BY k) AS run FROM hits),
+begun AS (SELECT *, pair IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, word, pair IS NULL, run ORDER BY k) % 2 = 1 AS begins FROM runs),
+kept AS (SELECT *, coalesce(lag(begins, 1) OVER o OR lag(begins, 2) OVER o, lag(begins, 1) OVER o, false) AS inside FROM begun WINDOW o AS (PARTITION BY doc_id ORDER BY k))
+SELECT doc_id, string_agg(CASE WHEN begins THEN pair WHEN inside THEN '' WHEN word THEN coalesce(single, a) ELSE a END, '' ORDER BY k) AS text FROM kept GROUP BY doc_id"""
+
+
+def _dictionary_file(t) -> str:
+    """The benchmark's words and pairs of words as a two-column text file."""
+    path = scratch_path(t.spark, "dictionary")
+    pieces = F.regexp_extract_all(F.lower("text"), F.lit(f"{W}+|{N}+"), F.lit(0))
+    near = t.benchmark.select(pieces.alias("p")).select(
+        F.explode(F.expr("transform(p, (a, k) -> struct(a, get(p, k + 1) AS s, get(p, k + 2) AS b))")).alias("n")).select("n.*")
+    words = near.filter(F.col("a").rlike(f"^{W}"))
+    pairs = words.filter("s = ' ' AND b IS NOT NULL").select(F.concat_ws("\t", F.concat_ws(" ", "a", "b"), F.concat(F.reverse("a"), F.lit("_"), F.reverse("b"))))
+    singles = words.filter("length(a) >= 4").select(F.concat_ws("\t", "a", F.reverse("a")))
+    pairs.union(singles).distinct().write.text(path)
+    return path
+
+
+@query("n11_dictionary_table", "WITH " + BY_PHRASES)
+def _(t):
+    expand = phrase_replacer(dic.load_dictionary(t.spark, _dictionary_file(t)))
+    return t.documents.select("doc_id", expand(F.lower("text")).alias("text"))
+
+
+# The first word of each document is made a hashtag; those of the benchmark's words are noise.
+@query("n9_noise_table", "WITH " + PHRASES + f""", d AS (SELECT doc_id, text, regexp_extract(text, '{W}+') AS w FROM documents)
+SELECT doc_id, CASE WHEN w = '' THEN concat('#', text) WHEN strip_accents(lower(w)) IN (SELECT strip_accents(a) FROM near WHERE regexp_matches(a, '^{W}')) THEN concat('  ', text)
+  ELSE concat(' ', replace(w, '_', ' '), '  ', text) END AS text FROM d""")
+def _(t):
+    path = scratch_path(t.spark, "hashtags")
+    t.benchmark.select(F.explode(F.regexp_extract_all("text", F.lit(f"{W}+"), F.lit(0)))).distinct().write.text(path)
+    resolve = hashtag_resolver(dic.load_hashtags(t.spark, path))
+    first = F.regexp_extract("text", f"{W}+", 0)
+    tagged = F.when(first == "", F.concat(F.lit("#"), "text")).otherwise(F.concat(F.lit("#"), first, F.lit(" "), "text"))
+    return t.documents.select("doc_id", resolve(tagged).alias("text"))
+
+
+@query("n16_dictionary_tables", steps([
+    lambda c: f"lower(nfc_normalize(translate({c}, '0123456789', '')))", lambda c: rx(c, lex.BARE_URL, flags="gi"),
+    lambda c: f"translate({c}, '<>', '  ')", emoji_tags_sql, emoticons_sql, angles_sql, post_ids_sql, tags_sql,
+    lambda c: runs_sql(c, r"\p{L}", 1), short_sql, lambda c: symbols_sql(punctuation_sql(c)), squash_sql]))
+def _(t):
+    short, banned = scratch_path(t.spark, "short"), scratch_path(t.spark, "banned")
+    t.spark.createDataFrame([(f"{k}\t{v}",) for k, v in SHORT.items()], "line string").write.text(short)
+    t.spark.createDataFrame([("// noise",), *((f"#{b}",) for b in BANNED)], "line string").write.text(banned)
+    done = preprocess_rows(t.social.select("doc_id", F.translate("text", "0123456789", "").alias("text")), "text", "text",
+                           dic.load_dictionary(t.spark, short), dic.load_hashtags(t.spark, banned))
+    return done.select("doc_id", "text")
+
+
 @query("n16_empty_results", """
 SELECT count(*) FILTER (NOT regexp_matches(text, '[a-zA-Zà-ỹđ]')) AS empty_rows, count(*) AS rows FROM documents""")
 def _(t):

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 
 
@@ -59,3 +60,8 @@ def written(df, name: str):
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written intermediate table."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and the path in it, for tasks that open files themselves."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)

@@ -35,15 +35,15 @@ def dictionary_entries(lines: DataFrame, line: str = "line", order: str = "line_
     return pairs.groupBy("source").agg(F.max_by("target", order).alias("target"))
 
 
-def load_dictionary(spark: SparkSession, path: str) -> dict[str, str]:
-    """A dictionary file as a mapping for the text functions (it is small by nature)."""
-    return {r["source"]: r["target"] for r in dictionary_entries(numbered_lines(spark, path)).collect()}
+def load_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """``source, target`` of a dictionary file, for ``phrase_replacer``."""
+    return dictionary_entries(numbered_lines(spark, path))
 
 
-def load_hashtags(spark: SparkSession, path: str) -> list[str]:
-    """Noise hashtags, one per line, with or without ``#``; ``//`` starts a comment."""
+def load_hashtags(spark: SparkSession, path: str) -> DataFrame:
+    """``tag`` of noise hashtags, one per line, with or without ``#``, for ``hashtag_resolver``; ``//`` starts a comment."""
     lines = numbered_lines(spark, path).select(strip_space(F.col("line")).alias("tag"))
-    return sorted(r["tag"] for r in lines.filter((F.col("tag") != "") & ~F.col("tag").startswith("//")).collect())
+    return lines.filter((F.col("tag") != "") & ~F.col("tag").startswith("//"))
 
 
 def keyed_entries(table: DataFrame, key: str, value: str, group: str | None = None,
