@@ -36,9 +36,10 @@ def _(t):
 def _(t):
     path = scratch_path(t.spark, "encodings")
     rows = t.documents.select("doc_id", "lang", "text")
-    latin, meant = src._vietnamese_bytes()
-    bytes_1258 = rows.filter("lang = 'de'").withColumn("text", F.translate("text", meant.replace("\ufffd", ""), "".join(
-        a for a, b in zip(latin, meant) if b != "\ufffd")))
+    # Latin-1 characters and what the same bytes mean in windows-1258.
+    latin, meant = bytes(range(0x80, 0x100)).decode("latin-1"), bytes(range(0x80, 0x100)).decode("cp1258", "replace")
+    pairs = [(m, a) for a, m in zip(latin, meant) if m not in (a, "\ufffd")]
+    bytes_1258 = rows.filter("lang = 'de'").withColumn("text", F.translate("text", *map("".join, zip(*pairs))))
     for encoding, part in (("UTF-8", rows.filter("lang <> 'de'")), ("ISO-8859-1", bytes_1258)):
         part.write.mode("append").options(header=True, quote='"', escape='"', encoding=encoding).csv(path)
     return src.read_csv_any_encoding(t.spark, path, "doc_id long, lang string, text string")
@@ -56,9 +57,11 @@ def _(t):
 @query("src4_alternative_label_names", """
 SELECT id, content_anonymized, ann_a AS "GPT5.5_Medium" FROM {annotators} UNION ALL SELECT id, content_anonymized, ann_c FROM {annotators}""")
 def _(t):
-    a = t.annotators.select("id", "content_anonymized", F.col("ann_a").alias("GPT5.5_Medium"))
-    b = t.annotators.select("id", "content_anonymized", F.col("ann_c").alias("label"))
-    return src.union_label_tables([a, b], ["GPT5.5_Medium", "label"], "GPT5.5_Medium")
+    path = scratch_path(t.spark, "labels")
+    for name, column in (("GPT5.5_Medium", "ann_a"), ("label", "ann_c")):
+        texts = ("content_anonymized", "id") if name == "label" else ("id", "content_anonymized")  # two headers, in two orders
+        t.annotators.select(*texts, F.col(column).alias(name)).write.mode("append").options(header=True, quote='"', escape='"').csv(path)
+    return src.read_label_tables(t.spark, path)
 
 
 @query("src5_table_scan", """
@@ -76,6 +79,19 @@ def _(t):
     return flt.not_in_store(waiting, t.labels, F.col("doc_id"), F.col("doc_id")).select("doc_id")
 
 
+@query("src6_high_water_mark", """
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1 WHEN event_id % 3 = 1 THEN 2 ELSE 3 END AS run FROM events""")
+def _(t):
+    """Three parts of the events come one after the other; each run reads only what is new."""
+    feed, ledger, out = (scratch_path(t.spark, name) for name in ("feed", "ledger", "runs"))
+    for run in range(1, 4):
+        t.events.filter(F.col("event_id") % 3 == run - 1).select("event_id").write.parquet(f"{feed}/{run}")
+        folder = src.IncrementalFolder(t.spark, feed, ledger, "event_id long")
+        folder.pending().withColumn("run", F.lit(run)).write.parquet(f"{out}/{run}")
+        folder.commit()
+    return t.spark.read.schema("event_id long, run int").parquet(*[f"{out}/{run}" for run in range(1, 4)])
+
+
 @query("snk2_label_chunks", """
 SELECT doc_id AS id, '' AS label, sha256(text) AS text_sha256,
     printf('%03d', (row_number() OVER (ORDER BY doc_id) - 1) // (SELECT greatest(1, count(*) // 1100) FROM documents) + 1) AS part

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+import csv
+import io
+import json
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
+from datetime import datetime, timezone
+
+import pyarrow as pa
+import pyarrow.csv as pacsv
+from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.operators.upsert import BATCH_SCHEMA
+from tidemark.session import file_system
 
-ENCODINGS = ("windows-1258", "ISO-8859-1")
 RAW_POSTS = ("id long, content string, source string, posted_at string, like_count string, "
              "comment_count string, collected_at string")
 RAW_COMMENTS = "id long, post_id long, content string, source string, collected_at string"
@@ -33,43 +42,70 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str | Struc
     return reader.csv(path if isinstance(path, str) else list(path))
 
 
-def file_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """``path, encoding`` per file: UTF-8 if all its lines are valid, else
-    windows-1258, else (bytes that has no character for) ISO-8859-1.
+def read_csv_any_encoding(spark: SparkSession, path: str, schema: str | StructType,
+                          names: Mapping[str, Sequence[str]] | None = None, recursive: bool = False) -> DataFrame:
+    """The CSV files of a folder, each in its own encoding and with its own header.
 
-    Lines are checked where they are read and combined per file.
+    Spark lists the files and deals them to tasks; each task opens its files,
+    one at a time and whole, and finds the encoding and the header there: UTF-8,
+    with or without a byte-order mark, else windows-1258, else (bytes that has
+    no character for) ISO-8859-1. Columns of ``schema`` are found by name, in
+    any order, or by the first of their other ``names`` that the header holds.
+    Empty unquoted values are null; a column that no name finds is an error
+    that names the file, as are rows longer or shorter than the header, and so
+    is a value that its type cannot take. Files without a header line give nothing.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
-    unmapped = F.hex(F.col("value").cast("binary")).rlike("^(..)*?(8A|8D|8E|8F|90|9A|9D|9E)")
-    found = lines.groupBy("path").agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(unmapped).alias("unmapped"))
-    other = F.when(F.col("unmapped"), ENCODINGS[1]).otherwise(ENCODINGS[0])
-    return found.select("path", F.when(F.col("utf8"), "UTF-8").otherwise(other).alias("encoding"))
-
-
-def _vietnamese_bytes() -> tuple[str, str]:
-    """Latin-1 characters and what the same bytes mean in windows-1258."""
-    pairs = [(chr(b), bytes([b]).decode("cp1258", "replace")) for b in range(0x80, 0x100)]
-    return tuple("".join(side) for side in zip(*[p for p in pairs if p[0] != p[1]]))
-
-
-def read_csv_any_encoding(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """Union of the CSV files of a folder, each read in its own encoding."""
-    groups: dict[str, list[str]] = {}
-    for row in file_encodings(spark, path).collect():
-        groups.setdefault(row["encoding"], []).append(row["path"])
-    parts = []
-    for encoding, files in sorted(groups.items()):
-        rows = read_csv(spark, files, schema, "UTF-8" if encoding == "UTF-8" else ENCODINGS[1])
-        if encoding == ENCODINGS[0]:
-            latin, meant = _vietnamese_bytes()
-            texts = [f.name for f in rows.schema if f.dataType.simpleString() == "string"]
-            rows = rows.withColumns({c: F.translate(c, latin, meant) for c in texts})
-        parts.append(rows)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    wanted = _struct(spark, schema)
+    options = {f.name: [f.name, *(names or {}).get(f.name, ())] for f in wanted}
+    texts = StructType([StructField(f.name, StringType()) for f in wanted])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column("path").to_pylist():
+                system, place = file_system(file)
+                with system.open_input_file(place) as source:
+                    yield from _csv_rows(file, source.readall(), options)
+
+    # Paths only: a batch of contents could hold thousands of files.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path).select(F.col("_metadata.file_path").alias("path"))
+    return files.mapInArrow(parse, texts).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in wanted])
+
+
+def _struct(spark: SparkSession, schema: str | StructType) -> StructType:
+    return schema if isinstance(schema, StructType) else spark.createDataFrame([], schema).schema
+
+
+def decoded(content: bytes) -> str:
+    """Text of a file in UTF-8, else windows-1258, else ISO-8859-1."""
+    for encoding in ("utf-8-sig", "cp1258"):
+        try:
+            return content.decode(encoding)
+        except UnicodeDecodeError:
+            pass
+    return content.decode("latin-1")
+
+
+def _csv_rows(file: str, content: bytes, options: Mapping[str, Sequence[str]]) -> Iterator[pa.RecordBatch]:
+    text = decoded(content).encode()
+    if not text.strip():
+        return
+    try:
+        reader = pacsv.open_csv(
+            pa.BufferReader(text), pacsv.ReadOptions(block_size=max(1 << 20, min(len(text), 1 << 30))), pacsv.ParseOptions(newlines_in_values=True),
+            pacsv.ConvertOptions(column_types={n: pa.string() for n in _header(text)}, strings_can_be_null=True, quoted_strings_can_be_null=False, null_values=[""]))
+        found = reader.schema.names
+        columns = [next((n for n in other if n in found), None) for other in options.values()]
+        if None in columns:
+            missing = [name for name, c in zip(options, columns) if c is None]
+            raise ValueError(f"no column for {missing}; the header is {found}")
+        for batch in reader:
+            yield pa.RecordBatch.from_arrays([batch.column(found.index(c)) for c in columns], names=list(options))
+    except (pa.ArrowInvalid, ValueError) as fault:
+        raise ValueError(f"{file}: {fault}") from fault
+
+
+def _header(text: bytes) -> list[str]:
+    return next(csv.reader(io.TextIOWrapper(io.BytesIO(text), "utf-8", newline="")), [])
 
 
 def read_label_folder(spark: SparkSession, path: str, first: str = "3.5 Flash", second: str = "3.1 Pro",
@@ -111,13 +147,81 @@ def union_label_tables(tables: Sequence[DataFrame], names: Sequence[str], target
 
 def read_label_tables(spark: SparkSession, path: str, names: Sequence[str] = ("GPT5.5_Medium", "label"),
                       target: str = "GPT5.5_Medium") -> DataFrame:
-    """The same for a folder of CSV files, grouped by header."""
-    heads = spark.read.text(path).select(F.col("_metadata.file_path").alias("p"), "value", F.monotonically_increasing_id().alias("n"))
-    first = heads.groupBy("p").agg(F.min_by("value", "n").alias("head")).collect()
-    groups: dict[str, list[str]] = {}
-    for row in first:
-        groups.setdefault(row["head"].lstrip("﻿"), []).append(row["p"])
-    return union_label_tables([read_csv(spark, files) for _, files in sorted(groups.items())], names, target)
+    """The same for a folder of CSV files, whose headers and encodings may differ."""
+    schema = f"id bigint, content_anonymized string, `{target}` string"
+    return read_csv_any_encoding(spark, path, schema, {target: names})
+
+
+@dataclass(frozen=True)
+class Mark:
+    """Files read so far: the latest modification time (in milliseconds), and the files that have it."""
+
+    time_ms: int = -1
+    files: tuple[str, ...] = ()
+
+
+class IncrementalFolder:
+    """A folder of Parquet files that is read from a high-water mark on.
+
+    The mark is kept in a ledger in a folder of its own, one file for each
+    commit, so a crash before ``commit`` leaves the earlier mark and the files
+    are given again. Files older than the mark are dropped when the folder is
+    listed, and only those of the mark's own time are told apart by name, so the
+    ledger does not grow with the files. ``commit`` writes the mark of what
+    ``pending`` saw, not of files that came since. A file that is written anew
+    comes again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, ledger: str, schema: str | StructType):
+        self.spark, self.path, self.ledger, self.schema, self.seen = spark, path, ledger, _struct(spark, schema), None
+
+    def mark(self) -> Mark:
+        system, root = file_system(self.ledger)
+        system.create_dir(root, recursive=True)
+        done = [f.path for f in system.get_file_info(fs.FileSelector(root)) if f.base_name.endswith(".json")]
+        if not done:
+            return Mark()
+        with system.open_input_file(max(done)) as source:
+            found = json.loads(source.read())
+        return Mark(found["time_ms"], tuple(found["files"]))
+
+    def pending(self) -> DataFrame:
+        """Rows of the files that are not below the mark; ``commit`` after they are stored."""
+        at = self.mark()
+        reader = self.spark.read.schema(self.schema).options(recursiveFileLookup=True, pathGlobFilter="*.parquet")
+        if at.time_ms >= 0:
+            # Spark takes files strictly after this, to the second.
+            before = datetime.fromtimestamp(at.time_ms // 1000 - 1, timezone.utc).strftime("%Y-%m-%dT%H:%M:%S")
+            reader = reader.option("modifiedAfter", before).option("timeZone", "UTC")
+        try:
+            rows = reader.parquet(self.path)
+        except AnalysisException as fault:
+            if fault.getCondition() != "PATH_NOT_FOUND":
+                raise
+            self.seen = at
+            return self.spark.createDataFrame([], self.schema)
+        # One row a file; columns of files are none of their rows'.
+        path, time = F.col("_metadata.file_path"), F.unix_millis("_metadata.file_modification_time")
+        fresh = (time > at.time_ms) | ((time == at.time_ms) & ~path.isin(list(at.files)))
+        listed = reader.schema("path string, modificationTime timestamp, length bigint, content binary").format("binaryFile").load(self.path)
+        files = listed.filter(fresh).select(path.alias("path"), time.alias("time"))
+        top = files.agg(F.max("time")).first()[0]
+        if top is None:
+            self.seen = at
+            return self.spark.createDataFrame([], self.schema)
+        last = {r["path"] for r in files.filter(F.col("time") == top).select("path").collect()}
+        self.seen = Mark(top, tuple(sorted(last | set(at.files if top == at.time_ms else ()))))
+        return rows.filter(fresh & (time <= top)).select(*self.schema.names)
+
+    def commit(self) -> None:
+        if self.seen is None:
+            raise ValueError("nothing was read since the last commit")
+        system, root = file_system(self.ledger)
+        name = f"{root}/{self.seen.time_ms + 1:020d}-{len(self.seen.files):09d}.json"
+        with system.open_output_stream(f"{name}.tmp") as sink:
+            sink.write(json.dumps({"time_ms": self.seen.time_ms, "files": self.seen.files}).encode())
+        system.move(f"{name}.tmp", name)
+        self.seen = None
 
 
 def read_database_table(spark: SparkSession, url: str, table: str, key: str, lower: int, upper: int,
