@@ -242,6 +242,16 @@ def test_warc_round_trip(spark):
     assert warc.read_bundles(warc.write_bundles(empty, warc.archive_folder(spark)), folder).count() == 0
 
 
+def test_pages_without_id_have_records(spark):
+    given = [(None, "u", "a"), (None, "u", "a"), (1, "u", "a"), (2, "u", "a"), (None, None, "b"), (None, "u", "b"), (None, None, None)]
+    table = spark.createDataFrame(given, "page_id long, url string, html string")
+    folder = warc.archive_folder(spark)
+    got = warc.read_bundles(warc.write_bundles(warc.plan_records(table, "page_id", "url", "html"), folder), folder).collect()
+    assert Counter((r["id"], r["record_type"], r["refers_to"], r["payload"]) for r in got) == Counter([
+        (None, "revisit", 2, None), (None, "revisit", 2, None), (1, "revisit", 2, None), (2, "response", None, b"a"),
+        (None, "response", None, b"b"), (None, "response", None, b"b"), (None, "response", None, b"")])
+
+
 def test_small_payloads_are_all_responses(spark):
     table = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
     got = {r["id"]: r["refers_to"] for r in warc.plan_records(table, "page_id", "url", "html", 3).collect()}
@@ -347,13 +357,6 @@ def test_sharding_laws(docs, corpus, none, spark):
     grown = {r["doc_id"]: r["shard"] for r in sharding.assign(docs, "doc_id", "text", 6).collect()}
     assert all(grown[r["doc_id"]] == r["grown_shard"] for r in got)
     assert sharding.assign(none, "doc_id", "text", 5).count() == 0
-    path = f"{warc.archive_folder(spark)}-shards"
-    once = docs.dropDuplicates(["doc_id"])
-    assigned = sharding.assign(once, "doc_id", "text", 5)
-    sharding.write_shards(once, assigned, "doc_id", path)
-    back = spark.read.parquet(path)
-    assert back.count() == once.count()
-    assert {(r["doc_id"], r["shard"]) for r in back.select("doc_id", "shard").collect()} == {(r["doc_id"], r["shard"]) for r in assigned.collect()}
 
 
 def test_shards_hold_every_row_once(spark):
@@ -362,18 +365,41 @@ def test_shards_hold_every_row_once(spark):
     path = f"{warc.archive_folder(spark)}-rows"
     sharding.shuffle_shards(rows, "doc_id", "text", 4, path, bucket_rows=8)
     back = sharding.read_shards(spark, path, rows.schema)
-    assert back.columns == [*rows.columns, "shard", "slot"]
-    assert Counter((r["doc_id"], r["text"], r["lang"]) for r in back.collect()) == Counter(same)
+    assert back.columns == ["row", "shard", "slot"] and back.select("row.*").columns == rows.columns
+    assert Counter((r["doc_id"], r["text"], r["lang"]) for r in back.select("row.*").collect()) == Counter(same)
+    joined = sharding.read_shards(spark, path, rows.schema, max_broadcast=0)
+    assert joined.exceptAll(back).count() == 0 and joined.count() == back.count()
     for s in range(4):
         slots = sorted(r["slot"] for r in back.filter(F.col("shard") == s).select("slot").collect())
         assert slots == list(range(len(slots)))
     # One key has one shard, but many buckets, none of them large.
     raw = spark.read.parquet(path)
-    assert raw.filter("doc_id = 7").select("shard").distinct().count() == 1
-    assert raw.filter("doc_id = 7").select("bucket").distinct().count() > 1
+    assert raw.filter("row.doc_id = 7").select("shard").distinct().count() == 1
+    assert raw.filter("row.doc_id = 7").select("bucket").distinct().count() > 1
     assert raw.groupBy("shard", "bucket").count().agg(F.max("count")).first()[0] < 30
-    with pytest.raises(ValueError):
-        sharding.write_shards(rows, sharding.assign(rows, "doc_id", "text", 4), "doc_id", f"{path}-again")
+    # Places in a bucket are a permutation.
+    for r in raw.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list("place")).alias("p")).collect():
+        assert r["p"] == list(range(len(r["p"])))
+
+
+def test_shards_of_clashing_columns(spark):
+    names = ["doc_id", "text", "shard", "bucket", "place", "row", "slot", "before", "rows", "Deal", "__rank"]
+    rows = spark.createDataFrame([(i, f"t{i}", *map(str, range(9))) for i in range(50)], ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    path = f"{warc.archive_folder(spark)}-clash"
+    sharding.shuffle_shards(rows, "doc_id", "text", 3, path, bucket_rows=5)
+    back = sharding.read_shards(spark, path, rows.schema).select("row.*")
+    assert back.columns == names and sorted(back.collect()) == sorted(rows.collect())
+    assert sharding.assign(rows, "doc_id", "text", 3).count() == 50
+
+
+def test_shuffled_buckets_are_mixed(spark):
+    """Every place of a bucket takes early and late rows alike."""
+    rows, path = sample(spark, [(i, f"t{i}", "en") for i in range(4000)]), f"{warc.archive_folder(spark)}-mixed"
+    sharding.shuffle_shards(rows, "doc_id", "text", 1, path, bucket_rows=1000)
+    places = {r["doc_id"]: (r["place"], r["bucket"]) for r in spark.read.parquet(path).select("row.doc_id", "place", "bucket").collect()}
+    for low in range(0, 4000, 1000):
+        part = [places[i][0] for i in range(low, low + 1000)]
+        assert 400 < sum(part) / 1000 < 600
 
 
 def test_sharding_query_writes_texts(spark, monkeypatch):
@@ -382,7 +408,7 @@ def test_sharding_query_writes_texts(spark, monkeypatch):
     got = plans.op8(spark, "/root/testdata/sf0.001")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     back = spark.read.parquet(wrote[0])
-    assert back.select(docs.columns).exceptAll(docs).count() == 0 and back.count() == docs.count() == got.count()
+    assert back.select("row.*").exceptAll(docs).count() == 0 and back.count() == docs.count() == got.count()
 
 
 def test_contamination_spans_and_slices(spark):

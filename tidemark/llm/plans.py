@@ -86,12 +86,12 @@ _SHA1_32 = " || ".join(
 
 
 @query("op4_warc", f"""
-    WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages WHERE page_id IS NOT NULL),
+    WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
     d AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS h,
                  max(page_id) OVER (PARTITION BY body) AS keeper FROM p)
     SELECT page_id, payload_bytes, {_SHA1_32} AS payload_digest,
-           CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-           CASE WHEN keeper <> page_id THEN keeper END AS refers_to FROM d""")
+           CASE WHEN keeper IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN keeper IS DISTINCT FROM page_id THEN keeper END AS refers_to FROM d""")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Every page written to bundles and read back."""
     path = warc.archive_folder(spark)

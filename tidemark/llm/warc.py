@@ -46,12 +46,12 @@ def base32_sha1(payload: Column) -> Column:
                       for v in groups for i in range(8)))
 
 
-def record_bytes(id_: int, url: str | None, digest: str, payload: bytes | None, length: int, refers_to: int | None) -> bytes:
+def record_bytes(id_: int | None, url: str | None, digest: str, payload: bytes | None, length: int, refers_to: int | None) -> bytes:
     """One WARC 1.1 record; a revisit has no block and names the record that has the payload."""
     kind = "response" if refers_to is None else "revisit"
     block = payload if refers_to is None else b""
     clean = "".join(c for c in url or "" if c >= " ")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:record:{id_}>", f"WARC-Target-URI: {clean}",
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:record:{'none' if id_ is None else id_}>", f"WARC-Target-URI: {clean}",
              f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {length}", "Content-Type: text/html; charset=utf-8"]
     if refers_to is not None:
         lines.append(f"WARC-Refers-To: <urn:record:{refers_to}>")
@@ -63,16 +63,17 @@ def parse_record(data: bytes) -> dict:
     """The record at the start of ``data``; digest and length of a response come from its payload."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode("utf-8").split("\r\n")[1:])
-    number = lambda key: int(fields[key].rpartition(":")[2].rstrip(">"))
+    named = lambda key: fields[key].rpartition(":")[2].rstrip(">")
+    id_ = named("WARC-Record-ID")
     if fields["WARC-Type"] == "response":
         payload = rest[:int(fields["Content-Length"])]
         digest, size, refers = base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload), None
         if f"sha1:{digest}" != fields["WARC-Payload-Digest"]:
             raise ValueError(f"record {fields['WARC-Record-ID']}: the payload does not have its digest")
     else:
-        payload, refers = None, number("WARC-Refers-To")
+        payload, refers = None, int(named("WARC-Refers-To"))
         digest, size = fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["WARC-Payload-Length"])
-    return {"id": number("WARC-Record-ID"), "url": fields["WARC-Target-URI"], "payload_bytes": size, "payload_digest": digest,
+    return {"id": None if id_ == "none" else int(id_), "url": fields["WARC-Target-URI"], "payload_bytes": size, "payload_digest": digest,
             "record_type": fields["WARC-Type"], "refers_to": refers, "payload": payload}
 
 
@@ -141,10 +142,11 @@ def plan_records(pages: DataFrame, key: str, url: str, html: str, min_revisit_by
     """``id, url, payload, payload_bytes, payload_digest, refers_to``; null html is an empty payload.
 
     Rows that repeat an id are written once each; the one response of a payload
-    may then stand several times under the same id. Rows without an id cannot
-    be referred to and are left out.
+    may then stand several times under the same id. Rows without an id are
+    written too; none can refer to them, so where no row of a payload has an id
+    all of them are responses, and else they revisit the one with the largest.
     """
-    rows = pages.filter(F.col(key).isNotNull()).select(
+    rows = pages.select(
         F.col(key).cast("bigint").alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("payload"))
     digest, size = base32_sha1(F.col("payload").cast("binary")), F.octet_length("payload").cast("bigint")
     narrow = rows.select("id", digest.alias("payload_digest"), size.alias("payload_bytes"))
@@ -153,7 +155,7 @@ def plan_records(pages: DataFrame, key: str, url: str, html: str, min_revisit_by
     full = rows.select("*", digest.alias("payload_digest"), size.alias("payload_bytes"))
     return full.join(keeper, ["payload_digest", "payload_bytes"], "left").select(
         "id", "url", "payload", "payload_bytes", "payload_digest",
-        F.when(F.col("keeper") != F.col("id"), F.col("keeper")).alias("refers_to"))
+        F.when(~F.col("keeper").eqNullSafe(F.col("id")), F.col("keeper")).alias("refers_to"))
 
 
 def write_bundles(records: DataFrame, folder: str, frame_bytes: int = 1 << 20, bundle_bytes: int = 256 << 20, level: int = 3) -> DataFrame:
@@ -179,10 +181,11 @@ def write_bundles(records: DataFrame, folder: str, frame_bytes: int = 1 << 20, b
     return written(records.mapInArrow(pack, INDEX), "warc-index")
 
 
-def read_bundles(index: DataFrame, folder: str, payload: bool = True) -> DataFrame:
+def read_bundles(index: DataFrame, folder: str, payload: bool = True, task_bytes: int = 32 << 20) -> DataFrame:
     """The records behind index rows, decoded frame by frame through the bundles.
 
     Rows of one frame are read together, so any part of the index can be given.
+    The index is small, what it names is not: a task gets about ``task_bytes`` of records.
     """
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +202,8 @@ def read_bundles(index: DataFrame, folder: str, payload: bool = True) -> DataFra
                     rows = [r | {"payload": None} for r in rows]
                 yield pa.RecordBatch.from_pylist(rows, schema=_RECORD_TYPE)
 
-    frames = index.groupBy("file", "frame", "frame_at", "frame_bytes").agg(F.collect_list(F.struct("at", "bytes")).alias("entries"))
+    tasks = 1 + (index.agg(F.sum("bytes")).first()[0] or 0) // task_bytes
+    frames = index.repartition(tasks, "file", "frame").groupBy("file", "frame", "frame_at", "frame_bytes").agg(F.collect_list(F.struct("at", "bytes")).alias("entries"))
     return frames.mapInArrow(unpack, RECORD)
 
 
