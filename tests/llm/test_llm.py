@@ -472,6 +472,13 @@ def test_language_model(spark, docs, corpus, none):
                    for i, ws in split)
     assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
     assert all(r["train_tokens"] == total and r["score"] < 0 for r in got)
+    # The model is the same however the input is cut, and more than one trainer takes part.
+    small = lm.Settings(symbols=30, frequent=50, rounds=2, hidden=8, trainer_tokens=total // 6)
+    scores = []
+    for parts in (1, 7):
+        model, counts = lm.fit(docs.repartition(parts), "doc_id", "text", usable, small)
+        scores.append(sorted(r["score"] for r in lm.score(docs.coalesce(1), "doc_id", "text", model, counts, small).collect()))
+    assert scores[0] == pytest.approx(scores[1], rel=1e-4)
     model, counts = lm.fit(none, "doc_id", "text", usable, settings)
     blank = lm.score(docs, "doc_id", "text", model, counts, settings).collect()
     assert all(r["n_known"] == 0 and math.isfinite(r["score"]) for r in blank)

@@ -4,10 +4,13 @@ Spark counts every word of the training documents. The most frequent words are
 the network's symbols; every other word stands for a type by its last two
 bytes, and is scored as p(type in context) times its share of the type's
 counts. The network is trained in rounds: each document belongs to one round,
-each task starts from the round's weights and runs once over its documents by
-truncated backpropagation, and the tasks' weights are averaged by Spark,
+each trainer starts from the round's weights and runs once over its documents by
+truncated backpropagation, and the trainers' weights are averaged by Spark,
 weighted by tokens. So the weights see every training document once, and what
-comes to the driver is one set of weights a round, whatever the input.
+comes to the driver is one set of weights a round, whatever the input. The
+number of trainers follows from the tokens, and hashes of id and text deal the
+documents to them and order them there, so the files and partitions of the
+input make no difference to the model.
 
 Counts of the ``frequent`` most frequent words are broadcast (a fixed size);
 counts of all others are joined by word, as rows of words of a document.
@@ -40,6 +43,8 @@ class Settings:
     frequent: int = 1 << 18
     hidden: int = 16
     rounds: int = 3
+    trainer_tokens: int = 1 << 21  # a trainer has about this many tokens a round at least
+    trainers: int = 4096    # at most so many side by side; beyond, each has more tokens
     rows: int = 512         # rows trained side by side
     score_rows: int = 1024
     steps: int = 32
@@ -156,7 +161,7 @@ def _lookup(w: Words, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _train_round(model: Model, settings: Settings):
-    """Rows ``block, tokens, values`` of a task's weights after its documents."""
+    """Rows ``block, tokens, values`` of a trainer's weights after its documents."""
     shared = _shared(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,10 +191,13 @@ def fit(docs: DataFrame, key: str, text: str, usable: Column, settings: Settings
     documents = training.count()
     counts = count_words(training, text)
     model = _vocabulary(counts, documents, settings)
+    body = F.coalesce(F.col(text), F.lit(""))
+    texts = training.select(body.alias("text"), F.xxhash64(F.lit(settings.seed), F.col(key), body).alias("order"))
+    trainers = max(1, min(settings.trainers, round(model.total / settings.rounds / settings.trainer_tokens)))
     for number in range(settings.rounds if documents else 0):
         model.key = uuid.uuid4().hex
-        own = training.filter(F.pmod(F.xxhash64(F.lit(settings.seed), F.col(key)), F.lit(settings.rounds)) == number)
-        rows = own.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(
+        own = texts.filter(F.pmod("order", F.lit(settings.rounds)) == number).repartition(trainers, F.shiftright("order", 8))
+        rows = own.sortWithinPartitions("order", "text").select("text").mapInArrow(
             _train_round(model, settings), "block bigint, tokens bigint, values binary")
         blocks = rows.groupBy("block").applyInPandas(_average, "block bigint, values binary").collect()
         if blocks:

@@ -138,7 +138,7 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity score of every document."""
     docs = table(spark, folder, "documents")
     model = toxicity_model(spark, folder, docs)
-    rows = docs.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"),
+    rows = docs.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"),
                        toxicity.features(F.col("text"), model).alias("found"))
     rows = rows.select("doc_id", "held_out", toxicity.score(F.col("found"), model).alias("score"), "found.*")
     return rows.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
@@ -154,8 +154,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """Log-likelihood of every document; remainder 2 of 7 is held out."""
     docs = table(spark, folder, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    model, counts = lm.fit(docs, "doc_id", "text", ~F.coalesce(held_out, F.lit(False)))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    model, counts = lm.fit(docs, "doc_id", "text", ~held_out)
     return lm.score(docs, "doc_id", "text", model, counts).withColumn("held_out", held_out)
 
 
