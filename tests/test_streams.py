@@ -160,3 +160,38 @@ def test_dedup_stream_with_watermark(spark, tmp_path):
     (st.distinct_stream(stream, "k", "at", "1 day").writeStream.option("checkpointLocation", out + "/_c").option("path", out + "/rows")
      .format("parquet").trigger(availableNow=True).start().awaitTermination())
     assert sorted(r["k"] for r in spark.read.schema("k string, at timestamp").parquet(out + "/rows").collect()) == ["a", "b"]
+
+
+def test_state_is_evicted_and_late_rows_are_counted(spark, tmp_path):
+    """Hourly batches with a delay of two hours: the state holds the keys of a few hours only, and a late row is dropped and counted."""
+    feed, root = str(tmp_path / "feed"), str(tmp_path / "out")
+    stream = st.distinct_stream(spark.readStream.schema("k string, at timestamp").parquet(f"{feed}/*"), "k", "at", "2 hours")
+    sizes, late = [], 0
+    for hour in range(12):
+        rows = [(f"k{hour}-{i}", f"2024-01-01 {hour:02d}:00:00") for i in range(50)] + [("again", f"2024-01-01 {hour:02d}:00:00")]
+        if hour == 8:
+            rows.append(("late", "2024-01-01 01:00:00"))
+        spark.createDataFrame(rows, "k string, at string").withColumn("at", F.col("at").cast("timestamp")).write.parquet(f"{feed}/{hour}")
+        query = stream.writeStream.option("checkpointLocation", f"{root}/c").option("path", f"{root}/rows").trigger(availableNow=True).format("parquet").start()
+        query.awaitTermination()
+        size, dropped = st.state_and_late_rows(query)
+        sizes.append(size)
+        late += dropped
+    assert max(sizes) <= 5 * 51 and sizes[-1] <= 5 * 51 and sum(sizes) > 0
+    assert late == 1
+    got = [r["k"] for r in spark.read.schema("k string, at timestamp").parquet(f"{root}/rows").collect()]
+    assert got.count("again") == 3 and "late" not in got and len(set(got)) == 12 * 50 + 1 and len(got) == 12 * 50 + 3
+
+
+def test_merged_sketches_hold_their_ranks(spark):
+    from tidemark.operators import aggregates as agg
+
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("split"), (F.col("id") % 8).alias("day"),
+                                    F.when(F.col("id") < 10, None).otherwise(F.repeat(F.lit("x "), (F.col("id") % 997).cast("int"))).alias("text"))
+    sketches = agg.length_sketches(rows, "text", ["split", "day"])
+    assert sketches.count() == 16
+    for r in agg.merged_lengths(sketches, ["split"]).collect():
+        assert r["count"] == 1995
+        if r["unit"] == "chars":
+            assert abs(r["median"] - 997) < 60 and abs(r["p95"] - 1892) < 60
+    assert agg.merged_lengths(agg.length_sketches(rows.limit(0), "text", ["split"]), ["split"]).count() == 0

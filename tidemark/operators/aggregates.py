@@ -116,6 +116,22 @@ def length_summary(df: DataFrame, text: str, split: str = "split") -> DataFrame:
         F.max(s).alias("max"), F.percentile(s, 0.95, n).alias("p95"))
 
 
+def length_sketches(df: DataFrame, text: str, by: list[str], k: int = 800) -> DataFrame:
+    """Word and character lengths of each group as KLL sketches, to be stored per day or batch and merged later."""
+    sizes = F.explode(F.array(
+        F.struct(F.lit("words").alias("unit"), F.size(words(F.col(text))).cast("bigint").alias("size")),
+        F.struct(F.lit("chars").alias("unit"), F.length(text).cast("bigint").alias("size"))))
+    return df.filter(F.col(text).isNotNull()).select(*by, sizes.alias("u")).groupBy(*by, "u.unit").agg(
+        F.kll_sketch_agg_bigint("u.size", k).alias("sketch"))
+
+
+def merged_lengths(sketches: DataFrame, by: list[str], k: int = 800) -> DataFrame:
+    """``count, median, p95`` per group and unit from stored sketches; ranks are within 0.5 % at ``k`` 800."""
+    merged = sketches.groupBy(*by, "unit").agg(F.kll_merge_agg_bigint("sketch", k).alias("s"))
+    quantile = lambda q: F.kll_sketch_get_quantile_bigint("s", F.lit(q))
+    return merged.select(*by, "unit", F.kll_sketch_get_n_bigint("s").alias("count"), quantile(0.5).alias("median"), quantile(0.95).alias("p95"))
+
+
 # --- vocabulary ----------------------------------------------------------------
 
 def vocabulary(df: DataFrame, text: str, order: str, max_size: int = 30000, min_count: int = 2,

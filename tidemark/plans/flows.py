@@ -332,6 +332,29 @@ def _(t):
     return t.spark.read.schema(unique.schema).parquet(f"{root}/rows")
 
 
+@query("str2_evicting_dedup", """
+WITH RECURSIVE d AS (SELECT DISTINCT user_id, event_type, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 5 AS slice FROM events),
+r AS (SELECT user_id, event_type, min(slice) AS slice FROM d GROUP BY ALL
+  UNION ALL SELECT r.user_id, r.event_type, min(d.slice) FROM r JOIN d USING (user_id, event_type) WHERE d.slice >= r.slice + 3 GROUP BY r.user_id, r.event_type)
+SELECT user_id, event_type, CAST(slice AS INT) AS slice FROM r""")
+def _(t):
+    """Slices of five days arrive one by one. A key's state ends five days after its first row, once the watermark,
+    five days behind the latest slice, is there: three slices later the key is new again."""
+    feed, root = scratch_path(t.spark, "feed"), scratch_path(t.spark, "dedup")
+    days = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+    rows = t.events.select("user_id", "event_type", F.floor(days / 5).cast("int").alias("slice")).distinct().select(
+        "*", F.date_add(F.lit("2024-01-01").cast("date"), F.col("slice") * 5).cast("timestamp").alias("at"),
+        F.concat_ws("|", "user_id", "event_type").alias("k"))
+    rows = written(rows, "slices")
+    stream = st.distinct_stream(t.spark.readStream.schema(rows.schema).parquet(f"{feed}/*"), "k", "at", "5 days")
+    low, high = rows.agg(F.min("slice"), F.max("slice")).first()
+    for part in range(low, high + 1) if low is not None else []:
+        rows.filter(F.col("slice") == part).write.parquet(f"{feed}/{part}")
+        stream.select("user_id", "event_type", "slice").writeStream.option("checkpointLocation", f"{root}/_checkpoint").option(
+            "path", f"{root}/rows").trigger(availableNow=True).format("parquet").start().awaitTermination()
+    return t.spark.read.schema("user_id bigint, event_type string, slice int").parquet(f"{root}/rows")
+
+
 @query("str3_streaming_streak", "WITH " + STREAK_SQL)
 def _(t):
     """Drained in three micro-batches, each started anew from the checkpoint."""

@@ -20,8 +20,9 @@ from tidemark.operators import upsert as up
 from tidemark.operators import votes as vt
 from tidemark.functions import lexicon as lex
 from tidemark.functions.parse import naive_time, text_key
-from tidemark.functions.text import is_blank
+from tidemark.functions.text import is_blank, words
 from tidemark.plans.base import query
+from tidemark.session import written
 
 TODAY = date(2024, 1, 20)
 MODELS = ["ann_a", "ann_b", "ann_c"]
@@ -590,6 +591,25 @@ def _(t):
         {c: F.col(c).cast("bigint") for c in ("min", "max")})
 
 
+@query("agg17_merged_sketches", """
+SELECT lang AS split, unit, count(*) AS count, true AS median_holds, true AS p95_holds
+FROM (SELECT lang, unnest(['words', 'chars']) AS unit FROM documents WHERE text IS NOT NULL) GROUP BY ALL""")
+def _(t):
+    """Sketches are stored per source and merged per language; their exact ranks are then counted."""
+    stored = written(agg.length_sketches(t.documents, "text", ["lang", "source"]), "length-sketches")
+    found = agg.merged_lengths(stored, ["lang"])
+    sizes = t.documents.filter("text IS NOT NULL").select("lang", F.explode(F.array(
+        F.struct(F.lit("words").alias("unit"), F.size(words(F.col("text"))).alias("size")),
+        F.struct(F.lit("chars").alias("unit"), F.length("text").alias("size")))).alias("u")).groupBy("lang", "u.unit", "u.size").count()
+    both = sizes.join(found.withColumnRenamed("count", "n"), ["lang", "unit"])
+
+    def holds(name: str, q: float):
+        below, upto = (F.sum(F.when(c, F.col("count")).otherwise(0)) for c in (F.col("size") < F.col(name), F.col("size") <= F.col(name)))
+        return ((below <= (q + 0.01) * F.max("n")) & (upto >= (q - 0.01) * F.max("n"))).alias(f"{name}_holds")
+
+    return both.groupBy(F.col("lang").alias("split"), "unit").agg(F.max("n").alias("count"), holds("median", 0.5), holds("p95", 0.95))
+
+
 @query("agg18_class_weights", """
 WITH k AS (SELECT unnest([0, 1, 2]) AS label_id)
 SELECT label_id, count(doc_id) AS n, round((SELECT count(*) FROM documents) / (3 * greatest(count(doc_id), 1))::DOUBLE, 9) AS weight

@@ -81,6 +81,16 @@ def distinct_stream(stream: DataFrame, key: str, event_time: str | None = None,
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
+def state_and_late_rows(query: StreamingQuery) -> tuple[int, int]:
+    """Rows in the state after the last micro-batch, and rows that came after the watermark and were dropped, by the query's progress."""
+    last, late = 0, 0
+    for progress in query.recentProgress:
+        for operator in progress.stateOperators:
+            last = operator.numRowsTotal
+            late += operator.numRowsDroppedByWatermark
+    return last, late
+
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
