@@ -182,3 +182,18 @@ def test_schedules():
     assert st.next_run("hours:4", now) == datetime(2024, 1, 2, 2, 30)
     with pytest.raises(ValueError):
         st.next_run("daily:soon", now)
+
+
+def test_text_classifier_is_selected_on_validation(spark):
+    from tidemark.operators import models as md
+
+    texts = ["tệ quá kém", "bình thường thôi", "tuyệt vời tốt"]
+    rows = spark.createDataFrame([(i, f"{texts[i % 3]} w{i % 7}", i % 3) for i in range(90)], "id int, text string, y int")
+    train, val = rows.filter("id % 4 <> 0"), rows.filter("id % 4 = 0")
+    model, table = md.select_text(train, val, "text", "y", (100.0, 1e-3), max_iter=20)
+    tried = {r["reg_param"]: (r["f1"], r["chosen"]) for r in table.collect()}
+    assert set(tried) == {100.0, 1e-3} and tried[1e-3] == (1.0, True) and not tried[100.0][1]
+    found = md.predict(model, val, {0: "a", 1: "b", 2: "c"}, text="text")
+    assert found.filter("pred_label_id <> y").count() == 0
+    with pytest.raises(ValueError):
+        md.select_text(train, val.limit(0), "text", "y", (1e-3,), max_iter=2)

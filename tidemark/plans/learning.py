@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.functions import vectors as vec
+from tidemark.operators import aggregates as agg
 from tidemark.operators import evaluation as ev
 from tidemark.operators import models as md
 from tidemark.operators import splits as sp
 from tidemark.functions.lexicon import LABEL_NAMES_VI
 from tidemark.plans.base import query
-from tidemark.plans.relational import METRICS, metrics_sql
+from tidemark.plans.relational import METRICS, VOCAB_SQL, metrics_sql
 from tidemark.plans.text import squash_sql
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, written
 
 
 @query("m1_words", f"""
@@ -122,6 +124,24 @@ def _(t):
     return md.evaluate(scored, "label_id")
 
 
+@query("m8_selected_text_classifier", """
+SELECT count(*) AS documents, 3 AS tried, 1 AS chosen, true AS best_chosen, true AS beats_majority, true AS sums_to_one FROM documents""")
+def _(t):
+    """The penalty is selected on the validation split; what holds for any sound fit is compared."""
+    texts = t.documents.select("doc_id", "text", F.expr("CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 2 END").alias("label_id"))
+    split = written(sp.stratified_split(texts, "doc_id", "label"), "split")
+    model, table = md.select_text(split.filter("split = 'train'"), split.filter("split = 'val'"), "text", "label_id", (1e-3, 1e-1, 10.0), max_vocab=2000, max_iter=10)
+    scored = md.predict(model, split, LABEL_NAMES_VI, text="text")
+    right = F.avg(F.when(F.col("split") == "test", (F.col("pred_label_id") == F.col("label_id")).cast("int")))
+    shares = F.greatest(*[F.avg(F.when(F.col("split") == "test", (F.col("label_id") == c).cast("int"))) for c in range(3)])
+    total = F.aggregate("probabilities", F.lit(0.0), lambda x, y: x + y)
+    held = scored.agg(F.count("*").alias("documents"), (right > shares).alias("beats_majority"), F.bool_and(F.abs(total - 1) < 1e-9).alias("sums_to_one"))
+    tried = table.collect()  # one row a penalty
+    best = max(r["f1"] for r in tried)
+    return held.select("*", F.lit(len(tried)).alias("tried"), F.lit(sum(r["chosen"] for r in tried)).alias("chosen"),
+                       F.lit(all(r["f1"] == best for r in tried if r["chosen"])).alias("best_chosen"))
+
+
 @query("m9_test_predictions")
 def _(t):
     data = _vectors(t)
@@ -176,3 +196,19 @@ def _(t):
         return run
 
     return md.score_foreign(t.embeddings, "embedding", make_predict, 64, 3).select("vec_id", "pred_label_id")
+
+
+@query("m10_network_from_file", "WITH " + VOCAB_SQL + """,
+h AS (SELECT doc_id, pos, coalesce(id, 1) AS id FROM tok LEFT JOIN voc USING (token) WHERE pos <= 64),
+g AS (SELECT doc_id, list(id ORDER BY pos) AS x FROM h GROUP BY doc_id),
+hidden AS (SELECT doc_id, list_transform(range(8), lambda j: greatest(0, list_sum(list_transform(range(len(x)), lambda i: ((i * 7 + j * 13) % 11 - 5) * x[i + 1])))) AS y FROM g),
+scores AS (SELECT doc_id, list_transform(range(3), lambda c: list_sum(list_transform(range(8), lambda j: ((j * 5 + c * 3) % 7 - 3) * y[j + 1]))) AS s FROM hidden)
+SELECT doc_id, CAST(list_position(s, list_max(s)) - 1 AS INT) AS pred_label_id FROM scores""")
+def _(t):
+    """Token ids of every document through a saved two-layer network."""
+    path = scratch_path(t.spark, "network")
+    i, j, c = np.arange(64)[:, None], np.arange(8), np.arange(3)
+    md.save_network(path, (i * 7 + j * 13) % 11 - 5.0, (j[:, None] * 5 + c * 3) % 7 - 3.0)
+    vocab = agg.vocabulary(t.documents, "text", "doc_id", max_size=500)
+    ids = agg.encode(t.documents, "doc_id", "text", vocab, 64)
+    return md.score_foreign(ids, "ids", md.network_from_file(path), 64, 3).select("doc_id", "pred_label_id")
