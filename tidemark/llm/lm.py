@@ -10,7 +10,7 @@ weighted by tokens. So the weights see every training document once, and what
 comes to the driver is one set of weights a round, whatever the input. The
 number of trainers follows from the tokens, and hashes of id and text deal the
 documents to them and order them there, so the files and partitions of the
-input make no difference to the model.
+input decide neither how many trainers there are nor what each of them sees.
 
 Counts of the ``frequent`` most frequent words are broadcast (a fixed size);
 counts of all others are joined by word, as rows of words of a document.
