@@ -80,6 +80,12 @@ def test_anonymize(value):
         "thông báo về vi phạm nguyên tắc cộng đồng", "[NAME] trường", "[NAME] [NAME] hi", "cô lê là ai", None]
 
 
+def test_titles_inside_masked_names(value):
+    given = ["Dem Dem Dem Dem Dem Dem Dem Dem ersch", "anh Nam Anh Tuan Le Van", "cô nguyễn thị em lê văn an", 'thầy "lê văn an" ở', "cô nguyễn và bạn", None]
+    assert value(an.mask_titled_names, given) == [
+        "Dem [NAME] Dem [NAME] ersch", "anh [NAME] Van", "cô [NAME] lê văn an", 'thầy [NAME]" ở', "cô nguyễn và bạn", None]
+
+
 def test_span_merge(value):
     spans = lambda *s: F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in s])
     text = ["Hùng Minh môn hay"]

@@ -70,6 +70,23 @@ def _honorific_spans(text: Column) -> Column:
     return F.filter(F.transform(ends, span), lambda s: s["end"] > s["start"])
 
 
+def mask_titled_names(text: Column, mask: str = lex.NAME_TAG) -> Column:
+    """Mask the names after an honorific from left to right, capitalised runs first.
+
+    A title inside a name that is masked already is part of that name, unlike in
+    ``honorific_spans``, where it begins a span of its own that joins the other's.
+    """
+    title = rf"(?U)({any_caseless(lex.HONORIFICS)})\b"
+    letter, family = r"[^\W\d_]", any_caseless([s.lower() for s in lex.SURNAMES])
+    stop = any_caseless(lex.FUNCTION_WORDS)
+    run = rf"[{lex.NAME_UPPER}]{_WORD}(?:\s+[{lex.NAME_UPPER}]{_WORD}){{0,3}}"
+    follow = rf"\s+(?!{stop}(?!{letter})){letter}+"
+    return replace_all(text, [
+        (rf"{title}(\s+){run}", f"$1$2{mask}"),
+        (rf"{title}(\s*+)[\W\d_]*+{family}(?!{letter})(?:{follow}){{1,2}}", f"$1$2{mask}"),
+    ])
+
+
 def token_honorific_phrases(tokens: Column) -> Column:
     """Names after an honorific token in ``array<struct<token,tag>>``.
 
