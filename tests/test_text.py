@@ -84,6 +84,8 @@ def test_titles_inside_masked_names(value):
     given = ["Dem Dem Dem Dem Dem Dem Dem Dem ersch", "anh Nam Anh Tuan Le Van", "cô nguyễn thị em lê văn an", 'thầy "lê văn an" ở', "cô nguyễn và bạn", None]
     assert value(an.mask_titled_names, given) == [
         "Dem [NAME] Dem [NAME] ersch", "anh [NAME] Van", "cô [NAME] lê văn an", 'thầy [NAME]" ở', "cô nguyễn và bạn", None]
+    assert value(lambda c: an.anonymize(c, in_order=True), given[:2]) == ["Dem [NAME] Dem [NAME] ersch", "anh [NAME] Van"]
+    assert value(an.anonymize, given[:2]) == ["Dem [NAME] ersch", "anh [NAME]"]
 
 
 def test_span_merge(value):

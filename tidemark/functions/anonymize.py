@@ -171,13 +171,19 @@ def _replace_spans(text: Column, spans: Column, mask: str, bridge_gaps: bool) ->
 
 
 def anonymize(text: Column, ner_spans: Column | None = None, mask: str = lex.NAME_TAG,
-              bridge_gaps: bool = True) -> Column:
+              bridge_gaps: bool = True, in_order: bool = False) -> Column:
     """Mentions, then honorific and recogniser spans, then a name at the start.
 
-    ``ner_spans`` are offsets into the text after ``mask_mentions``.
+    ``ner_spans`` are offsets into the text after ``mask_mentions``. With
+    ``in_order`` (and no ``ner_spans``) honorific names are masked from left to
+    right by ``mask_titled_names``; else overlapping spans are one.
     """
+    if in_order and ner_spans is not None:
+        raise ValueError("recogniser spans are joined with honorific spans; they have no order")
 
     def mask_names(masked: Column) -> Column:
+        if in_order:
+            return mask_titled_names(masked, mask)
         spans = honorific_spans(masked)
         if ner_spans is not None:
             spans = F.concat(spans, F.coalesce(ner_spans, F.array().cast(SPANS)))
