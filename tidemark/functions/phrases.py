@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import regex
@@ -19,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tidemark.functions.batches import map_texts, slices
 from tidemark.functions.normalize import after_abbreviations, before_hashtags, unicodedata_key
 from tidemark.session import file_system, scratch_path
 
@@ -100,10 +100,10 @@ def phrase_replacer(entries: DataFrame, max_bytes: int = 64 << 20) -> Callable[[
     """
     path = _saved(entries.select("source", "target"), "phrases", max_bytes)
 
-    @F.pandas_udf(StringType())
-    def replace(text: pd.Series) -> pd.Series:
+    @F.arrow_udf(StringType())
+    def replace(text: pa.Array) -> pa.Array:
         trie = _trie(path)
-        return text.map(lambda t: replace_phrases(t, trie), na_action="ignore")
+        return map_texts(text, lambda t: replace_phrases(t, trie))
 
     return replace
 
@@ -112,10 +112,10 @@ def hashtag_resolver(noise: DataFrame, tag: str = "tag", max_bytes: int = 64 <<
     """A column function: hashtags of the table vanish, others become their words; case and accents don't count."""
     path = _saved(noise.select(F.col(tag).alias("tag")), "hashtags", max_bytes)
 
-    @F.pandas_udf(StringType())
-    def resolve(text: pd.Series) -> pd.Series:
+    @F.arrow_udf(StringType())
+    def resolve(text: pa.Array) -> pa.Array:
         banned = _tags(path)
-        return text.map(lambda t: resolve_tags(t, banned), na_action="ignore")
+        return map_texts(text, lambda t: resolve_tags(t, banned))
 
     return resolve
 
@@ -133,8 +133,10 @@ def preprocess_rows(rows: DataFrame, text: str, target: str, entries: DataFrame,
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, banned = _trie(phrases), _tags(tags)
         for batch in batches:
-            done = [replace_phrases(_RUN.sub(r"\1", resolve_tags(t, banned)), trie) for t in batch.column(place).to_pylist()]
-            yield batch.set_column(place, target, pa.array(done, batch.schema.field(place).type))
+            for a, b in slices(batch.column(place)):
+                part = batch.slice(a, b - a)
+                done = map_texts(part.column(place), lambda t: replace_phrases(_RUN.sub(r"\1", resolve_tags(t, banned)), trie))
+                yield part.set_column(place, target, done)
 
     done = ready.mapInArrow(replace, ready.schema)
     return done.withColumn(target, after_abbreviations(F.col(target)))
