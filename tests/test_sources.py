@@ -40,6 +40,21 @@ def test_long_values_and_many_files(spark, tmp_path):
     assert {r["id"]: r["n"] for r in got} == {i: 3_000_000 if i == 7 else 1 for i in range(40)}
 
 
+@pytest.mark.parametrize("encoding, letter", [("utf-8", "đ"), ("cp1258", "đ"), ("latin-1", "\x8d")])
+def test_rows_longer_than_a_block_and_bounded_memory(tmp_path, encoding, letter):
+    values = [letter * n for n in (3, 5_000_000, 7, 0, 200, 9_000_000, 1)] + ["y" * 1000 + "\n"] * 40_000
+    with open(tmp_path / "a.csv", "w", encoding=encoding, newline="") as sink:
+        sink.write("id,v\n")
+        for i, v in enumerate(values):
+            sink.write(f'{i},"{v}"\n')
+    got, most = [], 0
+    for batch in src._csv_rows(str(tmp_path / "a.csv"), {"id": ["id"], "v": ["v"]}):
+        got += [(int(i), len(v)) for i, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist())]
+        most = max(most, batch.nbytes)
+    assert got == [(i, len(v)) for i, v in enumerate(values)]
+    assert most < 9 * src.BLOCK
+
+
 def ids(folder):
     rows = folder.pending()
     return sorted(r["id"] for r in rows.collect()), rows

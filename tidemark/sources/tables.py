@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 import json
@@ -47,7 +48,7 @@ def read_csv_any_encoding(spark: SparkSession, path: str, schema: str | StructTy
     """The CSV files of a folder, each in its own encoding and with its own header.
 
     Spark lists the files and deals them to tasks; each task opens its files,
-    one at a time and whole, and finds the encoding and the header there: UTF-8,
+    one at a time and block by block, and finds the encoding and the header there: UTF-8,
     with or without a byte-order mark, else windows-1258, else (bytes that has
     no character for) ISO-8859-1. Columns of ``schema`` are found by name, in
     any order, or by the first of their other ``names`` that the header holds.
@@ -62,9 +63,7 @@ def read_csv_any_encoding(spark: SparkSession, path: str, schema: str | StructTy
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file in batch.column("path").to_pylist():
-                system, place = file_system(file)
-                with system.open_input_file(place) as source:
-                    yield from _csv_rows(file, source.readall(), options)
+                yield from _csv_rows(file, options)
 
     # Paths only: a batch of contents could hold thousands of files.
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path).select(F.col("_metadata.file_path").alias("path"))
@@ -75,39 +74,95 @@ def _struct(spark: SparkSession, schema: str | StructType) -> StructType:
     return schema if isinstance(schema, StructType) else spark.createDataFrame([], schema).schema
 
 
-def decoded(content: bytes) -> str:
-    """Text of a file in UTF-8, else windows-1258, else ISO-8859-1."""
-    for encoding in ("utf-8-sig", "cp1258"):
-        try:
-            return content.decode(encoding)
-        except UnicodeDecodeError:
-            pass
-    return content.decode("latin-1")
-
-
-def _csv_rows(file: str, content: bytes, options: Mapping[str, Sequence[str]]) -> Iterator[pa.RecordBatch]:
-    text = decoded(content).encode()
-    if not text.strip():
+BLOCK = 4 << 20  # bytes of a file that are parsed at a time; more where one row is longer
+
+
+def encoding_of(source) -> str | None:
+    """UTF-8, else windows-1258, else ISO-8859-1, by a file's bytes, read piece by piece; None of a blank file."""
+    tried, text, blank = codecs.getincrementaldecoder("utf-8-sig")(), "utf-8", True
+    while True:
+        piece = source.read(BLOCK)
+        blank = blank and not piece.removeprefix(codecs.BOM_UTF8).strip()
+        if text == "utf-8":
+            try:
+                tried.decode(piece, not piece)
+            except UnicodeDecodeError:
+                source.seek(0)
+                text = "cp1258"
+                continue
+        elif text == "cp1258":
+            try:
+                piece.decode("cp1258")
+            except UnicodeDecodeError:
+                return "latin-1"  # such bytes are not blank
+        if not piece:
+            return None if blank else text
+
+
+class _Recoded(io.RawIOBase):
+    """A file read as UTF-8; it is in that or in a single-byte encoding."""
+
+    def __init__(self, source, encoding: str):
+        self.source, self.encoding, self.rest = source, encoding, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def read(self, size: int = -1) -> bytes:
+        while size < 0 or len(self.rest) < size:
+            piece = self.source.read(BLOCK)
+            if not piece:
+                break
+            self.rest += piece if self.encoding == "utf-8" else piece.decode(self.encoding).encode()
+        size = len(self.rest) if size < 0 else size
+        found, self.rest = self.rest[:size], self.rest[size:]
+        return found
+
+    read1 = read
+
+    def close(self) -> None:
+        self.source.close()
+        super().close()
+
+
+def _csv_rows(file: str, options: Mapping[str, Sequence[str]]) -> Iterator[pa.RecordBatch]:
+    system, place = file_system(file)
+    with system.open_input_file(place) as source:
+        encoding = encoding_of(source)
+    if encoding is None:
         return
+    opened = lambda: _Recoded(system.open_input_file(place), encoding)
     try:
-        reader = pacsv.open_csv(
-            pa.BufferReader(text), pacsv.ReadOptions(block_size=max(1 << 20, min(len(text), 1 << 30))), pacsv.ParseOptions(newlines_in_values=True),
-            pacsv.ConvertOptions(column_types={n: pa.string() for n in _header(text)}, strings_can_be_null=True, quoted_strings_can_be_null=False, null_values=[""]))
-        found = reader.schema.names
-        columns = [next((n for n in other if n in found), None) for other in options.values()]
+        with io.TextIOWrapper(opened(), "utf-8-sig", newline="") as lines:
+            header = next(csv.reader(lines), [])
+        columns = [next((n for n in other if n in header), None) for other in options.values()]
         if None in columns:
             missing = [name for name, c in zip(options, columns) if c is None]
-            raise ValueError(f"no column for {missing}; the header is {found}")
-        for batch in reader:
-            yield pa.RecordBatch.from_arrays([batch.column(found.index(c)) for c in columns], names=list(options))
+            raise ValueError(f"no column for {missing}; the header is {header}")
+        done, block = 0, BLOCK
+        while block:
+            # Arrow reads ahead in a thread of its own, so each attempt has its own file.
+            try:
+                with pacsv.open_csv(
+                        pa.PythonFile(opened(), "r"), pacsv.ReadOptions(block_size=block, use_threads=False), pacsv.ParseOptions(newlines_in_values=True),
+                        pacsv.ConvertOptions(column_types={n: pa.string() for n in header}, strings_can_be_null=True, quoted_strings_can_be_null=False, null_values=[""])) as reader:
+                    seen = 0
+                    for batch in reader:
+                        new = batch.slice(min(max(done - seen, 0), batch.num_rows))
+                        seen += batch.num_rows
+                        if new.num_rows:
+                            done = seen
+                            yield pa.RecordBatch.from_arrays([new.column(header.index(c)) for c in columns], names=list(options))
+                block = 0
+            except pa.ArrowInvalid as fault:
+                # A row longer than the block: again with larger ones, from the first row that is not given yet.
+                if "straddl" not in str(fault) or block >= 1 << 30:
+                    raise
+                block = min(8 * block, 1 << 30)
     except (pa.ArrowInvalid, ValueError) as fault:
         raise ValueError(f"{file}: {fault}") from fault
 
 
-def _header(text: bytes) -> list[str]:
-    return next(csv.reader(io.TextIOWrapper(io.BytesIO(text), "utf-8", newline="")), [])
-
-
 def read_label_folder(spark: SparkSession, path: str, first: str = "3.5 Flash", second: str = "3.1 Pro",
                       marker: str = "_v2") -> DataFrame:
     """Label files whose name, or folder below ``path``, tells the model: ``marker`` is the second.
