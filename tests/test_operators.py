@@ -197,3 +197,20 @@ def test_text_classifier_is_selected_on_validation(spark):
     assert found.filter("pred_label_id <> y").count() == 0
     with pytest.raises(ValueError):
         md.select_text(train, val.limit(0), "text", "y", (1e-3,), max_iter=2)
+
+
+def test_row_numbers_carry_no_texts(spark):
+    from tidemark.operators.columns import with_row_id
+
+    rows = [(i, "b" if i % 3 else None, "x" * 10, " " if i % 2 else f"{i}.0") for i in range(0, 3_000_000, 100_000)]
+    df = spark.createDataFrame(rows, "o long, sheet string, text string, id string")
+    got = {r["o"]: (r["row_id"], r["text"]) for r in with_row_id(df, "id", "o", ["sheet"]).collect()}
+    seen = {}
+    for o, sheet, text, own in rows:
+        seen[sheet] = seen.get(sheet, 0) + 1
+        assert got.pop(o) == (own.removesuffix(".0") if own.strip() else str(seen[sheet]), text)
+    assert not got
+    plan = with_row_id(df, "id", "o", ["sheet"])._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if " Window " in line or line.startswith("Window ")]
+    assert windows and not any("text" in line for line in windows)
+    assert all("text" not in line for line in plan[plan.index("Window "):].splitlines() if "LogicalRDD" not in line and "Project" in line)
