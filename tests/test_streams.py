@@ -195,3 +195,20 @@ def test_merged_sketches_hold_their_ranks(spark):
         if r["unit"] == "chars":
             assert abs(r["median"] - 997) < 60 and abs(r["p95"] - 1892) < 60
     assert agg.merged_lengths(agg.length_sketches(rows.limit(0), "text", ["split"]), ["split"]).count() == 0
+
+
+def test_feed_is_written_by_many_tasks(spark, monkeypatch):
+    import glob
+    from types import SimpleNamespace
+
+    from tidemark.plans import flows
+    from tidemark.plans.base import Tables
+
+    feeds, files = [], []
+    monkeypatch.setattr(flows.st, "read_batch_stream", lambda s, path, n=100: feeds.append(path))
+    monkeypatch.setattr(flows.st, "start_ingest", lambda *a: SimpleNamespace(
+        awaitTermination=lambda: files.append(len(glob.glob(f"{feeds[-1]}/*.json")))))
+    monkeypatch.setattr(flows, "written", lambda df, name: df.repartition(4))
+    flows._drained_store(Tables(spark, "/root/testdata/sf0.01"))
+    # Three parts, one after the other, each in several files.
+    assert len(files) == 3 and files[0] >= 2 and files[1] >= files[0] + 2 and files[2] >= files[1] + 3

@@ -284,13 +284,16 @@ def _(t):
 # --- streams ---------------------------------------------------------------------------
 
 def _drained_store(t) -> ChangeStore:
-    """Write the batches as JSON, twice, and drain them through the ingest stream in several micro-batches."""
+    """Write the batches as JSON, twice, and drain them through the ingest stream in several micro-batches.
+
+    Each part is as many files as it has tasks, of bounded size, and one or more micro-batches.
+    """
     feed, root = scratch_path(t.spark, "feed"), scratch_path(t.spark, "store")
     made = written(batches(t).drop("arrival"), "batches")
-    for part in (made.filter("substring(batch_id, -1, 1) < '5'"), made.filter("substring(batch_id, -1, 1) >= '5'"), made):
-        part.coalesce(1).write.mode("append").json(feed)
     store = ChangeStore(t.spark, root)
-    st.start_ingest(st.read_batch_stream(t.spark, feed, 1), store, f"{root}/_checkpoint").awaitTermination()
+    for part in (made.filter("substring(batch_id, -1, 1) < '5'"), made.filter("substring(batch_id, -1, 1) >= '5'"), made):
+        part.write.mode("append").json(feed)
+        st.start_ingest(st.read_batch_stream(t.spark, feed, 1000), store, f"{root}/_checkpoint").awaitTermination()
     return store
 
 
