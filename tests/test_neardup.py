@@ -67,3 +67,16 @@ def test_band_values_are_equal_in_proportion(spark):
     got = df.select(nd.band_values(F.col("a")).alias("a"), nd.band_values(F.col("b")).alias("b"), nd.band_values(F.col("c")).alias("c")).agg(
         F.count_if(share("a", "b")).alias("near"), F.count_if(share("a", "c")).alias("far")).first()
     assert got["near"] == 300 and got["far"] < 40
+
+
+def test_only_sets_in_pairs_move(spark, monkeypatch):
+    from tidemark.operators import neardup as nd
+
+    sets = spark.createDataFrame([(i, list(range(i, i + 20 - i % 2))) for i in range(200)], "class long, hashes array<long>")
+    pairs = spark.createDataFrame([(2, 1), (9, 8), (150, 7)], "a long, b long")
+    want = {(2, 1): False, (9, 8): True, (150, 7): False}
+    found = nd._similar(pairs, sets, 9, 10)
+    assert {(r["a"], r["b"]): r["similar"] for r in found.collect()} == want
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(nd, "FEW", 2)  # too many to broadcast: all sets move, with the same result
+    assert {(r["a"], r["b"]): r["similar"] for r in nd._similar(pairs, sets, 9, 10).collect()} == want

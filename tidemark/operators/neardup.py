@@ -25,6 +25,7 @@ from tidemark.functions.regex import let
 from tidemark.session import written
 
 BANDS, ROWS = 20, 5
+FEW = 2_000_000
 
 
 def shingles(text: Column, words: int = 5) -> Column:
@@ -62,7 +63,14 @@ def band_values(hashes: Column, bands: int = BANDS, rows: int = ROWS, seed: int
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``a, b`` of classes with ``similar``; sizes that rule it out are not compared."""
+    """The written pairs ``a, b`` of classes with ``similar``; sizes that rule it out are not compared.
+
+    Few classes are in any pair, and only their sets move: up to ``FEW`` classes are
+    broadcast, as 64-bit hashes, to where the sets are read.
+    """
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).select(F.xxhash64("class").alias("c")).distinct(), "shingle-wanted")
+    few = wanted.count() <= FEW
+    sets = sets.join(F.broadcast(wanted), F.xxhash64("class") == F.col("c"), "left_semi") if few else sets
     left = sets.select(F.col("class").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("class").alias("b"), F.col("hashes").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
@@ -90,11 +98,13 @@ def near_duplicates(df: DataFrame, key: str, text: str, num: int = 9, den: int =
     banded = written(banded, "shingle-bands")
     first = banded.groupBy("band", "value").agg(F.min("class").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = written(banded.withColumnRenamed("class", "a").join(first, ["band", "value"]), "shingle-buckets")
-    led = written(_similar(buckets.filter("a <> b").select("a", "b").distinct(), sets, num, den), "shingle-leaders")
+    leaders = written(buckets.filter("a <> b").select("a", "b").distinct(), "shingle-pairs")
+    led = written(_similar(leaders, sets, num, den), "shingle-leaders")
     known = led.filter("similar").groupBy("a").agg(F.min("b").alias("least"))
     open_ = buckets.filter("n > 2").join(led.filter("NOT similar").select("a", "b"), ["a", "b"]).join(known, "a", "left")
     others = banded.withColumnRenamed("class", "c").join(open_, ["band", "value"])
     others = others.filter((F.col("c") > F.col("b")) & (F.col("c") < F.coalesce("least", "a"))).select("a", F.col("c").alias("b")).distinct()
+    others = written(others, "shingle-pairs")
     more = _similar(others, sets, num, den).filter("similar").select("a", "b")
     least = led.filter("similar").select("a", "b").unionByName(more).groupBy("a").agg(F.min("b").alias("b"))
     linked = sets.select(F.col("class").alias("a")).join(least, "a", "left").select("a.h", "a.g", F.least("a", F.coalesce("b", "a")).alias("f"))
