@@ -209,6 +209,30 @@ def test_suffix_dedup_of_shifted_passages(spark, monkeypatch):
     assert Counter((r["doc_id"], r["n_bytes"], r["kept_sha256"], tuple((s["start"], s["stop"]) for s in r["spans"])) for r in got) == brute_dedup(rows, 64)
 
 
+def test_comparing_across_buckets_takes_few_rows_a_span(spark, monkeypatch):
+    """Many near copies of one passage: rows follow from the edits, not from the number of windows."""
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 20000)
+    taken, keep = [], suffixes.written
+
+    def counted(frame, name):
+        made = keep(frame, name)
+        if name in ("suffix-windows", "suffix-ranges"):
+            taken.append(made.count())
+        return made
+
+    monkeypatch.setattr(suffixes, "written", counted)
+    rng = random.Random(9)
+    passage = prose(rng, 300).split()
+    rows = []
+    for i in range(200):
+        copy = list(passage)
+        copy[rng.randrange(len(copy))] = f"w{i}"
+        rows.append((i, " ".join(copy)))
+    got = suffixes.dedup(sample(spark, rows), "doc_id", "text", 400).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["kept_sha256"], tuple((s["start"], s["stop"]) for s in r["spans"])) for r in got) == brute_dedup(rows, 400)
+    assert 0 < sum(taken) < 20 * len(rows), taken
+
+
 def test_offset_ranges_cover_every_distance():
     for length in (1, 2, 5, 12, 13, 64, 400):
         top = length - suffixes.gram_size(length) + 1
