@@ -294,6 +294,21 @@ def test_perplexity_is_a_distribution_and_rejects_noise(spark):
     assert not kept[1000] and sum(kept.values()) >= 147
 
 
+def test_characters_are_told_apart(spark):
+    """Each byte counts as it is, and a text is no evidence for itself: random digits and letters of any script are rejected."""
+    data = np.frombuffer("aé \n日".encode(), np.uint8)
+    bounds = np.array([0, 3, 3, len(data)])
+    want = [(b" " * 5 + t[:i + 1])[-5:] for t in ("aé".encode(), " \n日".encode()) for i in range(len(t))]
+    assert [int(g).to_bytes(5, "big") for g in quality.byte_grams(data, bounds)] == want
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 80), "en") for i in range(150)]
+    for i, letters in enumerate(["0123456789", "".join(map(chr, range(0x410, 0x450))), "abcdefghijklmnopqrstuvwxyz"] * 3):
+        rows.append((1000 + i, " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(80)), "en"))
+    table = sample(spark, rows)
+    kept = {r["doc_id"]: r["k"] for r in table.select("doc_id", quality.quality(F.col("text"), F.col("lang"), quality.fit(table))["kept"].alias("k")).collect()}
+    assert not any(k for i, k in kept.items() if i >= 1000) and sum(kept.values()) >= 147
+
+
 def test_levenshtein_matches_agree_with_distance():
     def distance(a, b):
         row = list(range(len(b) + 1))

@@ -1,14 +1,15 @@
 """Quality rules: word statistics, and perplexity bands of an n-gram model per language.
 
-The model is a modified Kneser-Ney trigram model over character classes (letters
-without case, digits, marks, hashed classes beyond ASCII; 64 in all). Spark
-counts the trigrams of every whole text; the lower orders' continuation counts
-and the counts of counts for the three discounts are Spark aggregates of these.
-The model is kept as sorted arrays of n-gram hashes (the packed classes) with
-log probabilities, at most 64^3 entries for a language. Its bands are the
-median perplexity of the language's documents, in log10, plus and minus a
-multiple of the quartile distance, wider for short texts, whose mean varies
-more; texts outside are rejected.
+The model is a modified Kneser-Ney model of n-grams of ``ORDER`` UTF-8 bytes, so
+every character of every script counts as it is. Spark counts the n-grams of every
+whole text; the lower orders' continuation counts are Spark aggregates of these.
+The model is kept and looked up as sorted arrays of n-grams (the packed bytes)
+and of their contexts, with log probabilities and back-off weights; it grows with
+the distinct n-grams of a language. n-grams of one document only are left to the
+lower orders, as each text is scored by a model that has counted it. Its bands are the median perplexity of the
+language's documents, in log10 a character, plus and minus a multiple of the
+quartile distance, wider for short texts, whose mean varies more; texts outside
+are rejected.
 
 The ``max_languages`` - 1 most frequent languages (by documents, ties by code)
 have a model of their own, all others share one.
@@ -21,15 +22,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.worker import keep
 from tidemark.llm.words import SEPARATOR, Words, grams, segments
 from tidemark.session import written
 
-CLASSES = 64
+CLASSES = 256  # values of a byte
+ORDER = 5  # bytes of an n-gram
+HELD = 2_000_000  # n-grams that a task counts before it hands them on
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 OTHER = "*"
@@ -37,38 +41,31 @@ RESULT = ("struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:
           "log_perplexity:double,base_failed:boolean,kept:boolean>")
 
 
-def class_table() -> np.ndarray:
-    """Class of each code point below 128: 0 white space, 1-26 letters, 27 digits, 28-39 marks."""
-    made = np.zeros(128, np.uint32)
-    for c in range(33, 128):
-        ch = chr(c).lower()
-        made[c] = 1 + ord(ch) - 97 if "a" <= ch <= "z" else 27 if ch.isdigit() else {".": 28, ",": 29, "!": 30, "?": 30}.get(ch, 31 + c % 9)
+def byte_grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The ``ORDER`` bytes that end at each byte, as one number; texts begin after white space."""
+    row = np.repeat(offsets[:-1], np.diff(offsets))
+    into = np.arange(len(data)) - row  # bytes of the text before
+    made = data.astype(np.int64)
+    for back in range(1, ORDER):
+        one = np.full(len(data), ord(" "), np.int64)
+        one[back:] = data[:-back]
+        one[into < back] = ord(" ")
+        made += one << 8 * back
     return made
 
 
-_ASCII = class_table()
+def characters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Code points of each row."""
+    return np.diff(np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets])
 
 
-def classes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the code points of UTF-8 bytes, and the rows' bounds among them."""
-    first = (data & 0xC0) != 0x80
-    before = np.concatenate([[0], np.cumsum(first)])
-    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    wide = points >= 128
-    found = _ASCII[np.where(wide, 0, points)]
-    found[wide] = 40 + (points[wide] * np.uint32(2654435761) >> np.uint32(16)) % 24
-    return found, before[offsets]
-
-
-def trigrams(found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Packed class trigram that ends at each code point; texts begin after two white spaces."""
-    one, two = np.zeros_like(found), np.zeros_like(found)
-    one[1:], two[2:] = found[:-1], found[:-2]
-    starts = bounds[:-1][np.diff(bounds) > 0]
-    one[starts] = two[starts] = 0
-    after = starts + 1
-    two[after[after < len(two)]] = 0
-    return two * (CLASSES * CLASSES) + one * CLASSES + found
+def numbered(w: Words, langs: list) -> tuple[list, np.ndarray, np.ndarray]:
+    """Languages of the rows, each byte's n-gram as a number, and the numbers' n-grams, with the place of their language above the ``ORDER`` bytes."""
+    names = sorted(set(langs))
+    place = {n: i for i, n in enumerate(names)}
+    own = np.repeat(np.array([place[n] for n in langs], np.int64), np.diff(w.offsets))
+    codes, distinct = pd.factorize(byte_grams(w.data, w.offsets) + (own << 8 * ORDER))
+    return names, codes, distinct
 
 
 @dataclass(frozen=True)
@@ -87,59 +84,89 @@ class Model:
     languages: list[str]
     hashes: dict[str, list[np.ndarray]]
     logs: dict[str, list[np.ndarray]]
+    contexts: dict[str, list[np.ndarray]]
     backoff: dict[str, list[np.ndarray]]
     bands: dict[str, tuple[float, float]] = field(default_factory=dict)
     key: str = ""
 
-    def table(self, lang: str) -> np.ndarray:
-        """log10 probability of every trigram, from the sorted arrays of the three orders."""
-        key = np.arange(CLASSES ** 3)
-        value = np.full(CLASSES ** 3, -np.log10(CLASSES))
-        for order in (1, 2, 3):
-            h, p, b = self.hashes[lang][order - 1], self.logs[lang][order - 1], self.backoff[lang][order - 1]
-            gram = key % CLASSES ** order
+    def values(self, lang: str, key: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """log10 probability of the n-grams' last byte after the others, from the sorted arrays of the orders."""
+        value = np.full(len(key), -np.log10(CLASSES))
+        for n in range(1, order + 1):
+            h, p, seen, b = (x[lang][n - 1] for x in (self.hashes, self.logs, self.contexts, self.backoff))
+            if not len(h):
+                continue
+            gram = key % CLASSES ** n
             # Known context: its back-off weight times the lower order's value; then known n-grams.
-            if order > 1:
-                seen = np.unique(h // CLASSES)
-                at = np.searchsorted(seen, gram // CLASSES).clip(max=len(seen) - 1)
-                value = np.where(seen[at] == gram // CLASSES, value + b[at], value)
-            else:
-                value = value + b[0]
+            at = np.searchsorted(seen, gram // CLASSES).clip(max=len(seen) - 1)
+            value = np.where(seen[at] == gram // CLASSES, value + b[at], value)
             at = np.searchsorted(h, gram).clip(max=len(h) - 1)
             value = np.where(h[at] == gram, p[at], value)
-        return value.astype(np.float32)
+        return value
+
+    def table(self, lang: str) -> np.ndarray:
+        """log10 probability of every trigram of bytes, by the model's third order."""
+        return self.values(lang, np.arange(CLASSES ** 3), 3)
+
 
+def _kneser_ney(key: np.ndarray, count: np.ndarray, alone: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, ...]:
+    """n-grams that are not ``alone`` (of one document) with log10 probabilities, and their contexts with back-off weights, both sorted.
 
-def _kneser_ney(key: np.ndarray, count: np.ndarray, order: int, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probabilities of the n-grams and back-off weights of their contexts (sorted); ``lower`` has each n-gram's lower-order probability."""
+    ``lower`` has each n-gram's lower-order probability. Those alone are
+    discounted whole, so a text is no evidence for itself.
+    """
     n = [int((count == i).sum()) for i in (1, 2, 3, 4)]
     y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
     cut = np.array([0.0] + [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.0), i) if n[i - 1] else 0.5 * y for i in (1, 2, 3)])
-    less = cut[np.minimum(count, 3)]
+    less = np.where(alone, count, cut[np.minimum(count, 3)])
     context, where = np.unique(key // CLASSES, return_inverse=True)
     total = np.bincount(where, count)
     held = np.maximum(np.bincount(where, less), 1e-9)
     p = (count - less) / total[where] + (held / total)[where] * lower
-    return np.log10(p), np.log10(held / total)
+    used = np.bincount(where, ~alone) > 0
+    return key[~alone], np.log10(p[~alone]), context[used], np.log10(held / total)[used]
 
 
 def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trigram counts of one task, a dense table for each language."""
-    tables: dict[str, np.ndarray] = {}
+    """n-gram counts of one task by language, summed up to ``HELD`` of them at a time."""
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for lang, parts in held.items():
+            columns = _summed(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(columns[0])), *map(pa.array, columns)], ["lang", "gram", "n", "low", "high"])
+
+    held: dict[str, list] = {}
+    waiting, document = 0, TaskContext.get().partitionId() << 40
     for batch in batches:
         langs = batch.column("lang").to_pylist()
         for w in segments(batch.column("text"), False):
-            found, bounds = classes(w.data, w.offsets)
-            grams3 = trigrams(found, bounds)
-            row = np.repeat(np.arange(w.rows), np.diff(bounds))
-            names = langs[w.first:w.first + w.rows]
-            for lang in set(names):
-                own = np.array([n == lang for n in names])
-                tables[lang] = tables.get(lang, 0) + np.bincount(grams3[own[row]], minlength=CLASSES ** 3)
-    for lang, counts in tables.items():
-        key = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key)), pa.array(key, pa.int64()), pa.array(counts[key].astype(np.int64))],
-                                         ["lang", "gram", "n"])
+            names, codes, distinct = numbered(w, langs[w.first:w.first + w.rows])
+            row = np.repeat(np.arange(w.rows), np.diff(w.offsets)) + document + w.first
+            low, high = np.zeros((2, len(distinct)), np.int64)
+            high[codes], low[codes[::-1]] = row, row[::-1]  # of several writes the last one counts
+            count = np.bincount(codes, minlength=len(distinct))
+            for i, lang in enumerate(names):
+                own = distinct >> 8 * ORDER == i
+                held.setdefault(lang, []).append((distinct[own] & (CLASSES ** ORDER - 1), count[own], low[own], high[own]))
+            waiting += len(distinct)
+            if waiting > HELD:
+                held = {lang: [_summed(parts)] for lang, parts in held.items()}
+                waiting = sum(len(parts[0][0]) for parts in held.values())
+                if 2 * waiting > HELD:
+                    yield from out()
+                    held, waiting = {}, 0
+        document += batch.num_rows
+    yield from out()
+
+
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Distinct n-grams, their counts, and the first and last document of each."""
+    key, count, low, high = (np.concatenate(c) for c in zip(*parts))
+    codes, distinct = pd.factorize(key)
+    first, last = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), -1)
+    np.minimum.at(first, codes, low)
+    np.maximum.at(last, codes, high)
+    return distinct, np.bincount(codes, count, len(distinct)).astype(np.int64), first, last
 
 
 def language(lang: Column, own: list[str]) -> Column:
@@ -151,25 +178,24 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", bands: Bands =
     own = [r[0] for r in docs.groupBy(F.col(lang).alias("lang")).count().filter("lang IS NOT NULL")
            .orderBy(F.desc("count"), "lang").limit(max_languages - 1).collect()]
     rows = docs.select(language(F.col(lang), own).alias("lang"), F.col(text).alias("text"))
-    partial = rows.mapInArrow(_partial_counts, "lang string, gram bigint, n bigint")
-    three = written(partial.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "quality-grams")
-    two = three.groupBy("lang", F.pmod("gram", F.lit(CLASSES ** 2)).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-    one = two.groupBy("lang", F.pmod("gram", F.lit(CLASSES)).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-    # At most max_languages * 64^order rows each.
-    frames = [d.toPandas() for d in (one, two, three)]
-    model = Model([*own, OTHER], {}, {}, {}, key=uuid.uuid4().hex)
-    for name in sorted(set(frames[0]["lang"])):
-        lower = None
-        model.hashes[name], model.logs[name], model.backoff[name] = [], [], []
-        for order, frame in enumerate(frames, 1):
-            part = frame[frame["lang"] == name].sort_values("gram")
+    partial = rows.mapInArrow(_partial_counts, "lang string, gram bigint, n bigint, low bigint, high bigint")
+    # An n-gram of one document has that as its lowest and highest.
+    ends = F.min("low").alias("low"), F.max("high").alias("high")
+    counts = [written(partial.groupBy("lang", "gram").agg(F.sum("n").alias("n"), *ends), "quality-grams")]
+    for n in range(ORDER - 1, 0, -1):  # lower orders count the distinct n-grams above
+        shorter = F.pmod("gram", F.lit(CLASSES ** n)).alias("gram")
+        counts.insert(0, written(counts[0].groupBy("lang", shorter).agg(F.count(F.lit(1)).alias("n"), *ends), "quality-grams"))
+    model = Model([*own, OTHER], {}, {}, {}, {}, key=uuid.uuid4().hex)
+    for name in [r[0] for r in counts[0].select("lang").distinct().orderBy("lang").collect()]:
+        arrays = model.hashes, model.logs, model.contexts, model.backoff
+        for found in arrays:
+            found[name] = []
+        for order, frame in enumerate(counts, 1):
+            part = frame.filter(F.col("lang") == name).selectExpr("gram", "n", "low = high AS alone").toPandas().sort_values("gram")
             key, count = part["gram"].to_numpy(np.int64), part["n"].to_numpy(np.int64)
-            base = np.full(len(key), 1 / CLASSES) if lower is None else 10.0 ** lower[1][np.searchsorted(lower[0], key % CLASSES ** (order - 1))]
-            p, b = _kneser_ney(key, count, order, base)
-            model.hashes[name].append(key)
-            model.logs[name].append(p)
-            model.backoff[name].append(b)
-            lower = (key, p)
+            lower = 10.0 ** model.values(name, key, order - 1)
+            for found, made in zip(arrays, _kneser_ney(key, count, part["alone"].to_numpy(bool), lower)):
+                found[name].append(made)
     scored = docs.select(language(F.col(lang), own).alias("lang"), log_perplexity(F.col(text), F.col(lang), model).alias("v"),
                          F.char_length(F.col(text)).alias("chars"))
     quartiles = scored.filter(F.col("chars") >= bands.least_chars).groupBy("lang").agg(
@@ -181,31 +207,16 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", bands: Bands =
     return model
 
 
-def _table(model: Model, lang: str) -> np.ndarray | None:
-    known: dict[str, np.ndarray | None] = keep(f"perplexity {model.key}", dict)
-    if lang not in known:
-        known[lang] = model.table(lang) if lang in model.hashes else None
-    return known[lang]
-
-
 def _perplexities(w: Words, langs: list, model: Model) -> np.ndarray:
-    """log10 perplexity of each row; 0 for empty ones."""
-    found, bounds = classes(w.data, w.offsets)
-    grams3 = trigrams(found, bounds)
-    values = np.zeros(w.rows)
-    for lang in set(langs):
-        table = _table(model, lang)
-        if table is None:
-            continue
-        own = np.array([n == lang for n in langs])
-        if own.all():
-            total = np.concatenate([[0.0], np.cumsum(table[grams3], dtype=np.float64)])
-            values = np.diff(total[bounds])
-        else:
-            mask = np.repeat(own, np.diff(bounds))
-            total = np.concatenate([[0.0], np.cumsum(np.where(mask, table[grams3], 0), dtype=np.float64)])
-            values = np.where(own, np.diff(total[bounds]), values)
-    return -values / np.maximum(np.diff(bounds), 1)
+    """log10 perplexity of each row, a code point; 0 for empty ones."""
+    names, codes, distinct = numbered(w, langs)
+    values = np.zeros(len(distinct))
+    for i, lang in enumerate(names):
+        if lang in model.hashes:
+            own = distinct >> 8 * ORDER == i
+            values[own] = model.values(lang, distinct[own] & (CLASSES ** ORDER - 1))
+    total = np.concatenate([[0.0], np.cumsum(values[codes])])
+    return -np.diff(total[w.offsets]) / np.maximum(characters(w.data, w.offsets), 1)
 
 
 def log_perplexity(text: Column, lang: Column, model: Model) -> Column:
@@ -268,11 +279,10 @@ def quality(text: Column, lang: Column, model: Model, bands: Bands = Bands()) ->
             own = langs[w.first:w.first + w.rows]
             solid = np.concatenate([[0], np.cumsum(~SEPARATOR[w.data] & ((w.data & 0xC0) != 0x80))])
             marks = np.concatenate([[0], np.cumsum(SYMBOLS[w.data])])
-            points = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
             value = _perplexities(w, own, shared.value)
             words, again = np.diff(w.bounds), repeat_words(w, 5)
             failed = (words < 10) | (100 * again > 20 * words)
-            chars = np.diff(points[w.offsets])
+            chars = characters(w.data, w.offsets)
             middle, spread = np.array([shared.value.bands.get(n, (0.0, np.inf)) for n in own]).T
             spread = spread * np.sqrt(np.maximum(1, bands.even_chars / np.maximum(chars, 1)))
             outside = (chars >= bands.least_chars) & ((value < middle - bands.below * spread) | (value > middle + bands.above * spread))
