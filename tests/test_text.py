@@ -182,3 +182,10 @@ def test_texts_are_taken_in_slices():
     assert all(b - a == 1 or sum(len((t or "").encode()) for t in texts[a:b]) <= SLICE for a, b in bounds)
     assert map_texts(column, str.upper).to_pylist() == [None if t is None else t.upper() for t in texts]
     assert map_texts(pa.array([], pa.string()), str.upper).to_pylist() == []
+
+
+def test_cleaning_steps_pass_over_texts_without_their_characters(value):
+    texts = ["ab", "ab\n😍\nx", "a  b\t\tc\n\n\n\nd", "gọi 0912345678 +84912345678", "", None]
+    assert value(tx.emoji_to_words, texts) == ["ab", "ab\n yêu_thích \nx", *texts[2:]]
+    assert value(tx.tidy_layout, texts[2:]) == ["a b  c\n\nd", texts[3], "", None]
+    assert value(tx.drop_phone_numbers, texts[2:]) == [texts[2], "gọi    ", "", None]

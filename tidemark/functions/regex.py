@@ -114,6 +114,11 @@ def only_if(text: Column, check: Callable[[Column], Column], change: Callable[[C
     return let(text, lambda t: F.when(check(t), change(t)).otherwise(t))
 
 
+def in_lines(text: Column, check: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """``change`` line by line where ``check`` holds, for a change that neither looks nor reaches over a line break."""
+    return only_if(text, check, lambda t: F.array_join(F.transform(F.split(t, "\n", -1), lambda line: F.when(check(line), change(line)).otherwise(line)), "\n"))
+
+
 def literal_map(table: Mapping[str, str]) -> Column:
     """A constant map column."""
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import lexicon as lex
 from tidemark.functions.regex import (
-    any_caseless, holds_any, independent_runs, let, literal, only_if, replace_all, replace_words,
+    any_caseless, first_letters, holds_any, in_lines, independent_runs, let, literal, only_if, replace_all, replace_words,
     replace_words_any_case, whole_word)
 
 SPACE = r"(?U)[\s\x1c-\x1f]+"
@@ -33,7 +33,9 @@ def is_blank(text: Column) -> Column:
 
 def tidy_layout(text: Column) -> Column:
     """At most one empty line, single spaces, no tabs, no outer whitespace."""
-    return strip_space(replace_all(text, [(r"\n{3,}", "\n\n"), (r" {2,}", " "), (r"\t", " ")]))
+    for needed, pattern, to in (("\n\n\n", r"\n{3,}", "\n\n"), ("  ", r" {2,}", " "), ("\t", r"\t", " ")):
+        text = only_if(text, lambda t, n=needed: t.contains(n), lambda t, p=pattern, o=to: replace_all(t, [(p, o)]))
+    return strip_space(text)
 
 
 def _patterns(kinds) -> list[str]:
@@ -52,7 +54,8 @@ def drop_urls(text: Column) -> Column:
 
 
 def drop_phone_numbers(text: Column) -> Column:
-    return replace_all(text, [(p, " ") for p in _patterns(["phone_number"])])
+    steps = [(p, " ") for p in _patterns(["phone_number"])]
+    return only_if(text, lambda t: t.contains("0") | t.contains("+84"), lambda t: replace_all(t, steps))
 
 
 def drop_hashtags(text: Column) -> Column:
@@ -78,7 +81,8 @@ def _table(block: str) -> dict[str, str]:
 def emoji_to_words(text: Column) -> Column:
     """Put the feeling word of each known emoji, between spaces, in its place."""
     table = {e: f" {w} " for e, w in _table(lex.EMOJI_WORDS).items()}
-    return replace_words(text, table, flags="", left="", right="")
+    some = f"(?s){first_letters(table)}."
+    return in_lines(text, lambda t: t.rlike(some), lambda t: replace_words(t, table, flags="", left="", right=""))
 
 
 def shorten_lengthened(text: Column) -> Column:
