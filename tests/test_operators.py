@@ -214,3 +214,13 @@ def test_row_numbers_carry_no_texts(spark):
     windows = [line for line in plan.splitlines() if " Window " in line or line.startswith("Window ")]
     assert windows and not any("text" in line for line in windows)
     assert all("text" not in line for line in plan[plan.index("Window "):].splitlines() if "LogicalRDD" not in line and "Project" in line)
+
+
+def test_text_classifier_splits_once(spark, monkeypatch):
+    from tidemark.plans import all_queries, learning
+    from tidemark.plans.base import Tables
+
+    names, keep = [], learning.written
+    monkeypatch.setattr(learning, "written", lambda df, name: names.append(name) or keep(df, name))
+    assert all_queries()["m8_text_classifier"].build(Tables(spark, "/root/testdata/sf0.001")).count() == 1
+    assert names == ["split"]
