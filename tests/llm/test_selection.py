@@ -233,6 +233,38 @@ def test_comparing_across_buckets_takes_few_rows_a_span(spark, monkeypatch):
     assert 0 < sum(taken) < 20 * len(rows), taken
 
 
+def test_copies_of_a_span_are_not_joined_one_by_one(spark, monkeypatch):
+    """A passage in all documents, at times edited: plain joins, which send a span to one task, take no row for each of its copies."""
+    rng = random.Random(10)
+    passage = prose(rng, 80).split()
+    rows = []
+    for i in range(300):
+        copy = list(passage)
+        if i % 30 == 0:
+            copy[rng.randrange(len(copy))] = f"w{i}"
+        rows.append((i, f"{prose(rng, 4)}{' '.join(copy)} {prose(rng, 4)}"))
+    docs = sample(spark, rows)
+    most, inside, join, join_counted = [], [], type(docs).join, suffixes.join_counted
+
+    def seen(left, right, on=None, how=None):
+        if on == ["k1", "k2"] and not inside:
+            most.extend(side.groupBy(on).count().agg(F.max("count")).first()[0] or 0 for side in (left, right))
+        return join(left, right, on, how)
+
+    def counted(*args):  # broadcasts what is hot
+        inside.append(1)
+        try:
+            return join_counted(*args)
+        finally:
+            inside.pop()
+
+    monkeypatch.setattr(type(docs), "join", seen)
+    monkeypatch.setattr(suffixes, "join_counted", counted)
+    got = suffixes.dedup(docs, "doc_id", "text", 64).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["kept_sha256"], tuple((s["start"], s["stop"]) for s in r["spans"])) for r in got) == brute_dedup(rows, 64)
+    assert 0 < max(most) <= 64 - suffixes.gram_size(64) + 1, most
+
+
 def test_offset_ranges_cover_every_distance():
     for length in (1, 2, 5, 12, 13, 64, 400):
         top = length - suffixes.gram_size(length) + 1
