@@ -224,3 +224,18 @@ def test_text_classifier_splits_once(spark, monkeypatch):
     monkeypatch.setattr(learning, "written", lambda df, name: names.append(name) or keep(df, name))
     assert all_queries()["m8_text_classifier"].build(Tables(spark, "/root/testdata/sf0.001")).count() == 1
     assert names == ["split"]
+
+
+def test_harmonize_is_strict_unless_told(spark):
+    from tidemark.operators.harmonize import harmonize
+    from tidemark.sources.dictionaries import emotion_rules
+
+    rules = emotion_rules(spark)
+    rows = lambda *r: {"a": spark.createDataFrame(r, "row_order long, id string, `my.note` string, content string, label string")}
+    got = harmonize(rows((7, " ", "n", " b\u00a0", "1.0"), (7, None, "n", "c", "0"), (2, "k ", "n", "a", "2")), rules).collect()
+    assert sorted((r["record_key"], r["content_anonymized"], r["emotion"]) for r in got if r["id"] == "k") == [("a:k", "a", "Positive")]
+    assert sorted((r["id"], r["record_key"]) for r in got) == [("2", "a:2"), ("3", "a:3"), ("k", "a:k")]
+    assert sorted(r["content_anonymized"] for r in got) == ["a", "b", "c"]
+    for text, label, message in (("\u00a0", "1", "Blank content in a"), (None, "1", "Blank content in a"), ("a", "7", "Unknown value: 7"), ("a", None, "Unknown value: null")):
+        with pytest.raises(Exception, match=message):
+            harmonize(rows((1, "1", "n", text, label)), rules).collect()

@@ -33,6 +33,18 @@ def test_empty_results_on_odd_texts(spark, duck, tmp_path):
     assert status == "ok", detail
 
 
+def test_harmonized_union_on_odd_rows(spark, tmp_path):
+    texts = [" a b\n", "", " \t\n", None, "\u00a0x\u00a0", "\x0by\x0b"]
+    rows = [(i, t, lang, 3 + i) for i, (t, lang) in enumerate((t, lang) for t in texts for lang in ("en", "fr"))]
+    rows += [(900, "t", "en", None), (901, "u", "fr", None), (902, "v", "en", -4), (903, "w", "fr", -4), (904, "x", None, 1),
+             (None, "y", "en", 1), (None, "z", "fr", 2), (-70_000_000, "first", "fr", 2), *[(50, "same", "fr", 3)] * 3, *[(51, "same", "en", 3)] * 2]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    status, count, _, detail = compare(spark, con, "set2_harmonized_union", str(tmp_path))
+    assert (status, count) == ("ok", len(rows) - 1), detail
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 

@@ -252,12 +252,12 @@ def item_detail(items: DataFrame, comments: DataFrame, results: DataFrame, key:
 # --- dictionaries and stores -------------------------------------------------------------
 
 def map_labels(df: DataFrame, column: str, rules: DataFrame, key: Column, rule_key: str,
-               fields: Mapping[str, str]) -> DataFrame:
-    """Look up ``fields`` of a small rule table; an unknown value is an error."""
+               fields: Mapping[str, str], unknown: Mapping[str, Column] | None = None) -> DataFrame:
+    """Look up ``fields`` of a small rule table; an unknown value is an error, or gets the fields of ``unknown``."""
     small = rules.select(F.col(rule_key).alias("_rk"), *[F.col(s).alias(t) for s, t in fields.items()])
-    joined = df.withColumn("_k", key).join(small, F.col("_k") == F.col("_rk"), "left")
+    joined = df.withColumn("_k", key).join(F.broadcast(small), F.col("_k") == F.col("_rk"), "left")
     message = F.concat(F.lit("Unknown value: "), F.coalesce(F.col(column).cast("string"), F.lit("null")))
-    checked = {t: F.when(F.col("_rk").isNull(), F.raise_error(message)).otherwise(F.col(t)) for t in fields.values()}
+    checked = {t: F.when(F.col("_rk").isNull(), unknown[t] if unknown else F.raise_error(message)).otherwise(F.col(t)) for t in fields.values()}
     return joined.withColumns(checked).drop("_k", "_rk")
 
 
