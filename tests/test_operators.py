@@ -239,3 +239,13 @@ def test_harmonize_is_strict_unless_told(spark):
     for text, label, message in (("\u00a0", "1", "Blank content in a"), (None, "1", "Blank content in a"), ("a", "7", "Unknown value: 7"), ("a", None, "Unknown value: null")):
         with pytest.raises(Exception, match=message):
             harmonize(rows((1, "1", "n", text, label)), rules).collect()
+
+
+def test_empty_results_of_the_chain(spark):
+    from tidemark.functions.normalize import preprocess
+    from tidemark.operators.aggregates import empty_results
+
+    texts = ["", None, " \n", "https://abc.com", "#dntu", "É.", "😍", "12", "xD", "a"]
+    done = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select(preprocess(F.col("t"), {}, ["dntu"]).alias("p"))
+    assert [tuple(r) for r in empty_results(done, F.col("p") != "").collect()] == [(5, 10)]
+    assert [tuple(r) for r in empty_results(done.limit(0), F.col("p") != "").collect()] == [(0, 0)]

@@ -33,6 +33,17 @@ def test_empty_results_on_odd_texts(spark, duck, tmp_path):
     assert status == "ok", detail
 
 
+def test_empty_results_judge_the_text_as_given(spark, tmp_path):
+    rows = ["É.", "ÀÈ", "Ü", "ß", "ª", "https://abc.com", "www.abc.vn/1", "#dntu", "#cfs1234", "<a_b>", "xD", "T_T", ":)", "😍", "<3", "™", "÷", "\u0301",
+            "٣", "你好", "ａｂ", "ỹ", "\u1efa", "\U00010400", "Đ", "12k", "", None]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert con.execute(entry.oracle_sql()["n16_empty_results"]).fetchall() == [(14, 28)]
+    status, _, _, detail = compare(spark, con, "n16_empty_results", str(tmp_path))
+    assert status == "ok", detail
+
+
 def test_harmonized_union_on_odd_rows(spark, tmp_path):
     texts = [" a b\n", "", " \t\n", None, "\u00a0x\u00a0", "\x0by\x0b"]
     rows = [(i, t, lang, 3 + i) for i, (t, lang) in enumerate((t, lang) for t in texts for lang in ("en", "fr"))]

@@ -8,7 +8,7 @@ from datetime import date
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import lexicon as lex
@@ -34,6 +34,11 @@ def column_profile(df: DataFrame, columns: Sequence[str], approximate: bool = Fa
     return figures.select(F.explode(F.array(*[entry(c) for c in columns])).alias("e")).select("e.*")
 
 
+def empty_results(df: DataFrame, has_result: Column) -> DataFrame:
+    """One row: the rows without a result, and all rows; a row of which it is not known (null) is not counted as empty."""
+    return df.agg(F.count_if(~has_result).alias("empty_rows"), F.count("*").alias("rows"))
+
+
 def summary(news: DataFrame, today: date) -> DataFrame:
     """Total, today, important, pending and analysed items in one pass."""
     return live(news).agg(
