@@ -309,6 +309,19 @@ def test_characters_are_told_apart(spark):
     assert not any(k for i, k in kept.items() if i >= 1000) and sum(kept.values()) >= 147
 
 
+def test_quality_counts_do_not_pass_the_jvm(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refused(*_):
+        raise AssertionError("n-grams are read as files")
+
+    monkeypatch.setattr(DataFrame, "toPandas", refused)
+    monkeypatch.setattr(DataFrame, "toArrow", refused)
+    rng = random.Random(2)
+    model = quality.fit(sample(spark, [(i, prose(rng, 40), ("en", None)[i % 2]) for i in range(40)]))
+    assert sorted(model.hashes) == ["*", "en"] and all(len(h) and (np.diff(h) > 0).all() for h in model.hashes["en"])
+
+
 def test_levenshtein_matches_agree_with_distance():
     def distance(a, b):
         row = list(range(len(b) + 1))

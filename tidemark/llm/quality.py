@@ -24,12 +24,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.words import SEPARATOR, Words, grams, segments
-from tidemark.session import written
+from tidemark.session import file_system, scratch_path
 
 CLASSES = 256  # values of a byte
 ORDER = 5  # bytes of an n-gram
@@ -169,6 +170,15 @@ def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return distinct, np.bincount(codes, count, len(distinct)).astype(np.int64), first, last
 
 
+def _counted(path: str, lang: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A language's sorted n-grams, their counts, and whether they are of one document; read as files, so that no rows pass the driver's JVM."""
+    system, root = file_system(path)
+    found = pq.read_table(root, columns=["gram", "n", "low", "high"], use_threads=False, filesystem=system, filters=[("lang", "==", lang)])
+    key, count, low, high = (found[c].to_numpy() for c in found.column_names)
+    order = np.argsort(key)
+    return key[order], count[order], (low == high)[order]
+
+
 def language(lang: Column, own: list[str]) -> Column:
     return F.when(lang.isin(own), lang).otherwise(OTHER) if own else F.lit(OTHER)
 
@@ -181,20 +191,23 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", bands: Bands =
     partial = rows.mapInArrow(_partial_counts, "lang string, gram bigint, n bigint, low bigint, high bigint")
     # An n-gram of one document has that as its lowest and highest.
     ends = F.min("low").alias("low"), F.max("high").alias("high")
-    counts = [written(partial.groupBy("lang", "gram").agg(F.sum("n").alias("n"), *ends), "quality-grams")]
-    for n in range(ORDER - 1, 0, -1):  # lower orders count the distinct n-grams above
-        shorter = F.pmod("gram", F.lit(CLASSES ** n)).alias("gram")
-        counts.insert(0, written(counts[0].groupBy("lang", shorter).agg(F.count(F.lit(1)).alias("n"), *ends), "quality-grams"))
+    frame, paths = partial.groupBy("lang", "gram").agg(F.sum("n").alias("n"), *ends), []
+    for n in range(ORDER, 0, -1):
+        paths.insert(0, scratch_path(docs.sparkSession, "quality-grams"))
+        frame.write.parquet(paths[0])
+        counted = docs.sparkSession.read.schema(frame.schema).parquet(paths[0])
+        # Lower orders count the distinct n-grams above.
+        shorter = F.pmod("gram", F.lit(CLASSES ** (n - 1))).alias("gram")
+        frame = counted.groupBy("lang", shorter).agg(F.count(F.lit(1)).alias("n"), *ends)
     model = Model([*own, OTHER], {}, {}, {}, {}, key=uuid.uuid4().hex)
-    for name in [r[0] for r in counts[0].select("lang").distinct().orderBy("lang").collect()]:
+    for name in [r[0] for r in counted.select("lang").distinct().orderBy("lang").collect()]:
         arrays = model.hashes, model.logs, model.contexts, model.backoff
         for found in arrays:
             found[name] = []
-        for order, frame in enumerate(counts, 1):
-            part = frame.filter(F.col("lang") == name).selectExpr("gram", "n", "low = high AS alone").toPandas().sort_values("gram")
-            key, count = part["gram"].to_numpy(np.int64), part["n"].to_numpy(np.int64)
+        for order, path in enumerate(paths, 1):
+            key, count, alone = _counted(path, name)
             lower = 10.0 ** model.values(name, key, order - 1)
-            for found, made in zip(arrays, _kneser_ney(key, count, part["alone"].to_numpy(bool), lower)):
+            for found, made in zip(arrays, _kneser_ney(key, count, alone, lower)):
                 found[name].append(made)
     scored = docs.select(language(F.col(lang), own).alias("lang"), log_perplexity(F.col(text), F.col(lang), model).alias("v"),
                          F.char_length(F.col(text)).alias("chars"))
